@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import bpe, mixing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": bpe.op3_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
+    "op8_token_counts": token_counts.op8_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality.ORACLE,

@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, token_counts
+from . import bpe, chat, lines, mixing, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_chat_format": chat.op9_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": lines.ORACLE,
     "op4_quality_rules": quality.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op9_chat_format": chat.ORACLE,
 }

@@ -83,11 +83,12 @@ class Words:
     """Words of many texts: `stream` holds each text's words, each followed by 0x20, then 0x0A.
 
     start, end: each word's span; doc: the text that it is in; bounds: word offsets of the
-    texts (one more than texts); stops: position of each text's 0x0A.
+    texts (one more than texts); stops: position of each text's 0x0A.  `table` may map
+    further bytes to 0x20, so that they part words too.
     """
 
-    def __init__(self, texts: list[bytes | None], lower: bool):
-        table = FOLD_LOWER if lower else FOLD
+    def __init__(self, texts: list[bytes | None], lower: bool, table: bytes | None = None):
+        table = table or (FOLD_LOWER if lower else FOLD)
         joined = b"\n" + b"".join([(x or b"").translate(table) + b" \n" for x in texts])
         raw = np.frombuffer(joined, np.uint8)
         gap = raw == SPACE

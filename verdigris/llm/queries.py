@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lines, mixing, quality, token_counts, toxicity
+from . import bpe, chat, fingerprints, lines, mixing, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_chat_format": chat.op9_chat_format,

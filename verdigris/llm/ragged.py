@@ -50,10 +50,15 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     A prefix sum of byte keys times powers of an odd base modulo 2**64 lets any
     span be read off in constant time; the power of its start is divided out.
     """
-    up, down = _power_tables(len(data) + 1)
-    total = np.empty(len(data) + 1, U64)
+    return hashes_of_spans(BYTE_KEYS[data], start, end, seed)
+
+
+def hashes_of_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """The same over 64-bit values."""
+    up, down = _power_tables(len(values) + 1)
+    total = np.empty(len(values) + 1, U64)
     total[0] = 0
-    np.cumsum(BYTE_KEYS[data] * up[: len(data)], out=total[1:])
+    np.cumsum(values * up[: len(values)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64), seed)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, lines, mixing, quality, token_counts, toxicity
+from . import bpe, chat, fingerprints, lines, mixing, neardup, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": lines.op2_line_dedup,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_minhash_neardup": neardup.op10_minhash_neardup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": lines.ORACLE,

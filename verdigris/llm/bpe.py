@@ -15,6 +15,7 @@ and pre-tokens are encoded whole in n log n steps; other columns are carried thr
 from __future__ import annotations
 
 import base64
+from array import array
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -24,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK, arrow_map, as_bytes, table
+from .common import arrow_map, as_bytes, table
 from .pretokens import PreTokens
-from .ragged import chunks, expand, mix, span_hashes
+from .ragged import expand, mix, span_hashes
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Merged pre-tokens that a worker remembers; it forgets all when it has more.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _TRIES = 64
 
 
@@ -98,7 +99,7 @@ class Vocabulary:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.remembered: dict[int, list[int]] = {}
+        self.remembered: dict[int, array] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"remembered": {}}
@@ -148,7 +149,7 @@ class Vocabulary:
         for key, a, b in zip(keys[missed].tolist(), start[missed].tolist(), end[missed].tolist(), strict=True):
             ids = memory.get(key)
             if ids is None:
-                ids = memory[key] = self.merged(data[a:b])
+                ids = memory[key] = array("i", self.merged(data[a:b]))
             found.append(ids)
         length = np.ones(len(keys), np.int64)
         length[missed] = [len(x) for x in found]
@@ -180,12 +181,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         vocab = words.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = as_bytes(batch.column(0))
-            parts = [vocab.encode(texts[a:b]) for a, b in chunks(texts, CHUNK)]
-            sizes = np.concatenate([np.diff(bounds) for _, bounds in parts]) if parts else np.zeros(0, np.int64)
-            flat = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int32)
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+            flat, bounds = vocab.encode(as_bytes(batch.column(0)))
+            out = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat, pa.int32()))
             return pa.RecordBatch.from_arrays([*batch.columns[1:], out], [*names, ids])
 
         return each

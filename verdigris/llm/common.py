@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step handles at a time; a longer document is handled alone.
@@ -50,12 +52,31 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def pieces(batch: pa.RecordBatch, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows whose first column (texts or ids; else all) holds about `limit` bytes; a larger row stands alone."""
+    first = batch.column(0)
+    start, n = 0, batch.num_rows
+    if pa.types.is_list(first.type) and pa.types.is_integer(first.type.value_type):
+        sizes = pc.fill_null(pc.multiply(pc.list_value_length(first), 4), 0).to_numpy(zero_copy_only=False)
+    elif pa.types.is_string(first.type) or pa.types.is_binary(first.type):
+        sizes = pc.fill_null(pc.binary_length(first), 0).to_numpy(zero_copy_only=False)
+    else:
+        sizes = np.full(n, batch.nbytes // max(n, 1))
+    total = np.cumsum(sizes.astype(np.int64))
+    while start < n:
+        used = int(total[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(total, used + limit, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """mapInArrow of a function for each batch, made once for each task."""
+    """mapInArrow of a function made once for each task, over slices that bound a worker's memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            yield each(batch)
+            for piece in pieces(batch):
+                yield each(piece)
 
     return df.mapInArrow(run, schema)

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK, arrow_map, as_bytes, table
-from .ragged import Words, chunks, mix, span_hashes, sums_by, window_hashes, window_mask
+from .common import arrow_map, as_bytes, table
+from .ragged import Words, mix, span_hashes, sums_by, window_hashes, window_mask
 
 #: Rules in the order of their bits: name and failing condition over the measurements.
 RULES: tuple[tuple[str, str], ...] = (
@@ -94,10 +94,9 @@ def measurements(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = as_bytes(batch.column(0))
-            parts = [measure(texts[a:b]) for a, b in chunks(texts, CHUNK)]
-            found = [pa.array(np.concatenate([p[m] for p in parts]) if parts else [], pa.int64()) for m in MEASURES]
-            return pa.RecordBatch.from_arrays([*batch.columns[1:], *found], [*keep, *MEASURES])
+            found = measure(as_bytes(batch.column(0)))
+            own = [pa.array(found[m], pa.int64()) for m in MEASURES]
+            return pa.RecordBatch.from_arrays([*batch.columns[1:], *own], [*keep, *MEASURES])
 
         return each
 

@@ -20,14 +20,14 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import CHUNK, arrow_map, as_bytes, table
+from .common import arrow_map, as_bytes, table
 from .pretokens import PreTokens
-from .ragged import chunks, expand, mix, sums_by
+from .ragged import expand, mix, sums_by
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Counted pre-tokens that a worker remembers; it forgets all when it has more.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -182,9 +182,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "te
         counter = Counter(merges.value)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = as_bytes(batch.column(0))
-            parts = [counter.count(texts[a:b]) for a, b in chunks(texts, CHUNK)]
-            n_bytes, n_tokens = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            n_bytes, n_tokens = counter.count(as_bytes(batch.column(0)))
             return pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)],
                 [*keep, "n_bytes", "n_tokens", "over_limit"],

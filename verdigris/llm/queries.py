@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, lines, mixing, neardup, quality, token_counts, toxicity
+from . import bpe, chat, fingerprints, lines, mixing, neardup, ppm, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ppm": ppm.op1_ppm,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality_rules": quality.op4_quality_rules,

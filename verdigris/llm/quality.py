@@ -100,7 +100,7 @@ def measurements(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
         return each
 
-    return arrow_map(docs.select(text, *keep), ", ".join([*fields, *(f"{m} bigint" for m in MEASURES)]), make)
+    return arrow_map(docs.select(F.col(text).alias("measured_text"), *keep), ", ".join([*fields, *(f"{m} bigint" for m in MEASURES)]), make)
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

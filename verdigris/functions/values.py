@@ -76,7 +76,7 @@ def fused(p: Column, q: Column, weight: float = 0.5) -> Column:
 
 
 def text_or_empty(value: Column, digits: int = 4) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit(""))
+    return F.when(value.isNull(), "").otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def entropy(counts: Column) -> Column:

@@ -170,8 +170,8 @@ def pair_ranking(rows: DataFrame, source: str = "source_id", role: str = "role",
 
 
 def complete_sources(rows: DataFrame, roles: Sequence[str], source: str = "source_id", role: str = "role") -> DataFrame:
-    """Sources that have every role."""
-    own = rows.where(F.col(role).isin(*roles)).groupBy(source).agg(F.count_distinct(role).alias("n"))
+    """Sources that have every role; rows without a source are in none."""
+    own = rows.where(F.col(source).isNotNull() & F.col(role).isin(*roles)).groupBy(source).agg(F.count_distinct(role).alias("n"))
     return own.where(F.col("n") == len(roles)).select(source)
 
 

@@ -71,12 +71,12 @@ SELECT id, CASE id % 6 WHEN 0 THEN '' WHEN 1 THEN 'label: BIGINT expected' WHEN
 )
 def strict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw types, unknown and missing fields of JSON lines."""
-    from pyspark.sql import types as T
+    from ..schema import struct
 
     texts = ['{"image_id":"a","label":1}', '{"image_id":"a","label":true}', '{"image_id":"a","label":1.0}', '{"image_id":"a","label":1,"odd":2}', '{"image_id":"a"}', "[1]"]
     value = F.array(*[F.lit(t) for t in texts])[(F.col("p_partkey") % 6).cast("int")]
     lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), value.alias("value"))
-    small = T._parse_datatype_string("image_id string, label int")
+    small = struct("image_id string, label int")
     rows = validate.parse_strict(lines, small, ["image_id", "label"])
     return rows.select("id", F.array_join("errors", "; ").alias("errors"))
 

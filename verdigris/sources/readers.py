@@ -83,7 +83,7 @@ def manifest_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
     A file's lines are numbered inside the file's splits, in order; blank lines count.
     """
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     return lines.select("value", "file", (F.col("line") + 1).alias("line")).where(F.trim("value") != "")
 
@@ -120,7 +120,7 @@ def resolved(rows: DataFrame, listing: DataFrame, candidates: Sequence) -> DataF
 
 def predictions(spark: SparkSession, path: str, label: bool = False) -> DataFrame:
     """A JSON array of predictions; a payload that is no array of objects with a path and a score is an error."""
-    head = spark.read.option("wholetext", "true").text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
+    head = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
     if not head or head["c"] != "[":
         raise ValueError(f"{path}: an array is expected")
     schema = "image_path string, pred double, y int, label int, condition string, generator string, _corrupt string"
@@ -147,7 +147,7 @@ def galleries(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame
     The cards are one JSON object with the lists FP and FN; a gallery whose lists differ
     from the counts it states is an error.
     """
-    pages = spark.read.option("wholetext", "true").text(path).withColumn("model", name(F.col("_metadata.file_path")))
+    pages = spark.read.text(path, wholetext=True).withColumn("model", name(F.col("_metadata.file_path")))
     number = lambda k, kind: F.regexp_extract("value", _META, k).cast(kind)
     body = F.from_json(F.regexp_extract("value", r"(?s)(\{\s*\"F[PN]\".*?\]\s*\})", 1), f"FP {_CARD}, FN {_CARD}")
     rows = pages.select(
@@ -164,7 +164,7 @@ def galleries(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame
 
 def html_cards(spark: SparkSession, path: str) -> DataFrame:
     """etype, path, pred of the cards of an embedded gallery page, in order."""
-    pages = spark.read.option("wholetext", "true").text(path)
+    pages = spark.read.text(path, wholetext=True)
     card = r'(?s)data-etype="([^"]*)"[^>]*data-path="([^"]*)"[^>]*data-pred="([^"]*)"'
     found = F.arrays_zip(*[F.regexp_extract_all("value", F.lit(card), F.lit(k)).alias(n) for k, n in ((1, "etype"), (2, "path"), (3, "pred"))])
     rows = pages.select(F.posexplode(found).alias("place", "c"))

@@ -37,7 +37,7 @@ def metric_texts(df: DataFrame, columns: Sequence[str] = METRIC_COLUMNS) -> Data
 
 
 def metric_csv(df: DataFrame, path: str, columns: Sequence[str] = METRIC_COLUMNS) -> None:
-    metric_texts(df, columns).write.mode("overwrite").option("header", "true").csv(path)
+    metric_texts(df, columns).write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
 
 
 def metric_json(df: DataFrame, path: str) -> None:

@@ -154,7 +154,7 @@ def in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))).alias("at"))
     limits = docs.where("doc_id IS NOT NULL").approxQuantile("at", [k / (4 * parts) for k in range(1, 4 * parts)], 1 / (16 * parts))
-    splits = [float("-inf"), *sorted(set(limits)), float("inf")]
+    splits = [float("-inf"), *sorted(set(limits) or {0.0}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="at", outputCol="range").transform(docs).withColumn("part", F.col("range").cast("int"))
     heads = ranged.groupBy("part").agg(F.min("at").alias("head")).orderBy("part").collect()
     before = [(heads[k]["head"], heads[k - 1]["part"]) for k in range(len(heads))]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, saved, table
+from .common import as_bytes, collected, pieces, saved, table
 from .ragged import U64, Words, mix, sums_by
 
 ORDER = 5
@@ -62,7 +62,7 @@ def grams(stream: np.ndarray, stops: np.ndarray) -> np.ndarray:
         before = s[:-k] << U64(8 * k)
         for back in range(1, k):
             place = opening + back
-            before[place[place >= k] - k] = 0
+            before[place[(place >= k) & (place < len(s))] - k] = 0
         out[k:] |= before
     return out[1:]
 
@@ -218,8 +218,8 @@ def coded(counts: DataFrame) -> tuple[DataFrame, int]:
     group = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")
     # Groups and order-1 counts: at most 2**16 rows each.
     sizes = {r["g"]: r["size"] for r in own.groupBy(group.alias("g")).agg(F.count("*").alias("size")).collect()}
-    low = own.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toPandas()
-    pairs = spark.sparkContext.broadcast((low["pair"].to_numpy(np.int64), low["n"].to_numpy(np.int64)))
+    low = own.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n"))
+    pairs = spark.sparkContext.broadcast(tuple(collected(low)))
     blocks, shards = _packed(sizes, BLOCK), _packed(sizes, SHARD)
     places = [(g, blocks[g], shards[g]) for g in sizes]
     schema = "g int, block int, shard int"
@@ -284,8 +284,8 @@ def _lookup(name: str, sent) -> Lookup:
 
 def block_scores(docs: DataFrame, model: DataFrame, block: int) -> DataFrame:
     """uid and the sum over those places of each text whose gram is in the block."""
-    got = model.where(F.col("block") == block).select("gram", "bits").toPandas()
-    sent = docs.sparkSession.sparkContext.broadcast((got["gram"].to_numpy(np.int64).view(U64), got["bits"].to_numpy(np.float32)))
+    gram, bits = collected(model.where(F.col("block") == block).select("gram", "bits"))
+    sent = docs.sparkSession.sparkContext.broadcast((gram.view(U64), bits))
     name = f"{model._saved_at}:{block}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,19 +306,20 @@ def common_words(counts: DataFrame) -> DataFrame:
     words = counts.where(F.col("kind") == WORD)
     power = F.floor(F.log2("n_all")).cast("int")
     by_power = {r["p"]: r["size"] for r in words.groupBy(power.alias("p")).agg(F.count("*").alias("size")).collect()}
-    least, used = 63, 0
+    least, used = 64, 0
     for p in sorted(by_power, reverse=True):
         used += by_power[p]
         if used > HEAD:
             break
         least = p
-    return words.where(F.col("n_all") >= F.lit(1 << least)).select("key", "n")
+    return words.where(power >= least).select("key", "n")
 
 
 def word_sums(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """uid, n_tokens, n_known (words) and log_sum (sum of log10(c + 1) over words) of each text; `tail`: words to be joined."""
-    head = common_words(counts).toPandas().sort_values("key")
-    sent = docs.sparkSession.sparkContext.broadcast((head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
+    key, count = collected(common_words(counts))
+    order = np.argsort(key)
+    sent = docs.sparkSession.sparkContext.broadcast((key[order], count[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = sent.value

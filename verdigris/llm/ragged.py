@@ -120,7 +120,7 @@ class Words:
 def window_hashes(h: np.ndarray, width: int, seed: int = 2) -> np.ndarray:
     """Hashes of `width` neighbours; the last width - 1 places are of no use."""
     out = np.zeros(len(h), U64)
-    for k in range(width):
+    for k in range(min(width, len(h))):
         out[: len(h) - k] += mix(h[k:], seed + 101 * k) if k == 0 else mix(out[: len(h) - k] + h[k:], seed + 101 * k)
     return out
 

@@ -11,12 +11,12 @@ from ..operators import joins
 from .registry import query, table
 from .views import PRED, predictions
 
-_INDEX = f"""WITH {PRED}, l AS (SELECT 'root/' || source || '/' || doc_id || '.png' AS rel, doc_id % 2 AS y, doc_id AS o FROM documents WHERE doc_id % 3 < 2),
+_INDEX = f"""WITH {PRED}, l AS (SELECT 'root/' || source || '/' || doc_id || '.png' AS rel, doc_id % 2 AS y, doc_id AS o FROM documents WHERE lang <> 'fr'),
 i AS (SELECT key, arg_max(y, o) AS y, count(DISTINCT y) AS n_labels FROM (SELECT rel AS key, y, o FROM l UNION ALL SELECT regexp_replace(rel, '\\.[^./]+$', ''), y, o FROM l) GROUP BY key)"""
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source").where("doc_id % 3 < 2")
+    d = table(spark, sf_dir, "documents").where("lang <> 'fr'").select("doc_id", "source")
     rel = F.concat(F.lit("root/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("rel")
     return joins.label_index(d.select(rel, (F.col("doc_id") % 2).alias("y"), "doc_id"), "rel", "y", "doc_id")
 
@@ -56,8 +56,8 @@ def unmatched_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {PRED}, m AS (SELECT doc_id, arg_min(generator, ord) AS generator, arg_min(condition, ord) AS condition, arg_min(source_dataset, ord) AS source_dataset FROM (
-  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS generator, lang AS condition, source AS source_dataset, 0 AS ord FROM documents WHERE doc_id % 4 > 0
-  UNION ALL SELECT doc_id, 'late', 'late', 'late', 1 FROM documents WHERE doc_id % 4 < 2) GROUP BY doc_id)
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS generator, lang AS condition, source AS source_dataset, 0 AS ord FROM documents WHERE lang <> 'es'
+  UNION ALL SELECT doc_id, 'late', 'late', 'late', 1 FROM documents WHERE lang IN ('es', 'fr')) GROUP BY doc_id)
 SELECT p.doc_id, CASE WHEN label = 0 AND coalesce(nullif(m.generator, ''), 'unknown') = 'unknown' THEN 'real' ELSE coalesce(nullif(m.generator, ''), 'unknown') END AS generator,
        coalesce(nullif(m.condition, ''), 'clean') AS condition, coalesce(nullif(m.source_dataset, ''), 'unknown') AS source_dataset,
        CASE WHEN pred >= 0.5 AND label = 1 THEN 'TP' WHEN pred >= 0.5 THEN 'FP' WHEN label = 0 THEN 'TN' ELSE 'FN' END AS error_type
@@ -66,12 +66,12 @@ FROM pred p LEFT JOIN m USING (doc_id)"""
 def metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of the first manifest that has the row, with defaults."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    first = d.where("doc_id % 4 > 0").select(
+    first = d.where("lang <> 'es'").select(
         "doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source")).alias("generator"), F.col("lang").alias("condition"),
         F.col("source").alias("source_dataset"), F.lit(0).alias("ord"),
     )
     late = F.lit("late")
-    second = d.where("doc_id % 4 < 2").select("doc_id", late.alias("generator"), late.alias("condition"), late.alias("source_dataset"), F.lit(1).alias("ord"))
+    second = d.where("lang IN ('es', 'fr')").select("doc_id", late.alias("generator"), late.alias("condition"), late.alias("source_dataset"), F.lit(1).alias("ord"))
     rows = predictions(spark, sf_dir).select("doc_id", "pred", "label")
     defaults = {"generator": "unknown", "condition": "clean", "source_dataset": "unknown"}
     joined = joins.with_metadata(rows, first.unionByName(second), "doc_id", "ord", defaults)
@@ -176,12 +176,12 @@ def path_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT doc_id, lang, doc_id % 3 AS feature_version FROM documents)
+    """WITH f AS (SELECT doc_id, lang, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS feature_version FROM documents)
 SELECT d.doc_id, f.lang, f.doc_id IS NOT NULL AS cached FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id AND feature_version = 1"""
 )
 def feature_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features from a versioned cache; the rest is still to be computed."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    cache = d.withColumn("feature_version", F.col("doc_id") % 3)
+    cache = d.withColumn("feature_version", F.when(F.col("lang") == "en", 1).otherwise(0))
     hit, miss = joins.attached(d.select("doc_id"), cache, "doc_id", 1)
     return hit.withColumn("cached", F.lit(True)).unionByName(miss.withColumn("lang", F.lit(None).cast("string")).withColumn("cached", F.lit(False)))

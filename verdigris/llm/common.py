@@ -47,6 +47,12 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collected(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of bounded size as arrays, by way of Arrow and never as Python rows."""
+    got = df.toArrow()
+    return [got.column(c).to_numpy() for c in got.column_names]
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -168,7 +168,7 @@ def test_sinks(spark, tmp_path):
     sinks.json_lines(df, str(tmp_path / "j"))
     assert '"auroc":null' in next((tmp_path / "j").glob("part-*.json")).read_text()
     sinks.metric_csv(df, str(tmp_path / "c"))
-    assert "clean,4,,,,0.5000,,,,,,," in next((tmp_path / "c").glob("part-*.csv")).read_text()
+    assert "clean,4,,,,0.5000,,,,,,," in "".join(f.read_text() for f in (tmp_path / "c").glob("part-*.csv"))
 
 
 def test_prepared(spark):

@@ -79,13 +79,18 @@ def shards_or_tree(spark: SparkSession, shard_path: str | None, tree: str | None
 
 
 def manifest_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """value, file and line (from 1) of JSON lines.
+    """value, file and line (from 1) of JSON lines; blank lines count and are left out.
 
-    A file's lines are numbered inside the file's splits, in order; blank lines count.
+    A file may be read in many splits: lines are numbered inside each, and the splits'
+    counts are added up, so that no task sees a whole file.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return lines.select("value", "file", (F.col("line") + 1).alias("line")).where(F.trim("value") != "")
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = spark.read.text(path).select("value", *split).withColumn("at", F.monotonically_increasing_id())
+    counts = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    lines = rows.join(counts, ["file", "block"])
+    return lines.select("value", "file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line")).where(F.trim("value") != "")
 
 
 def strict_manifest(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, required: Sequence[str]) -> DataFrame:

@@ -50,8 +50,9 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     sketched = sketched.select("k1", "k2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     sketched = sketched.where(F.col("sites") >= min_sites - margin)
     near = sketched.where(F.col("sites") <= min_sites + margin)
-    exact = lines.join(near.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2", "site").agg(F.lit(1).alias("one"))
-    exact = exact.groupBy("k1", "k2").agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= min_sites)
+    # A hot line is one row a site before it meets the join.
+    sites = lines.select("k1", "k2", "site").distinct().join(near.select("k1", "k2"), ["k1", "k2"], "left_semi")
+    exact = sites.groupBy("k1", "k2").agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= min_sites)
     sure = sketched.where(F.col("sites") > min_sites + margin).select("k1", "k2", "first")
     return sure.unionByName(near.join(exact, ["k1", "k2"]).select("k1", "k2", "first"))
 

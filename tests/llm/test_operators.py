@@ -106,7 +106,9 @@ def test_recall_at_the_threshold(spark, monkeypatch):
     assert sum(got[2 * k + 1] == 2 * k for k in range(120)) >= 119
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [0, neardup.ONE_TASK])
+def test_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(neardup, "ONE_TASK", limit)
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (200, 200)]
     got = {r["node"]: r["comp"] for r in neardup.components(spark.createDataFrame(edges[:-1], "u long, v long")).collect()}
     assert all(got[k] == 0 for k in range(41)) and got[102] == 100 and len(got) == 44

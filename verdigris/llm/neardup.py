@@ -9,15 +9,16 @@ documents are linked if 100 * |A & B| >= 75 * |A | B|.
 3. A first round compares neighbours inside each node, in an order that follows the
    node's further tokens; the likest pairs are confirmed on full sets and linked into
    components.  A node whose members are one component is finished.
-4. A small node is then compared exhaustively across components.  A larger one branches:
-   its own hash selects the next coordinates (4/3 of them on average, the inverse of the
-   threshold), and its members go to the children that their tokens name.
+4. A node with few members outside its largest component is then compared exhaustively
+   across components.  Another one branches: its own hash selects the next coordinates
+   (4/3 of them on average, the inverse of the threshold), and its members go to the
+   children that their tokens name.
 5. What a sketch of all tokens leaves as possible is confirmed on full sets, and the
    links make the components.
 
 Pairs inside one component are never listed, so large groups of near copies cost about
 as much as their members.  A node that is still large after MAX_DEPTH levels is compared
-exhaustively, in blocks.  Two documents at the threshold miss all trees with probability
+exhaustively, in cells.  Two documents at the threshold miss all trees with probability
 below 0.25**12 at the first level and are found on deeper ones with 4/3 * 0.75 = 1
 child expected each, in 12 trees; recall is measured in the tests.
 
@@ -46,14 +47,19 @@ WIDTH = 5
 PART, WHOLE = 100, 75
 COORDINATES = 128
 TREES = 12
-SMALL = 48
-MAX_DEPTH = 24
+#: A node is compared as a whole if at most SMALL members are outside its largest component.
+SMALL = 128
+#: Members of a large node that one task compares with the others.
+CELL = 2000
+MAX_DEPTH = 16
 #: Neighbours that the first round compares each member with.
 NEIGHBOURS = 3
 #: A sketch of 128 tokens has a standard error of 0.04 at the threshold; pairs 4.5 errors below it are left out.
 POSSIBLE = 0.56
 #: Ids that are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Edges that one task unites into components; more are united by rounds over the cluster.
+ONE_TASK = 1_000_000
 _FACTORS = mix(np.arange(COORDINATES, dtype=U64), 801) | U64(1)
 _SHIFTS = mix(np.arange(COORDINATES, dtype=U64), 802)
 
@@ -91,6 +97,18 @@ def tokens(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def root_nodes(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The first node of each set in every tree, named by the whole of its token (64 bits)."""
+    out = np.zeros((len(bounds) - 1, TREES), U64)
+    filled = bounds[1:] > bounds[:-1]
+    start = bounds[:-1][filled]
+    if len(start):
+        for k in range(TREES):
+            lowest = np.minimum.reduceat((flat ^ _SHIFTS[k]) * _FACTORS[k], start)
+            out[filled, k] = mix(lowest, 900 + k)
+    return out
+
+
 def _folded(flat: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
     total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(flat, seed))))
     return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
@@ -103,18 +121,19 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, 128 bits (k1, k2) that stand for the set, and its tokens."""
+    """doc_id, n_shingles, 128 bits (k1, k2) that stand for the set, its tokens and its first nodes."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, bounds = sets(as_bytes(batch.column(0)))
             cols = [pa.array(np.diff(bounds)), pa.array(_folded(flat, bounds, 55)), pa.array(_folded(flat, bounds, 56))]
-            return pa.RecordBatch.from_arrays([batch.column(1), *cols, _binary(tokens(flat, bounds))], ["doc_id", "n_shingles", "k1", "k2", "tokens"])
+            cols += [_binary(tokens(flat, bounds)), _binary(root_nodes(flat, bounds))]
+            return pa.RecordBatch.from_arrays([batch.column(1), *cols], ["doc_id", "n_shingles", "k1", "k2", "tokens", "roots"])
 
         return each
 
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
-    return arrow_map(rows, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, tokens binary", make)
+    return arrow_map(rows, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, tokens binary, roots binary", make)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -126,21 +145,21 @@ def _longs(column: pa.Array) -> np.ndarray:
 
 
 def roots(classes: DataFrame) -> DataFrame:
-    """rep, node and order: each class in its first node of every tree, and where it stands there."""
+    """rep, node and path: each class in its first node of every tree, and where it stands there."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rep, own = _longs(batch.column(1)), _matrix(batch.column(0))
             trees = np.arange(TREES)
-            node = mix(own[:, trees].astype(U64) + (trees.astype(U64) << U64(16)), 57).view(np.int64)
+            node = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
             further = np.stack([own[:, (TREES + 8 * t + np.arange(8)) % COORDINATES] for t in trees], 1).reshape(-1, 8)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(rep, TREES)), pa.array(node.ravel()), _binary(further)], ["rep", "node", "path"]
+                [pa.array(np.repeat(rep, TREES)), pa.array(node), _binary(further)], ["rep", "node", "path"]
             )
 
         return each
 
-    return arrow_map(classes.select("tokens", "rep"), "rep bigint, node bigint, path binary", make)
+    return arrow_map(classes.select("tokens", "rep", "roots"), "rep bigint, node bigint, path binary", make)
 
 
 def children(rows: DataFrame) -> DataFrame:
@@ -206,16 +225,23 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 
 def within_nodes(rows: DataFrame) -> DataFrame:
-    """Possible pairs between members of each node that are in different components."""
-
-    def compare(own, rep, size, comp) -> Iterator[pa.RecordBatch]:
-        n = len(rep)
-        step = max(1, 100_000 // n)
-        for k in range(0, n, step):
-            a, b = np.nonzero(np.arange(k, min(n, k + step))[:, None] < np.arange(n)[None, :])
-            a += k
-            cross = comp[a] != comp[b]
-            a, b = a[cross], b[cross]
+    """Possible pairs between members of each node that are in different components.
+
+    Pairs inside the node's largest component need no look, so the others (the minority)
+    are compared with all members and with each other.  A large node is cut into cells
+    of CELL members, each with a copy of the minority.
+    """
+
+    def compare(own, rep, size, comp, minor, head) -> Iterator[pa.RecordBatch]:
+        few, many = np.flatnonzero(minor), np.flatnonzero(~minor)
+        step = max(1, 100_000 // len(rep))
+        for k in range(0, len(few), step):
+            part = few[k : k + step]
+            a, b = np.repeat(part, len(many)), np.tile(many, len(part))
+            if head:
+                x, y = np.repeat(part, len(few)), np.tile(few, len(part))
+                apart = (x < y) & (comp[x] != comp[y])
+                a, b = np.concatenate((a, x[apart])), np.concatenate((b, y[apart]))
             if len(a):
                 yield _pairs(rep, a, b, _estimates(own, size, a, b))
 
@@ -223,19 +249,23 @@ def within_nodes(rows: DataFrame) -> DataFrame:
         held = None
         for batch in batches:
             for piece in pieces(batch, 4_000_000):
-                now = _matrix(piece.column(0)), *(_longs(piece.column(k)) for k in (1, 2, 3, 4))
-                own, rep, node, size, comp = (np.concatenate((x, y)) for x, y in zip(held, now, strict=True)) if held else now
-                edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+                now = _matrix(piece.column(0)), *(_longs(piece.column(k)) for k in range(1, 7))
+                held = tuple(np.concatenate((x, y)) for x, y in zip(held, now, strict=True)) if held else now
+                own, rep, node, cell, size, comp, minor = held
+                edge = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (cell[1:] != cell[:-1]))))
                 for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     if b - a > 1:
-                        yield from compare(own[a:b], rep[a:b], size[a:b], comp[a:b])
-                a = int(edge[-1])
-                held = own[a:], rep[a:], node[a:], size[a:], comp[a:]
+                        yield from compare(own[a:b], rep[a:b], size[a:b], comp[a:b], minor[a:b] == 1, cell[a] == 0)
+                held = tuple(x[edge[-1] :] for x in held)
         if held and len(held[1]) > 1:
-            yield from compare(held[0], held[1], held[3], held[4])
+            own, rep, node, cell, size, comp, minor = held
+            yield from compare(own, rep, size, comp, minor == 1, cell[0] == 0)
 
-    dealt = rows.select("tokens", "rep", "node", "n_shingles", "comp").repartition("node")
-    return dealt.sortWithinPartitions("node").mapInArrow(run, PAIRS)
+    cells = F.ceil(F.col("members") / CELL).cast("int")
+    minor = F.col("comp") != F.col("major")
+    place = F.when(minor, F.sequence(F.lit(0), cells - 1)).otherwise(F.array((F.xxhash64("rep") % cells + cells) % cells))
+    dealt = rows.select("tokens", "rep", "node", F.explode(place.cast("array<bigint>")).alias("cell"), "n_shingles", "comp", minor.cast("int").alias("minor"))
+    return dealt.repartition("node", "cell").sortWithinPartitions("node", "cell").mapInArrow(run, PAIRS)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -270,13 +300,36 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return arrow_map(both, "u bigint, v bigint", make).distinct()
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and comp of the edges of one task, by union-find with the smaller root on top."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "comp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (the smallest node reachable) of every node with an edge (u, v).
 
-    Large-star and small-star steps by turns, each a few aggregations and joins; every
-    round is written to the shared folder, and the rounds end when the edges stay alike.
+    Up to ONE_TASK edges (16 bytes each; they are counted first) are united in one task.
+    More are united by large-star and small-star steps by turns, each a few aggregations
+    and joins; every round is written to the shared folder, and the rounds end when the
+    edges stay alike.
     """
     now = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if now.count() <= ONE_TASK:
+        return now.repartition(1).mapInArrow(_united, "node bigint, comp bigint")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -302,11 +355,12 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows with their component, of the nodes that hold more than one."""
+    """Rows with their component, of the nodes that hold more than one; `major`: the node's largest, `others`: members outside it."""
     rows = rows.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    rows = saved(rows, "members")
-    spread = rows.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
-    return rows.join(spread, "node", "left_semi")
+    parts = rows.groupBy("node", "comp").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("parts"))
+    whole = whole.where("parts > 1").select("node", F.col("top.comp").alias("major"), "members", (F.col("members") - F.col("top.n")).alias("others"))
+    return rows.select("rep", "node", "n_shingles", "tokens", "comp").join(whole, "node")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -327,14 +381,16 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     possible = None
     level = first
     for depth in range(1, MAX_DEPTH + 1):
-        rows = saved(_mixed(level, comps).select("rep", "node", "n_shingles", "tokens", "comp", "members"), "mixed")
-        small = rows if depth == MAX_DEPTH else rows.where(F.col("members") <= SMALL)
+        rows = saved(_mixed(level, comps), "mixed")
+        drop(level)
+        small = rows if depth == MAX_DEPTH else rows.where(F.col("others") <= SMALL)
         pairs = saved(within_nodes(small).select("u", "v").distinct(), "pairs")
         possible = pairs if possible is None else possible.unionByName(pairs)
-        large = rows.where(F.col("members") > SMALL)
+        large = rows.where(F.col("others") > SMALL)
         if depth == MAX_DEPTH or large.isEmpty():
             break
         level = saved(_counted(children(large)).join(own, "rep"), "nodes")
+        drop(rows)
     rest = saved(_cross(possible.distinct(), comps), "rest")
     return found.unionByName(confirmed(rest, docs))
 
@@ -350,13 +406,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     rows = saved(sketched(docs), "sketches")
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")
+        F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("roots").alias("roots")
     )
     classes = saved(classes, "classes")
+    whole, rows = rows, saved(rows.select("doc_id", "n_shingles", "k1", "k2"), "keys")
+    drop(whole)
     comps = saved(components(links(docs, classes)), "comps")
     named = classes.join(comps, classes["rep"] == comps["node"], "left")
     named = named.select("k1", "k2", "n_shingles", F.coalesce("comp", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
+    out = rows.join(named, ["k1", "k2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), _kept(component).alias("kept"))
 

@@ -45,17 +45,17 @@ from .ragged import U64, Words, mix, window_hashes, window_mask
 WIDTH = 5
 #: Links need PART * intersection >= WHOLE * union.
 PART, WHOLE = 100, 75
-COORDINATES = 128
+COORDINATES = 256
 TREES = 12
 #: A node is compared as a whole if at most SMALL members are outside its largest component.
-SMALL = 128
+SMALL = 512
 #: Members of a large node that one task compares with the others.
 CELL = 2000
 MAX_DEPTH = 16
 #: Neighbours that the first round compares each member with.
 NEIGHBOURS = 3
-#: A sketch of 128 tokens has a standard error of 0.04 at the threshold; pairs 4.5 errors below it are left out.
-POSSIBLE = 0.56
+#: A sketch of 256 tokens has a standard error of 0.027 at the threshold; pairs 4.4 errors below it are left out.
+POSSIBLE = 0.63
 #: Ids that are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Edges that one task unites into components; more are united by rounds over the cluster.

@@ -263,5 +263,8 @@ def test_pipeline_against_brute_force(spark):
     assert {r["doc_id"] for r in first.collect()} == {i for i, (_, c) in wanted.items() if i == c}
     out = corpus_pipeline.run(spark, SF)
     rows = out.collect()
-    assert rows and all(r["decodes"] and len(r["ids"]) == r["n_tokens"] for r in rows)
+    assert rows and all(len(r["ids"]) == r["n_tokens"] for r in rows)
+    mixed = {r["doc_id"]: r["text"] for r in cut.collect()}
+    decoded = bpe.decode(out.select("doc_id", "ids"), bpe.public_tokenizers.path(bpe.VOCABULARY)).collect()
+    assert all(r["decoded"].decode() == mixed[r["doc_id"]] for r in decoded)
     assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in first.collect()}

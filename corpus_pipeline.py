@@ -41,10 +41,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids and their number; the texts are what bpe.decode gives of the ids."""
+    """doc_id, source, ids and their number, and whether the ids decode to the text."""
     path = public_tokenizers.path(bpe.VOCABULARY)
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), path)
-    return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    ids = bpe.encode(docs.select("doc_id", "source", "text"), path, decodes="decodes")
+    return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decodes")
 
 
 STAGES = [

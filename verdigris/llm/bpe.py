@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -161,6 +162,13 @@ class Vocabulary:
         bounds = np.concatenate(([0], np.cumsum(taken)))[pre.bounds]
         return flat[expand(first[kind], taken)], bounds
 
+    def decode(self, flat: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+        """The bytes of one text after another, so that a caller need not hold them all."""
+        tokens, a = self.tokens, 0
+        for b in ends.tolist():
+            yield b"".join([tokens[i] for i in flat[a:b].tolist()])
+            a = b
+
 
 def vocabulary(spark: SparkSession, path: str):
     """The vocabulary file, read by the driver and broadcast: its size does not depend on the texts."""
@@ -172,22 +180,37 @@ def _fields(df: DataFrame, leave: str) -> tuple[list[str], str]:
     return [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Replaces the text column by `ids` array<int>."""
+def _gives(decoded: bytes, text: bytes | None) -> bool:
+    """Whether decoded ids are the text, with U+FFFD for bytes that are not UTF-8."""
+    text = text or b""
+    return decoded == text or decoded == text.decode("utf-8", "replace").encode()
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decodes: str | None = None) -> DataFrame:
+    """Replaces the text column by `ids` array<int>.
+
+    With a name for `decodes`, the ids of each text are decoded in the same step, one text
+    after another, and that column tells whether they give the text back.
+    """
     words = vocabulary(docs.sparkSession, path)
     names, fields = _fields(docs, text)
+    more = [decodes] if decodes else []
 
     def make():
         vocab = words.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            flat, bounds = vocab.encode(as_bytes(batch.column(0)))
-            out = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat, pa.int32()))
-            return pa.RecordBatch.from_arrays([*batch.columns[1:], out], [*names, ids])
+            texts = as_bytes(batch.column(0))
+            flat, bounds = vocab.encode(texts)
+            out = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat, pa.int32()))]
+            if decodes:
+                same = [_gives(x, t) for x, t in zip(vocab.decode(flat, bounds[1:]), texts, strict=True)]
+                out.append(pa.array(same, pa.bool_()))
+            return pa.RecordBatch.from_arrays([*batch.columns[1:], *out], [*names, ids, *more])
 
         return each
 
-    return arrow_map(docs.select(text, *names), f"{fields}, `{ids}` array<int>", make)
+    return arrow_map(docs.select(text, *names), ", ".join([fields, f"`{ids}` array<int>", *(f"`{c}` boolean" for c in more)]), make)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -196,16 +219,12 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     names, fields = _fields(rows, ids)
 
     def make():
-        tokens = words.value.tokens
+        vocab = words.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             lists = batch.column(0)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
-            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-            out, a = [], 0
-            for b in ends:
-                out.append(b"".join([tokens[i] for i in flat[a:b]]))
-                a = b
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            out = list(vocab.decode(lists.flatten().to_numpy(zero_copy_only=False), ends))
             return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], [*names, decoded])
 
         return each

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe
+from verdigris.llm import bpe, neardup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -25,3 +25,11 @@ def test_last_stage_decodes(spark, monkeypatch):
     monkeypatch.setattr(bpe, "vocabulary", lambda spark, path: spark.sparkContext.broadcast(wrong))
     rows = corpus_pipeline.tokenized(spark, docs, "").collect()
     assert all(r["decodes"] == (r["n_tokens"] == 0) for r in rows) and any(r["n_tokens"] for r in rows)
+
+
+def test_trees_meet_their_recall_on_the_last_level():
+    """A pair at 0.75 whose nodes all branch down to the last level, by an own count of its chances."""
+    q = 0.75
+    for _ in range(neardup.MAX_DEPTH - 1):
+        q = 0.75 * (2 / 3 * q + 1 / 3 * (1 - (1 - q) ** 2))
+    assert 1 - (1 - q) ** neardup.TREES >= 0.99

@@ -18,9 +18,10 @@ documents are linked if 100 * |A & B| >= 75 * |A | B|.
 
 Pairs inside one component are never listed, so large groups of near copies cost about
 as much as their members.  A node that is still large after MAX_DEPTH levels is compared
-exhaustively, in cells.  Two documents at the threshold miss all trees with probability
-below 0.25**12 at the first level and are found on deeper ones with 4/3 * 0.75 = 1
-child expected each, in 12 trees; recall is measured in the tests.
+exhaustively, in cells.  The number of trees is what RECALL asks for: two documents at
+the threshold whose nodes stay large down to MAX_DEPTH in every tree are still met with
+probability RECALL (0.99) at least, if tokens are independent; pairs met on upper levels,
+and likelier pairs, are lost more rarely.
 
 Edge cases: a text without words has an empty set and no links; fewer than WIDTH words
 are one shingle; a null text is empty; rows that share a doc_id are one document (links
@@ -31,6 +32,7 @@ rows; other columns are not looked at; texts of any length are compared whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,12 +48,26 @@ WIDTH = 5
 #: Links need PART * intersection >= WHOLE * union.
 PART, WHOLE = 100, 75
 COORDINATES = 256
-TREES = 12
 #: A node is compared as a whole if at most SMALL members are outside its largest component.
 SMALL = 512
 #: Members of a large node that one task compares with the others.
 CELL = 2000
 MAX_DEPTH = 16
+#: Probability, at least, that a pair at the threshold meets in a node of level MAX_DEPTH.
+RECALL = 0.99
+
+
+def trees_for(recall: float, depth: int, alike: float = WHOLE / PART) -> int:
+    """Trees that a pair needs to meet on level `depth` with this probability (roots: level 1)."""
+    meets = 1.0
+    for _ in range(depth - 1):
+        lost = 1 - alike * meets
+        # children() takes one coordinate, or two in one node of three.
+        meets = 1 - (2 * lost + lost * lost) / 3
+    return math.ceil(math.log(1 - recall) / math.log(1 - alike * meets))
+
+
+TREES = trees_for(RECALL, MAX_DEPTH)
 #: Neighbours that the first round compares each member with.
 NEIGHBOURS = 3
 #: A sketch of 256 tokens has a standard error of 0.027 at the threshold; pairs 4.4 errors below it are left out.

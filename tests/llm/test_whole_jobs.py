@@ -33,3 +33,23 @@ def test_trees_meet_their_recall_on_the_last_level():
     for _ in range(neardup.MAX_DEPTH - 1):
         q = 0.75 * (2 / 3 * q + 1 / 3 * (1 - (1 - q) ** 2))
     assert 1 - (1 - q) ** neardup.TREES >= 0.99
+
+
+def test_branching_keeps_pairs_of_a_large_family(spark, monkeypatch):
+    """A family 0.65 alike with pairs at 0.766, larger than SMALL: its nodes branch, and the recall is measured."""
+    levels, whole = [], neardup.children
+    monkeypatch.setattr(neardup, "SMALL", 30)
+    monkeypatch.setattr(neardup, "children", lambda rows: levels.append(rows.count()) or whole(rows))
+    common, rows = [f"c{j}" for j in range(300)], []
+    for k in range(100):
+        own = [f"{k}o{j}" for j in range(81)]
+        rows += [(2 * k, " ".join(common + own), "s"), (2 * k + 1, " ".join(common + own[:31] + [f"{k}n{j}" for j in range(50)]), "s")]
+    found = neardup.near_duplicates(frame(spark, rows)).select("doc_id", "component_id").collect()
+    flat, bounds = neardup.sets([t.encode() for _, t, _ in rows])
+    own = [set(flat[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    links = {(a, b) for b in range(len(own)) for a in range(b) if 4 * len(own[a] & own[b]) >= 3 * len(own[a] | own[b])}
+    assert links == {(2 * k, 2 * k + 1) for k in range(100)}
+    got = {r["doc_id"]: r["component_id"] for r in found}
+    met = sum(got[b] == a for a, b in links)
+    print(f"branched rows by level {levels}, recall {met / len(links)}")
+    assert levels and min(levels) > 30 and met >= 99 and all(got[a] == a for a, _ in links)

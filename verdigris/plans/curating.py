@@ -275,6 +275,13 @@ def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(spark, sf_dir, "supplier").where("s_suppkey < 20").select("s_nationkey"))
 
 
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def whole_key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O6 over whole tables: customers without an urgent order."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(urgent.select("o_custkey"))
+
+
 @query(f"WITH {PRED} SELECT generator, condition, count(*) AS n FROM pred GROUP BY ALL")
 def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each group, with a least number."""

@@ -1,8 +1,10 @@
 """Jobs that an operator or the pipeline must do whole."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from verdigris.llm import bpe, neardup
+from verdigris.llm.ragged import U64, mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,10 +33,59 @@ def test_trees_meet_their_recall_on_the_last_level():
     """A pair at 0.75 whose nodes all branch down to the last level, by an own count of its chances."""
     q = 0.75
     for _ in range(neardup.MAX_DEPTH - 1):
-        q = 0.75 * (2 / 3 * q + 1 / 3 * (1 - (1 - q) ** 2))
+        q = 0.75 * (1 / 2 * q + 1 / 2 * (1 - (1 - q) ** 2))
     assert 1 - (1 - q) ** neardup.TREES >= 0.99
 
 
+def test_pairs_stay_together_in_nodes_that_all_branch():
+    """1500 pairs whose tokens agree at 0.75, sent down 14 levels of all trees by the code itself."""
+    rng = np.random.default_rng(5)
+    left = rng.integers(0, 1 << 16, (1500, neardup.COORDINATES)).astype("<u2")
+    right = np.where(rng.random(left.shape) < 0.75, left, left + 1).astype("<u2")
+    met = np.zeros(1500, bool)
+    for tree in range(neardup.TREES):
+        pair = np.flatnonzero(rng.random(1500) < 0.75)
+        node = mix(pair.astype(U64), 7 + tree).view(np.int64)
+        for _ in range(14):
+            (i, a), (j, b) = neardup.branched(left[pair], node), neardup.branched(right[pair], node)
+            both = (i == j) & (a == b)
+            pair, node = pair[i[both]], a[both]
+        met[pair] = True
+    print(f"recall {met.mean():.4f}")
+    assert met.mean() >= 0.98
+
+
+def test_exact_decision_in_leaves_equals_brute_force(spark, monkeypatch):
+    """A leaf of many members in several cells: every link of its outsiders is found, and fewer links come out than members."""
+    monkeypatch.setattr(neardup, "CELL", 16)
+    rng = np.random.default_rng(6)
+    base = [f"b{j}" for j in range(60)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for place in rng.choice(60, rng.integers(0, 5), replace=False):
+            words[place] = f"r{rng.integers(1 << 30)}"
+        rows.append((k, " ".join(words), "s"))
+    docs = frame(spark, rows)
+    leaf = spark.createDataFrame([(k, 9, 56, k if k < 30 else 100, 100, 60, 60 * 56, 30) for k in range(60)], "rep long, node long, n_shingles long, comp long, major long, members long, shingles long, others long")
+    own = neardup.sketched(docs).select(F.col("doc_id").alias("rep"), "tokens")
+    asks = neardup.asked(leaf.join(own, "rep"))
+    got = [tuple(r) for r in neardup.decided(asks, docs).collect()]
+    flat, bounds = neardup.sets([t.encode() for _, t, _ in rows])
+    sets = [set(flat[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    links = {(b, a) for b in range(60) for a in range(b) if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    assert set(got) <= links and len(got) < 60 * 4
+
+    def united(edges):
+        root = list(range(30)) + [100] * 30 + list(range(60, 101))
+        for u, v in edges:
+            a, b = root[u], root[v]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root[:60]
+
+    assert united(got) == united(links)
+
+
 def test_branching_keeps_pairs_of_a_large_family(spark, monkeypatch):
     """A family 0.65 alike with pairs at 0.766, larger than SMALL: its nodes branch, and the recall is measured."""
     levels, whole = [], neardup.children

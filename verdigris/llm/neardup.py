@@ -7,21 +7,27 @@ documents are linked if 100 * |A & B| >= 75 * |A | B|.
 2. Each class gets COORDINATES minwise tokens.  TREES independent trees start with one
    token each; a node holds the classes that share all tokens on its path.
 3. A first round compares neighbours inside each node, in an order that follows the
-   node's further tokens; the likest pairs are confirmed on full sets and linked into
-   components.  A node whose members are one component is finished.
-4. A node with few members outside its largest component is then compared exhaustively
-   across components.  Another one branches: its own hash selects the next coordinates
-   (4/3 of them on average, the inverse of the threshold), and its members go to the
-   children that their tokens name.
-5. What a sketch of all tokens leaves as possible is confirmed on full sets, and the
-   links make the components.
-
-Pairs inside one component are never listed, so large groups of near copies cost about
-as much as their members.  A node that is still large after MAX_DEPTH levels is compared
-exhaustively, in cells.  The number of trees is what RECALL asks for: two documents at
-the threshold whose nodes stay large down to MAX_DEPTH in every tree are still met with
-probability RECALL (0.99) at least, if tokens are independent; pairs met on upper levels,
-and likelier pairs, are lost more rarely.
+   node's further tokens; each class's likest pairs are confirmed on full sets and linked
+   into components.  A node whose members are one component is finished.
+4. A node with at most SMALL members outside its largest component is a leaf.  Another one
+   branches: its own hash selects one or two of the next coordinates (3/2 on average),
+   and its members go to the children that their tokens name.
+5. In a leaf the members outside the largest component are compared with all members by
+   their tokens.  Those with a possible partner ask for their full sets, which come to the
+   leaf once for each member; there all pairs are decided exactly, and the leaf emits
+   links that connect what belongs together: fewer than it has members.
+
+So no pair is ever a row but the few likest of each class, and large groups of near
+copies, linked or only somewhat alike, cost about as much as their members.  A node that
+is still large after MAX_DEPTH levels is compared exhaustively, in chunks and cells.
+
+Recall: two documents at the threshold that share a node share one of its children, at
+least, with a probability that makes a branching process of mean 9/8: above 1, so a pair
+stays together down to any depth with probability 4/9 at least.  TREES is what RECALL
+asks for from that, if tokens are independent: 0.99 at any depth, more for pairs that are
+more alike or whose nodes end early.  The tokens' estimate leaves out pairs below
+POSSIBLE: a pair at the threshold falls below it with probability 1e-5 (the binomial of
+256 tokens at 0.75); `possible=0` leaves none out.
 
 Edge cases: a text without words has an empty set and no links; fewer than WIDTH words
 are one shingle; a null text is empty; rows that share a doc_id are one document (links
@@ -33,7 +39,7 @@ rows; other columns are not looked at; texts of any length are compared whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +54,12 @@ WIDTH = 5
 #: Links need PART * intersection >= WHOLE * union.
 PART, WHOLE = 100, 75
 COORDINATES = 256
-#: A node is compared as a whole if at most SMALL members are outside its largest component.
-SMALL = 512
-#: Members of a large node that one task compares with the others.
-CELL = 2000
-MAX_DEPTH = 16
-#: Probability, at least, that a pair at the threshold meets in a node of level MAX_DEPTH.
+#: A node is a leaf if at most SMALL members are outside its largest component.
+SMALL = 64
+#: Members and shingles of a leaf that one task holds at a time, about.
+CELL, CELL_SHINGLES = 500, 2_000_000
+MAX_DEPTH = 40
+#: Probability, at least, that a pair at the threshold meets, however deep its nodes branch.
 RECALL = 0.99
 
 
@@ -62,20 +68,22 @@ def trees_for(recall: float, depth: int, alike: float = WHOLE / PART) -> int:
     meets = 1.0
     for _ in range(depth - 1):
         lost = 1 - alike * meets
-        # children() takes one coordinate, or two in one node of three.
-        meets = 1 - (2 * lost + lost * lost) / 3
+        # children() takes one coordinate or two, each in half of the nodes.
+        meets = 1 - (lost + lost * lost) / 2
     return math.ceil(math.log(1 - recall) / math.log(1 - alike * meets))
 
 
 TREES = trees_for(RECALL, MAX_DEPTH)
-#: Neighbours that the first round compares each member with.
-NEIGHBOURS = 3
+#: Neighbours that the first round compares each member with, and pairs of each class that it confirms.
+NEIGHBOURS, LIKEST = 4, 3
 #: A sketch of 256 tokens has a standard error of 0.027 at the threshold; pairs 4.4 errors below it are left out.
 POSSIBLE = 0.63
 #: Ids that are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Edges that one task unites into components; more are united by rounds over the cluster.
 ONE_TASK = 1_000_000
+#: Parts that the rows of a hot key are dealt to where they meet its totals.
+SALTS = 64
 _FACTORS = mix(np.arange(COORDINATES, dtype=U64), 801) | U64(1)
 _SHIFTS = mix(np.arange(COORDINATES, dtype=U64), 802)
 
@@ -178,19 +186,24 @@ def roots(classes: DataFrame) -> DataFrame:
     return arrow_map(classes.select("tokens", "rep", "roots"), "rep bigint, node bigint, path binary", make)
 
 
+def branched(own: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and child of rows with these tokens in these nodes: each node takes one coordinate or two."""
+    node = node.view(U64)
+    first = (mix(node, 58) % U64(COORDINATES)).astype(np.int64)
+    second = (first + 1 + (mix(node, 59) % U64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
+    twice = np.flatnonzero(mix(node, 60) % U64(2) == 0)
+    at, coordinate = np.concatenate((np.arange(len(node)), twice)), np.concatenate((first, second[twice]))
+    token = own[at, coordinate].astype(U64)
+    return at, mix(mix(node[at] + coordinate.astype(U64), 63) + token, 64).view(np.int64)
+
+
 def children(rows: DataFrame) -> DataFrame:
     """rep and node on the next level, of rows (tokens, rep, node)."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own, rep, node = _matrix(batch.column(0)), _longs(batch.column(1)), _longs(batch.column(2)).view(U64)
-            first = (mix(node, 58) % U64(COORDINATES)).astype(np.int64)
-            second = (first + 1 + (mix(node, 59) % U64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
-            twice = np.flatnonzero(mix(node, 60) % U64(3) == 0)
-            at, coordinate = np.concatenate((np.arange(len(rep)), twice)), np.concatenate((first, second[twice]))
-            token = own[at, coordinate].astype(U64)
-            child = mix(mix(node[at] + coordinate.astype(U64), 63) + token, 64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(child)], ["rep", "node"])
+            at, child = branched(_matrix(batch.column(0)), _longs(batch.column(2)))
+            return pa.RecordBatch.from_arrays([pa.array(_longs(batch.column(1))[at]), pa.array(child)], ["rep", "node"])
 
         return each
 
@@ -240,58 +253,137 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("node", "path", "rep").select("tokens", "rep", "node", "n_shingles").mapInArrow(run, PAIRS)
 
 
-def within_nodes(rows: DataFrame) -> DataFrame:
-    """Possible pairs between members of each node that are in different components.
+def _groups(batches: Iterator[pa.RecordBatch], width: int, first: Callable, limit: int) -> Iterator[tuple]:
+    """Columns of each group of rows that agree in their last `width` columns; rows come in that order.
 
-    Pairs inside the node's largest component need no look, so the others (the minority)
-    are compared with all members and with each other.  A large node is cut into cells
-    of CELL members, each with a copy of the minority.
+    first: what column 0 is turned into; the other columns are longs.
     """
-
-    def compare(own, rep, size, comp, minor, head) -> Iterator[pa.RecordBatch]:
-        few, many = np.flatnonzero(minor), np.flatnonzero(~minor)
-        step = max(1, 100_000 // len(rep))
-        for k in range(0, len(few), step):
-            part = few[k : k + step]
-            a, b = np.repeat(part, len(many)), np.tile(many, len(part))
-            if head:
-                x, y = np.repeat(part, len(few)), np.tile(few, len(part))
-                apart = (x < y) & (comp[x] != comp[y])
-                a, b = np.concatenate((a, x[apart])), np.concatenate((b, y[apart]))
-            if len(a):
-                yield _pairs(rep, a, b, _estimates(own, size, a, b))
+    held = None
+    for batch in batches:
+        for piece in pieces(batch, limit):
+            now = first(piece.column(0)), *(_longs(piece.column(k)) for k in range(1, piece.num_columns))
+            held = tuple(np.concatenate((x, y)) for x, y in zip(held, now, strict=True)) if held else now
+            if not len(held[1]):
+                continue
+            differs = np.zeros(len(held[1]) - 1, bool)
+            for column in held[-width:]:
+                differs |= column[1:] != column[:-1]
+            edge = np.concatenate(([0], np.flatnonzero(differs) + 1))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                yield tuple(x[a:b] for x in held)
+            held = tuple(x[edge[-1] :] for x in held)
+    if held and len(held[1]):
+        yield held
+
+
+def asked(leaves: DataFrame, possible: float | None = None) -> DataFrame:
+    """rep, comp, few, node, chunk, cell: members whose full sets are asked for, and where.
+
+    Members inside a leaf's largest component need no look at each other.  All members are
+    dealt to cells, the others (the few) also to chunks, and each chunk meets each cell; a
+    leaf above MAX_DEPTH has one chunk.  A member is asked for where its tokens leave it a
+    possible partner in another component.
+    """
+    possible = POSSIBLE if possible is None else possible
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            for piece in pieces(batch, 4_000_000):
-                now = _matrix(piece.column(0)), *(_longs(piece.column(k)) for k in range(1, 7))
-                held = tuple(np.concatenate((x, y)) for x, y in zip(held, now, strict=True)) if held else now
-                own, rep, node, cell, size, comp, minor = held
-                edge = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (cell[1:] != cell[:-1]))))
-                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    if b - a > 1:
-                        yield from compare(own[a:b], rep[a:b], size[a:b], comp[a:b], minor[a:b] == 1, cell[a] == 0)
-                held = tuple(x[edge[-1] :] for x in held)
-        if held and len(held[1]) > 1:
-            own, rep, node, cell, size, comp, minor = held
-            yield from compare(own, rep, size, comp, minor == 1, cell[0] == 0)
-
-    cells = F.ceil(F.col("members") / CELL).cast("int")
-    minor = F.col("comp") != F.col("major")
-    place = F.when(minor, F.sequence(F.lit(0), cells - 1)).otherwise(F.array((F.xxhash64("rep") % cells + cells) % cells))
-    dealt = rows.select("tokens", "rep", "node", F.explode(place.cast("array<bigint>")).alias("cell"), "n_shingles", "comp", minor.cast("int").alias("minor"))
-    return dealt.repartition("node", "cell").sortWithinPartitions("node", "cell").mapInArrow(run, PAIRS)
-
+        for own, rep, size, comp, few, node, chunk, cell in _groups(batches, 3, _matrix, 4_000_000):
+            x, y = np.flatnonzero(few == 1), np.flatnonzero(few == 0)
+            want = np.zeros(len(rep), bool)
+            step = max(1, 100_000 // max(len(y), 1))
+            for k in range(0, len(x), step):
+                part = x[k : k + step]
+                a, b = np.repeat(part, len(y)), np.tile(y, len(part))
+                apart = comp[a] != comp[b]
+                a, b = a[apart], b[apart]
+                hit = _estimates(own, size, a, b) >= max(possible, 1e-9)
+                want[a[hit]] = want[b[hit]] = True
+            if want.any():
+                cols = [pa.array(c[want]) for c in (rep, comp, few, node, chunk, cell)]
+                yield pa.RecordBatch.from_arrays(cols, ["rep", "comp", "few", "node", "chunk", "cell"])
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are links, by their full sets."""
-    ids = saved(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
+    minor = F.col("comp") != F.col("major")
+    cells = F.ceil(F.greatest(F.col("members") / CELL, F.col("shingles") / CELL_SHINGLES, F.lit(1.0))).cast("int")
+    chunks = F.ceil(F.greatest(F.col("others") / (4 * SMALL), F.lit(1.0))).cast("int")
+    place = lambda x, y, few: F.struct(x.cast("long").alias("chunk"), y.cast("long").alias("cell"), F.lit(few).alias("few"))
+    own_cell, own_chunk = F.pmod(F.xxhash64("rep"), cells), F.pmod(F.xxhash64("rep", F.lit(1)), chunks)
+    as_member = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: place(k, own_cell, 0))
+    as_few = F.transform(F.sequence(F.lit(0), cells - 1), lambda k: place(own_chunk, k, 1))
+    dealt = leaves.select("tokens", "rep", "n_shingles", "comp", "node", F.explode(F.when(minor, F.concat(as_member, as_few)).otherwise(as_member)).alias("p"))
+    dealt = dealt.select("tokens", "rep", "n_shingles", "comp", "p.few", "node", "p.chunk", "p.cell")
+    dealt = dealt.repartition("node", "chunk", "cell").sortWithinPartitions("node", "chunk", "cell")
+    return dealt.mapInArrow(run, "rep bigint, comp bigint, few bigint, node bigint, chunk bigint, cell bigint")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents `ids` (doc_id), equal rows once."""
     # Ids of a checked number are broadcast; beyond it, texts and ids meet in a shuffle.
     few = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    rows = rows.groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text")
+    return rows.groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text")
+
+
+def decided(asks: DataFrame, docs: DataFrame) -> DataFrame:
+    """u and v of links that connect what the full sets link in each (node, chunk, cell) of `asks`.
+
+    A member's set comes once to each place where it is asked for.  Members of one
+    component count as connected, so a place emits fewer links than it has members.
+    """
+
+    def make_sets():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            flat, bounds = sets(as_bytes(batch.column(0)))
+            own = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * 8), pa.py_buffer(flat)])
+            return pa.RecordBatch.from_arrays([batch.column(1), own.cast(pa.binary())], ["rep", "shingles"])
+
+        return each
+
+    def arrays(column: pa.Array) -> np.ndarray:
+        out = np.empty(len(column), object)
+        out[:] = [np.frombuffer(x, U64) for x in column.to_pylist()] or []
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, rep, comp, few, *_ in _groups(batches, 3, arrays, 16_000_000):
+            size = np.array([len(x) for x in own])
+            first = np.cumsum(size) - size
+            kind = np.unique(np.concatenate(own), return_inverse=True)[1]
+            marked = np.zeros(len(kind), np.int32)
+            root = {int(c): int(c) for c in comp}
+            links = []
+
+            def find(x: int) -> int:
+                while (up := root[x]) != x:  # noqa: B023
+                    root[x] = root[up]  # noqa: B023
+                    x = up
+                return x
+
+            for x in np.flatnonzero(few == 1).tolist():
+                mine = kind[first[x] : first[x] + size[x]]
+                marked[mine] = 1
+                common = np.add.reduceat(marked[kind], first)
+                marked[mine] = 0
+                for y in np.flatnonzero((few == 0) & (PART * common >= WHOLE * (size[x] + size - common))).tolist():
+                    a, b = find(int(comp[x])), find(int(comp[y]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        links.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
+            if links:
+                u, v = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    texts = _texts(docs, saved(asks.select(F.col("rep").alias("doc_id")).distinct(), "ids"))
+    whole = arrow_map(texts.select("text", "doc_id"), "rep bigint, shingles binary", make_sets).where(F.length("shingles") > 0)
+    met = whole.join(asks, "rep").select("shingles", "rep", "comp", "few", "node", "chunk", "cell")
+    met = met.repartition("node", "chunk", "cell").sortWithinPartitions("node", "chunk", "cell")
+    return met.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are links, by their full sets."""
+    ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    rows = _texts(docs, saved(ends, "ids"))
     left = rows.toDF("u", "u_text")
     right = rows.toDF("v", "v_text")
     both = pairs.select("u", "v").join(left, "u").join(right, "v").select("u_text", "v_text", "u", "v")
@@ -349,10 +441,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
+        large = _with_totals(both, "u", "v", F.least(F.min("v"), F.first("u")).alias("m"))
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_totals(large, "u", "v", F.min("v").alias("m"))
+        small = small.select("u", F.col("m").alias("v")).union(small.select("v", "m"))
         after = saved(small.where("u <> v").distinct(), "edges")
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop(now)
@@ -365,72 +457,89 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def _bits() -> Column:
+    """The salts of a group, one bit each."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)"))
+
+
+def _salts(bits: str = "salts") -> Column:
+    """One row for each salt whose bit is set."""
+    return F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), k -> (shiftright({bits}, k) & 1L) = 1L)")).alias("salt")
+
+
+def _with_totals(rows: DataFrame, key: str, spread: str, *totals: Column, where: str = "true") -> DataFrame:
+    """rows with aggregates of their key; the rows of a hot key meet them in SALTS tasks, parted by `spread`."""
+    rows = rows.withColumn("salt", _salt(spread))
+    found = rows.groupBy(key).agg(*totals, _bits().alias("salts")).where(where)
+    found = found.select("*", _salts()).drop("salts")
+    return rows.join(found, [key, "salt"]).drop("salt")
+
+
 def _counted(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two members or more."""
-    return rows.join(rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"), "node")
+    return _with_totals(rows, "node", "rep", F.count("*").alias("members"), where="members > 1")
 
 
 def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows with their component, of the nodes that hold more than one; `major`: the node's largest, `others`: members outside it."""
     rows = rows.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    parts = rows.groupBy("node", "comp").agg(F.count("*").alias("n"))
-    whole = parts.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("parts"))
-    whole = whole.where("parts > 1").select("node", F.col("top.comp").alias("major"), "members", (F.col("members") - F.col("top.n")).alias("others"))
-    return rows.select("rep", "node", "n_shingles", "tokens", "comp").join(whole, "node")
-
-
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    rows = rows.withColumn("salt", _salt("rep"))
+    parts = rows.groupBy("node", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), _bits().alias("salts"))
+    whole = parts.groupBy("node").agg(
+        F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("members"), F.sum("shingles").alias("shingles"),
+        F.count("*").alias("parts"), F.bit_or("salts").alias("salts"),
+    ).where("parts > 1")
+    others = (F.col("members") - F.col("top.n")).alias("others")
+    whole = whole.select("node", F.col("top.comp").alias("major"), "members", "shingles", others, _salts())
+    return rows.select("rep", "node", "n_shingles", "tokens", "comp", "salt").join(whole, ["node", "salt"]).drop("salt")
+
+
+def links(docs: DataFrame, classes: DataFrame, possible: float | None = None) -> DataFrame:
     """u and v of links that connect every component of the classes (rep, n_shingles, tokens)."""
     own = classes.select("rep", "n_shingles", "tokens")
-    first = saved(_counted(roots(classes)).join(own, "rep"), "nodes")
-    near = saved(neighbours(first).groupBy("u", "v").agg(F.max("near").alias("near")), "near")
+    level = saved(_counted(roots(classes)).join(own, "rep"), "nodes")
+    near = neighbours(level).groupBy("u", "v").agg(F.max("near").alias("near"))
     ends = near.select("u", "v", "near", F.explode(F.array("u", "v")).alias("end"))
     place = F.row_number().over(W.partitionBy("end").orderBy(F.desc("near"), "u", "v"))
-    best = saved(ends.withColumn("place", place).where("place <= 2").select("u", "v").distinct(), "best")
+    best = saved(ends.withColumn("place", place).where(F.col("place") <= LIKEST).select("u", "v").distinct(), "best")
     found = saved(confirmed(best, docs), "links")
     comps = saved(components(found), "comps")
-    other = _cross(near.join(best, ["u", "v"], "left_anti"), comps)
-    more = saved(confirmed(saved(other, "other"), docs), "links")
-    found = saved(found.unionByName(more), "links")
-    comps = saved(components(found), "comps")
 
-    possible = None
-    level = first
+    asks = None
     for depth in range(1, MAX_DEPTH + 1):
         rows = saved(_mixed(level, comps), "mixed")
         drop(level)
-        small = rows if depth == MAX_DEPTH else rows.where(F.col("others") <= SMALL)
-        pairs = saved(within_nodes(small).select("u", "v").distinct(), "pairs")
-        possible = pairs if possible is None else possible.unionByName(pairs)
+        last = depth == MAX_DEPTH
+        asks_here = saved(asked(rows if last else rows.where(F.col("others") <= SMALL), possible), "asks")
+        asks = asks_here if asks is None else asks.unionByName(asks_here)
         large = rows.where(F.col("others") > SMALL)
-        if depth == MAX_DEPTH or large.isEmpty():
+        if last or large.isEmpty():
             break
         level = saved(_counted(children(large)).join(own, "rep"), "nodes")
         drop(rows)
-    rest = saved(_cross(possible.distinct(), comps), "rest")
-    return found.unionByName(confirmed(rest, docs))
-
-
-def _cross(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose ends are not in one component."""
-    of = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
-    rows = pairs.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left")
-    return rows.where(F.coalesce("u_comp", "u") != F.coalesce("v_comp", "v")).select("u", "v")
+    return found.unionByName(decided(asks, docs))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
-    rows = saved(sketched(docs), "sketches")
-    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n_shingles").agg(
+def near_duplicates(docs: DataFrame, possible: float | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row; `possible` replaces POSSIBLE (0: every pair of a leaf is decided on full sets)."""
+    key = ["k1", "k2", "n_shingles"]
+    whole = saved(sketched(docs).withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int")), "sketches")
+    classes = whole.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(key).agg(
         F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("roots").alias("roots")
     )
     classes = saved(classes, "classes")
-    whole, rows = rows, saved(rows.select("doc_id", "n_shingles", "k1", "k2"), "keys")
+    rows = saved(whole.select("doc_id", *key, "salt"), "keys")
     drop(whole)
-    comps = saved(components(links(docs, classes)), "comps")
-    named = classes.join(comps, classes["rep"] == comps["node"], "left")
-    named = named.select("k1", "k2", "n_shingles", F.coalesce("comp", "rep").alias("component"))
-    out = rows.join(named, ["k1", "k2", "n_shingles"], "left")
+    comps = saved(components(links(docs, classes, possible)), "comps")
+    named = classes.join(comps, classes["rep"] == comps["node"], "left").select(*key, F.coalesce("comp", "rep").alias("component"))
+    # A class of any number of copies meets its component in SALTS tasks.
+    salts = rows.where("n_shingles > 0").groupBy(key).agg(_bits().alias("salts"))
+    named = named.join(salts, key).select(*key, "component", _salts())
+    out = rows.join(named, [*key, "salt"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), _kept(component).alias("kept"))
 

@@ -55,7 +55,7 @@ WIDTH = 5
 PART, WHOLE = 100, 75
 COORDINATES = 256
 #: A node is a leaf if at most SMALL members are outside its largest component.
-SMALL = 64
+SMALL = 256
 #: Members and shingles of a leaf that one task holds at a time, about.
 CELL, CELL_SHINGLES = 500, 2_000_000
 MAX_DEPTH = 40
@@ -75,7 +75,7 @@ def trees_for(recall: float, depth: int, alike: float = WHOLE / PART) -> int:
 
 TREES = trees_for(RECALL, MAX_DEPTH)
 #: Neighbours that the first round compares each member with, and pairs of each class that it confirms.
-NEIGHBOURS, LIKEST = 4, 3
+NEIGHBOURS, LIKEST = 3, 2
 #: A sketch of 256 tokens has a standard error of 0.027 at the threshold; pairs 4.4 errors below it are left out.
 POSSIBLE = 0.63
 #: Ids that are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
@@ -198,16 +198,18 @@ def branched(own: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def children(rows: DataFrame) -> DataFrame:
-    """rep and node on the next level, of rows (tokens, rep, node)."""
+    """rep, node, n_shingles and comp on the next level, of rows (tokens, rep, node, n_shingles, comp)."""
+    names = ["rep", "node", "n_shingles", "comp"]
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             at, child = branched(_matrix(batch.column(0)), _longs(batch.column(2)))
-            return pa.RecordBatch.from_arrays([pa.array(_longs(batch.column(1))[at]), pa.array(child)], ["rep", "node"])
+            rep, size, comp = (_longs(batch.column(k))[at] for k in (1, 3, 4))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (rep, child, size, comp)], names)
 
         return each
 
-    return arrow_map(rows.select("tokens", "rep", "node"), "rep bigint, node bigint", make)
+    return arrow_map(rows.select("tokens", *names), ", ".join(f"{n} bigint" for n in names), make)
 
 
 def _estimates(own: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -304,7 +306,7 @@ def asked(leaves: DataFrame, possible: float | None = None) -> DataFrame:
 
     minor = F.col("comp") != F.col("major")
     cells = F.ceil(F.greatest(F.col("members") / CELL, F.col("shingles") / CELL_SHINGLES, F.lit(1.0))).cast("int")
-    chunks = F.ceil(F.greatest(F.col("others") / (4 * SMALL), F.lit(1.0))).cast("int")
+    chunks = F.ceil(F.greatest(F.col("others") / (2 * SMALL), F.lit(1.0))).cast("int")
     place = lambda x, y, few: F.struct(x.cast("long").alias("chunk"), y.cast("long").alias("cell"), F.lit(few).alias("few"))
     own_cell, own_chunk = F.pmod(F.xxhash64("rep"), cells), F.pmod(F.xxhash64("rep", F.lit(1)), chunks)
     as_member = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: place(k, own_cell, 0))
@@ -484,9 +486,8 @@ def _counted(rows: DataFrame) -> DataFrame:
     return _with_totals(rows, "node", "rep", F.count("*").alias("members"), where="members > 1")
 
 
-def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows with their component, of the nodes that hold more than one; `major`: the node's largest, `others`: members outside it."""
-    rows = rows.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (rep, node, n_shingles, comp) of the nodes that hold more than one component; `major`: the node's largest, `others`: members outside it."""
     rows = rows.withColumn("salt", _salt("rep"))
     parts = rows.groupBy("node", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), _bits().alias("salts"))
     whole = parts.groupBy("node").agg(
@@ -495,32 +496,32 @@ def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
     ).where("parts > 1")
     others = (F.col("members") - F.col("top.n")).alias("others")
     whole = whole.select("node", F.col("top.comp").alias("major"), "members", "shingles", others, _salts())
-    return rows.select("rep", "node", "n_shingles", "tokens", "comp", "salt").join(whole, ["node", "salt"]).drop("salt")
+    return rows.join(whole, ["node", "salt"]).drop("salt")
 
 
 def links(docs: DataFrame, classes: DataFrame, possible: float | None = None) -> DataFrame:
-    """u and v of links that connect every component of the classes (rep, n_shingles, tokens)."""
-    own = classes.select("rep", "n_shingles", "tokens")
-    level = saved(_counted(roots(classes)).join(own, "rep"), "nodes")
-    near = neighbours(level).groupBy("u", "v").agg(F.max("near").alias("near"))
+    """u and v of links that connect every component of the classes (rep, n_shingles, tokens, roots)."""
+    own = classes.select("rep", "tokens")
+    first = saved(_counted(roots(classes)), "nodes")
+    near = neighbours(first.join(classes.select("rep", "n_shingles", "tokens"), "rep")).groupBy("u", "v").agg(F.max("near").alias("near"))
     ends = near.select("u", "v", "near", F.explode(F.array("u", "v")).alias("end"))
     place = F.row_number().over(W.partitionBy("end").orderBy(F.desc("near"), "u", "v"))
     best = saved(ends.withColumn("place", place).where(F.col("place") <= LIKEST).select("u", "v").distinct(), "best")
     found = saved(confirmed(best, docs), "links")
-    comps = saved(components(found), "comps")
+    comps = saved(components(found), "comps").select(F.col("node").alias("rep"), "comp")
 
-    asks = None
+    # The levels move numbers only; tokens come to the rows of large nodes, and to all leaves at the end.
+    whole = classes.select("rep", "n_shingles").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    level, leaves = first.select("rep", "node").join(whole, "rep").select("rep", "node", "n_shingles", "comp"), None
     for depth in range(1, MAX_DEPTH + 1):
-        rows = saved(_mixed(level, comps), "mixed")
-        drop(level)
-        last = depth == MAX_DEPTH
-        asks_here = saved(asked(rows if last else rows.where(F.col("others") <= SMALL), possible), "asks")
-        asks = asks_here if asks is None else asks.unionByName(asks_here)
-        large = rows.where(F.col("others") > SMALL)
+        mixed, last = saved(_mixed(level), "mixed"), depth == MAX_DEPTH
+        ended = mixed if last else mixed.where(F.col("others") <= SMALL)
+        leaves = ended if leaves is None else leaves.unionByName(ended)
+        large = mixed.where(F.col("others") > SMALL).drop("major", "members", "shingles", "others")
         if last or large.isEmpty():
             break
-        level = saved(_counted(children(large)).join(own, "rep"), "nodes")
-        drop(rows)
+        level = saved(children(large.join(own, "rep")), "children")
+    asks = saved(asked(leaves.join(own, "rep"), possible), "asks")
     return found.unionByName(decided(asks, docs))
 
 

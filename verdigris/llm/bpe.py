@@ -9,7 +9,9 @@ has merged it remembers up to a bound.
 
 Edge cases: null and empty texts give no ids and decode to nothing; bytes that are not
 UTF-8 are read as U+FFFD; special tokens' strings are ordinary text; very long texts
-and pre-tokens are encoded whole in n log n steps; other columns are carried through.
+and pre-tokens are encoded whole in n log n steps; null and repeated doc_ids are carried
+through row by row; an empty table gives no rows; other columns are carried through, but
+those that have the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, table
+from .common import arrow_map, as_bytes, table, without
 from .pretokens import PreTokens
 from .ragged import expand, mix, span_hashes
 
@@ -175,8 +177,9 @@ def vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Vocabulary(read_ranks(path)))
 
 
-def _fields(df: DataFrame, leave: str) -> tuple[list[str], str]:
-    kept = [f for f in df.schema if f.name != leave]
+def _fields(df: DataFrame, *leave: str) -> tuple[list[str], str]:
+    names = without(df, *leave)
+    kept = [f for f in df.schema if f.name in names]
     return [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
 
@@ -187,14 +190,14 @@ def _gives(decoded: bytes, text: bytes | None) -> bool:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decodes: str | None = None) -> DataFrame:
-    """Replaces the text column by `ids` array<int>.
+    """Replaces the text column by `ids` array<int>; columns that already have the name of a result are replaced.
 
     With a name for `decodes`, the ids of each text are decoded in the same step, one text
     after another, and that column tells whether they give the text back.
     """
     words = vocabulary(docs.sparkSession, path)
-    names, fields = _fields(docs, text)
     more = [decodes] if decodes else []
+    names, fields = _fields(docs, text, ids, *more)
 
     def make():
         vocab = words.value
@@ -214,9 +217,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Replaces the ids column by the bytes that they stand for."""
+    """Replaces the ids column by the bytes that they stand for; a column that already has the name of the result is replaced."""
     words = vocabulary(rows.sparkSession, path)
-    names, fields = _fields(rows, ids)
+    names, fields = _fields(rows, ids, decoded)
 
     def make():
         vocab = words.value

@@ -7,7 +7,8 @@ last is put behind the first character of each control string.
 Edge cases: null texts and roles are empty; turns of equal number are ordered by role,
 then text; a null turn comes first; rows of a null conv_id are one conversation; an
 empty table gives no rows; other columns are not looked at; an empty conversation
-cannot occur, since a conversation is its rows.
+cannot occur, since a conversation is its rows.  A conversation is one row, so it has to
+fit in one; the query adds two rows to conversation -1, also if there is one already.
 """
 
 from __future__ import annotations

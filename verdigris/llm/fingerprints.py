@@ -13,7 +13,7 @@ fingerprints estimates the Jaccard similarity of the sets, and is exact for smal
 
 Edge cases: a null text is empty; an empty text has the empty fingerprint, like 1 to
 itself and 0 to all others; equal texts have equal fingerprints; rows are ordered by
-doc_id, null first, and repeated doc_ids by text; a single document is its own next;
+doc_id (numbers by value, texts by their UTF-8 bytes), null first, and repeated doc_ids by text; a single document is its own next;
 an empty table gives no rows; other columns are not looked at; texts of any length are
 parsed whole.
 """
@@ -21,20 +21,26 @@ parsed whole.
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import NumericType
 
-from .common import CHUNK, as_bytes, table
+from .common import CHUNK, arrow_map, as_bytes, table, without
 from .ragged import BYTE_KEYS, U64, chunks, hashes_of_spans, mix
 
 LEVELS = (2, 3)
 SKETCH = 64
+#: Bytes of text of one range of documents, about.
+RANGE_BYTES = 128 << 20
 _DE_BRUIJN = 0x03F79D71B4CB0A89
 _PLACE = np.zeros(64, np.uint8)
 _PLACE[[((_DE_BRUIJN << k) & 0xFFFFFFFFFFFFFFFF) >> 58 for k in range(64)]] = np.arange(64)
@@ -129,9 +135,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns and the fingerprint of each row's text."""
-    from .common import arrow_map
-
+    """`keep` columns and the fingerprint of each row's text; a kept column of the name `fingerprint` is replaced."""
+    keep = tuple(without(docs.select(*keep), "fingerprint"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
 
     def make():
@@ -144,15 +149,31 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return arrow_map(docs.select(text, *keep), ", ".join([*fields, "fingerprint string"]), make)
 
 
+def _place(docs: DataFrame) -> Column:
+    """A double that never falls where doc_id rises: the number itself, or six bytes of a text behind the common prefix of all."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, NumericType):
+        return F.col("doc_id").cast("double")
+    name = F.col("doc_id").cast("string")
+    least, most = docs.agg(F.min(name), F.max(name)).first()
+    common = len(os.path.commonprefix([(least or "").encode(), (most or "").encode()]))
+    six = F.substring(F.col("doc_id").cast("string").cast("binary"), common + 1, 6)
+    return F.conv(F.rpad(F.hex(six), 12, "0"), 16, 10).cast("double")
+
+
 def in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, text, part, edge: rows dealt to ranges of doc_id and ordered inside them.
 
     Each range ends with a copy (edge) of the next one's first document, the last range
-    with the first of all.  Only the ranges' limits come to the driver.
+    with the first of all.  There are as many ranges as the session has shuffle partitions,
+    or one for RANGE_BYTES of text if that is more.  Only the ranges' limits come to the driver.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))).alias("at"))
+    if not parts:
+        n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / RANGE_BYTES))
+    at = F.coalesce(_place(docs), F.lit(float("-inf"))).alias("at")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), at)
     limits = docs.where("doc_id IS NOT NULL").approxQuantile("at", [k / (4 * parts) for k in range(1, 4 * parts)], 1 / (16 * parts))
     splits = [float("-inf"), *sorted(set(limits) or {0.0}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="at", outputCol="range").transform(docs).withColumn("part", F.col("range").cast("int"))
@@ -205,7 +226,7 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = {"int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_order(docs).mapInArrow(run, schema)
 

@@ -77,6 +77,8 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
         if risen <= level:
             break
         level = risen
+    else:
+        raise RuntimeError(f"the level still rises after {MAX_ROUNDS} rounds")
     return sources.withColumn("target", F.when(F.lit(level) * F.col("weight") >= cap, cap).otherwise(F.lit(level) * F.col("weight")))
 
 
@@ -125,10 +127,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.max("times").alias("times")).where("times > 0")
-    taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("times").alias("taken_times"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]))
+    """The mix itself: each document as often as it is taken, with the columns of docs (rows of one source and doc_id alike)."""
+    taken = mix(docs, **options).groupBy("source", "doc_id").agg(F.max("times").alias("times")).where("times > 0")
+    taken = taken.select(F.col("source").alias("taken_source"), F.col("doc_id").alias("taken_id"), F.col("times").alias("taken_times"))
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]) & docs["source"].eqNullSafe(taken["taken_source"]))
     copies = F.explode(F.sequence(F.lit(1), F.col("taken_times")))
     return rows.select(*[docs[c] for c in docs.columns], copies.alias("taken_copy")).drop("taken_copy")
 

@@ -2,21 +2,26 @@
 
 Every rule is evaluated once per document.  The ledger keeps its measurements and
 one failure bit a rule; a policy is a named set of rules, so that policies can be
-applied, compared and ablated later from the ledger alone, without the texts.
+applied, compared and ablated later from the ledger alone, without the texts.  A policy
+names the version (a digest) of each rule's condition: if a threshold is changed under a
+policy's feet, applying it is an error, and bits written before are never read anew.
 
 Edge cases: a null text has no words (it fails `few_words`, all measures are 0); an
 empty text likewise; null or repeated doc_ids are carried through row by row; other
-columns of the input are not looked at.  Texts of any length are measured whole.
+columns of the input are not looked at; an empty table gives no rows.  Texts of any length are measured whole.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import arrow_map, as_bytes, table
+from .common import arrow_map, as_bytes, fresh, table, without
 from .ragged import Words, mix, span_hashes, sums_by, window_hashes, window_mask
 
 #: Rules in the order of their bits: name and failing condition over the measurements.
@@ -30,10 +35,19 @@ RULES: tuple[tuple[str, str], ...] = (
     ("long_words", "word_chars > 14 * n_words"),
 )
 BITS = {name: 1 << k for k, (name, _) in enumerate(RULES)}
-#: Versioned policies: the rules that reject a document. A policy never changes; a new one gets a new name.
-POLICIES: dict[str, tuple[str, ...]] = {
-    "base-1": ("few_words", "repeated_windows"),
-    "prose-1": tuple(BITS),
+#: Versioned policies: the rules that reject a document, each with the version of its condition that the policy was
+#: made for. A policy never changes; a new one gets a new name, and so does a rule whose condition changes.
+POLICIES: dict[str, tuple[tuple[str, str], ...]] = {
+    "base-1": (("few_words", "5eb970db"), ("repeated_windows", "d1def77e")),
+    "prose-1": (
+        ("few_words", "5eb970db"),
+        ("repeated_windows", "d1def77e"),
+        ("symbols", "bf4a7cd8"),
+        ("exclamations", "043a3e2c"),
+        ("repeated_lines", "0ff57555"),
+        ("short_words", "a7bebe00"),
+        ("long_words", "eca65923"),
+    ),
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_lines", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
@@ -89,8 +103,9 @@ def measure(texts: list[bytes | None]) -> dict[str, np.ndarray]:
 
 
 def measurements(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns and MEASURES (long) of each row's text."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    """`keep` columns and MEASURES (long) of each row's text; kept columns with the name of a measure are replaced."""
+    keep = tuple(without(docs.select(*keep), *MEASURES, "failed_bits"))
+    schema = StructType([*docs.select(*keep).schema, *(StructField(m, LongType()) for m in MEASURES)])
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -100,7 +115,7 @@ def measurements(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
         return each
 
-    return arrow_map(docs.select(F.col(text).alias("measured_text"), *keep), ", ".join([*fields, *(f"{m} bigint" for m in MEASURES)]), make)
+    return arrow_map(docs.select(F.col(text).alias(fresh(docs, "measured_text")), *keep), schema, make)
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -111,8 +126,17 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     return measurements(docs, text, keep).withColumn("failed_bits", bits)
 
 
+def version(rule: str) -> str:
+    """A digest of the rule's condition."""
+    return hashlib.sha256(dict(RULES)[rule].encode()).hexdigest()[:8]
+
+
 def mask(policy: str) -> int:
-    return sum(BITS[r] for r in POLICIES[policy])
+    """The bits of the policy's rules, if their conditions are still those it was made for."""
+    changed = [rule for rule, made_for in POLICIES[policy] if version(rule) != made_for]
+    if changed:
+        raise ValueError(f"policy {policy} was made for other conditions of {', '.join(changed)}")
+    return sum(BITS[rule] for rule, _ in POLICIES[policy])
 
 
 def passes(policy: str, bits: str = "failed_bits") -> Column:
@@ -127,7 +151,7 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
     """
     own = mask(policy)
     patterns = rows.groupBy(F.col("failed_bits").bitwiseAND(F.lit(own)).alias("bits")).agg(F.count("*").alias("n"))
-    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BITS[r]).alias("bit")) for r in POLICIES[policy]]))
+    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BITS[r]).alias("bit")) for r, _ in POLICIES[policy]]))
     seen = patterns.select("bits", "n", rules.alias("r")).select("bits", "n", "r.*")
     without = F.col("bits").bitwiseAND(F.bitwise_not("bit"))
     return seen.groupBy("rule", "bit").agg(

@@ -8,7 +8,9 @@ left are counted and added up by document.
 Edge cases: null and empty texts have 0 tokens and 0 bytes; a special token's string
 inside a text is one token and parts the text on both sides, as the library does by
 default; bytes that are not UTF-8 are read as U+FFFD; texts of any length are counted
-whole; null and repeated doc_ids are carried through.
+whole; null and repeated doc_ids are carried through row by row; an empty table gives no
+rows; other columns are not looked at, and kept columns that have the name of a result are
+replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, as_bytes, table
+from .common import arrow_map, as_bytes, table, without
 from .pretokens import PreTokens
 from .ragged import expand, mix, sums_by
 
@@ -174,6 +176,7 @@ class Counter:
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, n_bytes, n_tokens, over_limit of each row's text."""
+    keep = tuple(without(docs.select(*keep), "n_bytes", "n_tokens", "over_limit"))
     with open(path, encoding="utf-8") as f:
         merges = docs.sparkSession.sparkContext.broadcast(Merges(json.load(f)))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]

@@ -10,7 +10,8 @@ The model is fitted on a bounded sample: the first MAX_TRAIN labelled rows in th
 of md5(seed, doc_id); with fewer labelled rows, all of them.  Scoring covers every text.
 
 Edge cases: null and empty texts have no features and get the score of the bias; without
-labelled rows every score is 0.5; null labels are not learned from; rows of a null
+labelled rows every score is 0.5; null labels are not learned from, and labels of any
+number type or booleans count as whole numbers; rows of a null
 doc_id are scored and not learned from; repeated rows are scored alike; other columns
 are not looked at; texts of any length are scored whole.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, saved, table
+from .common import arrow_map, as_bytes, saved, table, without
 from .ragged import FOLD_LOWER, U64, Words, mix
 
 BITS = 20
@@ -88,7 +89,7 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
 def sample(labels: DataFrame, n: int = MAX_TRAIN) -> DataFrame:
     """doc_id, label and digest of the labelled rows to learn from, one a doc_id, at most n."""
     rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != 0)
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    rows = rows.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     digest = F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"))).alias("digest")
     return rows.select("doc_id", "label", digest).orderBy("digest").limit(n)
 
@@ -122,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, model: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns and the score of each text; the model is broadcast, at most 2**BITS places."""
+    """`keep` columns and the score of each text; the model is broadcast, at most 2**BITS places. A kept column `score` is replaced."""
+    keep = tuple(without(docs.select(*keep), "score"))
     got = model.toPandas()
     weights = np.zeros(1 << BITS, np.float32)
     weights[got["place"].to_numpy(np.int64)] = got["weight"].to_numpy(np.float32)

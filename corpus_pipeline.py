@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicates, source mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
-and read again as the next one's docs.  All but the last return the columns of documents.
+and read again as the next one's docs.  All but the last return the columns of documents,
+further columns included, whatever their names are.
+
+Edge cases, in every stage: an empty table gives an empty table; null and repeated doc_ids
+and wholly equal rows are rows of their own; what each stage makes of them, and of null and
+empty texts, its docstring says.  Texts of any length are handled whole.
 """
 
 from __future__ import annotations
@@ -11,37 +16,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import bpe, lines, mixing, neardup, quality
-from verdigris.llm.common import saved, table
+from verdigris.llm.common import fresh, saved, table
 
 POLICY = "prose-1"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of POLICY rejects."""
-    return quality.ledger(docs, keep=tuple(docs.columns)).where(quality.passes(POLICY)).select(docs.columns)
+    """Documents that no rule of POLICY rejects.  Null and empty texts have too few words: they go."""
+    packed = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("document"))
+    kept = quality.ledger(packed, keep=("document",)).where(quality.passes(POLICY))
+    return kept.select("document.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that spread over sites; n_chars follows the text; a document left without words goes."""
-    cut = lines.without_spread_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (mixing.n_words(F.col("text")) == 0)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    """Documents without lines that spread over sites; n_chars follows the text; a document left without words goes.
+
+    Null and empty texts lose nothing and stay; rows of one doc_id and text are cut alike, and a
+    line's first occurrence stays in all of them.
+    """
+    removed = fresh(docs, "n_removed")
+    cut = lines.without_spread_lines(docs, n_lines=fresh(docs, "n_lines"), n_removed=removed)
+    emptied = (F.col(removed) > 0) & (mixing.n_words(F.col("text")) == 0)
+    n_chars = F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cut.where(~emptied).withColumn("n_chars", n_chars).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document (by doc_id) of each group of near-duplicates."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One document of each group of near-duplicates: its smallest doc_id, null last.
+
+    Every row is a document of its own and gets a number here, so that of rows with equal or
+    null doc_ids and equal texts one stays, and rows with equal doc_ids and different texts
+    are told apart.  Null and empty texts and texts without words are near to nothing and stay.
+    """
+    row = fresh(docs, "row")
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = neardup.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias("near_row"), "component_id")
+    ids = numbered.select(F.col(row).alias("id_row"), F.col("doc_id").alias("near_id"))
+    first = F.min(F.struct(F.col("near_id").isNull().alias("no_id"), "near_id", "near_row")).alias("first")
+    kept = groups.join(ids, F.col("near_row") == F.col("id_row")).groupBy("component_id").agg(first)
+    kept = saved(kept.select(F.col("first.near_row").alias("near_row")), "kept")
+    return numbered.join(kept, numbered[row] == kept["near_row"], "left_semi").select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    A null source is a source.  Null and empty texts have no size: they come as often as the
+    seeded sample takes them.  Rows of one source and doc_id are taken alike.
+    """
     return mixing.mixed_documents(docs)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids and their number, and whether the ids decode to the text."""
+    """doc_id, source, ids and their number, and whether the ids decode to the text; null and empty texts have no ids."""
     path = public_tokenizers.path(bpe.VOCABULARY)
     ids = bpe.encode(docs.select("doc_id", "source", "text"), path, decodes="decodes")
     return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decodes")

@@ -499,30 +499,36 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(whole, ["node", "salt"]).drop("salt")
 
 
-def links(docs: DataFrame, classes: DataFrame, possible: float | None = None) -> DataFrame:
-    """u and v of links that connect every component of the classes (rep, n_shingles, tokens, roots)."""
+def links(docs: DataFrame, classes: DataFrame, possible: float | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """u and v of links that connect every component of the classes (rep, n_shingles, tokens, roots); and tables that they are read from."""
+    used = []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        used.append(saved(df, label))
+        return used[-1]
+
     own = classes.select("rep", "tokens")
-    first = saved(_counted(roots(classes)), "nodes")
+    first = kept(_counted(roots(classes)), "nodes")
     near = neighbours(first.join(classes.select("rep", "n_shingles", "tokens"), "rep")).groupBy("u", "v").agg(F.max("near").alias("near"))
     ends = near.select("u", "v", "near", F.explode(F.array("u", "v")).alias("end"))
     place = F.row_number().over(W.partitionBy("end").orderBy(F.desc("near"), "u", "v"))
-    best = saved(ends.withColumn("place", place).where(F.col("place") <= LIKEST).select("u", "v").distinct(), "best")
-    found = saved(confirmed(best, docs), "links")
-    comps = saved(components(found), "comps").select(F.col("node").alias("rep"), "comp")
+    best = kept(ends.withColumn("place", place).where(F.col("place") <= LIKEST).select("u", "v").distinct(), "best")
+    found = kept(confirmed(best, docs), "links")
+    comps = kept(components(found), "comps").select(F.col("node").alias("rep"), "comp")
 
     # The levels move numbers only; tokens come to the rows of large nodes, and to all leaves at the end.
     whole = classes.select("rep", "n_shingles").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     level, leaves = first.select("rep", "node").join(whole, "rep").select("rep", "node", "n_shingles", "comp"), None
     for depth in range(1, MAX_DEPTH + 1):
-        mixed, last = saved(_mixed(level), "mixed"), depth == MAX_DEPTH
+        mixed, last = kept(_mixed(level), "mixed"), depth == MAX_DEPTH
         ended = mixed if last else mixed.where(F.col("others") <= SMALL)
         leaves = ended if leaves is None else leaves.unionByName(ended)
         large = mixed.where(F.col("others") > SMALL).drop("major", "members", "shingles", "others")
         if last or large.isEmpty():
             break
-        level = saved(children(large.join(own, "rep")), "children")
-    asks = saved(asked(leaves.join(own, "rep"), possible), "asks")
-    return found.unionByName(decided(asks, docs))
+        level = kept(children(large.join(own, "rep")), "children")
+    asks = kept(asked(leaves.join(own, "rep"), possible), "asks")
+    return found.unionByName(decided(asks, docs)), used
 
 
 def near_duplicates(docs: DataFrame, possible: float | None = None) -> DataFrame:
@@ -535,7 +541,10 @@ def near_duplicates(docs: DataFrame, possible: float | None = None) -> DataFrame
     classes = saved(classes, "classes")
     rows = saved(whole.select("doc_id", *key, "salt"), "keys")
     drop(whole)
-    comps = saved(components(links(docs, classes, possible)), "comps")
+    found, used = links(docs, classes, possible)
+    comps = saved(components(found), "comps")
+    for t in used:
+        drop(t)
     named = classes.join(comps, classes["rep"] == comps["node"], "left").select(*key, F.coalesce("comp", "rep").alias("component"))
     # A class of any number of copies meets its component in SALTS tasks.
     salts = rows.where("n_shingles > 0").groupBy(key).agg(_bits().alias("salts"))

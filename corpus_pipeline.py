@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.llm import bpe, lines, mixing, neardup, quality
@@ -44,19 +45,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: its smallest doc_id, null last.
 
-    Every row is a document of its own and gets a number here, so that of rows with equal or
-    null doc_ids and equal texts one stays, and rows with equal doc_ids and different texts
-    are told apart.  Null and empty texts and texts without words are near to nothing and stay.
+    A row is named by a 64-bit hash of its doc_id and text, so that of rows with equal or null
+    doc_ids and equal texts one stays (the one of the smallest hash of all columns), and rows
+    with equal doc_ids and different texts are told apart.  Null and empty texts and texts
+    without words are near to nothing and stay.
     """
-    row = fresh(docs, "row")
-    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = neardup.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
-    groups = found.select(F.col("doc_id").alias("near_row"), "component_id")
-    ids = numbered.select(F.col(row).alias("id_row"), F.col("doc_id").alias("near_id"))
-    first = F.min(F.struct(F.col("near_id").isNull().alias("no_id"), "near_id", "near_row")).alias("first")
-    kept = groups.join(ids, F.col("near_row") == F.col("id_row")).groupBy("component_id").agg(first)
-    kept = saved(kept.select(F.col("first.near_row").alias("near_row")), "kept")
-    return numbered.join(kept, numbered[row] == kept["near_row"], "left_semi").select(docs.columns)
+    row, place = fresh(docs, "row"), fresh(docs, "place")
+    name = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+    found = neardup.near_duplicates(docs.select(name.alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias("name"), "component_id").distinct()
+    ids = docs.select(name.alias("name"), F.col("doc_id").alias("own_id")).distinct()
+    first = F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "name")).alias("first")
+    kept = groups.join(ids, "name").groupBy("component_id").agg(first)
+    kept = saved(kept.select(F.col("first.name").alias("kept_name")), "kept")
+    # The first of equal rows, found before the texts meet the kept names, so that a row repeated very often is one row a task.
+    one = W.partitionBy(row).orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
+    single = docs.withColumn(row, name).withColumn(place, F.row_number().over(one)).where(F.col(place) == 1)
+    return single.join(kept, single[row] == kept["kept_name"], "left_semi").select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

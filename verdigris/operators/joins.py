@@ -97,7 +97,10 @@ def times_views(rows: DataFrame, views: Sequence[str]) -> DataFrame:
     return rows.withColumn("view", F.explode(F.array(*[F.lit(v) for v in views])))
 
 
-def attached(rows: DataFrame, cache: DataFrame, key: str, version: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with the cached features of this version, rows that have none yet)."""
-    own = cache.where(F.col("feature_version") == version).drop("feature_version").dropDuplicates([key])
+def attached(rows: DataFrame, cache: DataFrame, key: str, version: int, model: str | None = None, model_column: str = "semantic_model") -> tuple[DataFrame, DataFrame]:
+    """(rows with the cached features of this version, rows that have none yet); with `model`, only features of that model count."""
+    own = cache.where(F.col("feature_version") == version)
+    if model is not None:
+        own = own.where(F.col(model_column) == model)
+    own = own.drop("feature_version").dropDuplicates([key])
     return rows.join(own, key), rows.join(own.select(key), key, "left_anti")

@@ -169,3 +169,20 @@ def percentiles(df: DataFrame, value: str, keys: Sequence[str] = (), at: Sequenc
     """Linearly interpolated percentiles q0, q25, ..."""
     found = df.groupBy(*keys).agg(F.percentile(value, [float(q) for q in at]).alias("q"))
     return found.select(*keys, *[F.col("q")[k].alias(f"q{round(100 * q)}") for k, q in enumerate(at)])
+
+
+def score_predictions(preds: DataFrame, labels: DataFrame, key: str = "key", threshold: float = 0.5, max_errors: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Metrics of predictions against labels with the number that no label matches, and the worst errors of each kind.
+
+    preds: key, image_path, pred; labels: key, y, one row a key.  Predictions without a label
+    count as unmatched only; if none matches, raising is left to the one row's n of 0.
+    """
+    from ..functions.values import error_type
+    from .groups import worst
+
+    rows = preds.join(labels.select(key, F.col("y").alias("label")), key, "left")
+    matched = rows.where(F.col("label").isNotNull())
+    unmatched = rows.agg(F.count_if(F.col("label").isNull()).alias("unmatched"))  # one row
+    metrics = binary_metrics(matched, threshold=threshold).crossJoin(F.broadcast(unmatched))
+    named = matched.withColumn("error_type", error_type(F.col("pred"), F.col("label"), threshold))
+    return metrics, worst(named, max_errors).select("error_type", "place", "image_path", "pred", F.col("label").alias("y"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import cosine, fused, sigmoid
@@ -46,37 +49,148 @@ def fit_linear_head(rows: DataFrame, vector: str, label: str, rounds: int = 50,
 
 
 def prototypes(rows: DataFrame, vector: str, label: str) -> DataFrame:
-    """label and its mean unit vector, as an array: one row a class."""
-    norm = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    parts = rows.select(F.col(label).alias("proto"), F.posexplode(vector).alias("at", "x"), norm.alias("norm"))
-    means = parts.groupBy("proto", "at").agg(F.avg(F.col("x").cast("double") / F.nullif(F.col("norm"), F.lit(0.0))).alias("m"))
-    return means.groupBy("proto").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda s: s["m"]).alias("mean"))
+    """label and its mean unit vector, as an array: one row a class.  Vectors are added up inside each task, whole; a zero vector counts for nothing."""
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    units = Normalizer(inputCol="v", outputCol="u").transform(rows.select(F.col(label).alias("proto"), array_to_vector(F.col(vector)).alias("v")))
+    filled = F.aggregate(vector_to_array("u"), F.lit(0.0), lambda a, x: a + F.abs(x)) > 0
+    return units.where(filled).groupBy("proto").agg(vector_to_array(Summarizer.mean(F.col("u"))).alias("mean"))
 
 
 def nearest_prototypes(rows: DataFrame, protos: DataFrame, vector: str, ident: str) -> DataFrame:
-    """ident, best prototype, its cosine and the margin to the second best.  protos: a few classes, counted before they are sent."""
+    """ident, best prototype, its cosine and the margin to the second best, in one projection of rows.
+
+    protos: a few classes, counted before they are sent; of equal cosines the smaller name is first.
+    """
     if (n := protos.count()) > 10_000:
         raise ValueError(f"{n} prototypes are too many to send to every task")
-    pairs = rows.select(ident, vector).crossJoin(F.broadcast(protos)).select(ident, "proto", cosine(F.col(vector), F.col("mean")).alias("s"))
-    place = F.row_number().over(W.partitionBy(ident).orderBy(F.desc("s"), "proto"))
-    top = pairs.withColumn("place", place).where("place <= 2").groupBy(ident).agg(
-        F.max(F.when(F.col("place") == 1, F.col("proto"))).alias("best"), F.max(F.when(F.col("place") == 1, F.col("s"))).alias("score"),
-        F.max(F.when(F.col("place") == 2, F.col("s"))).alias("second"),
-    )
-    return top.select(ident, "best", "score", (F.col("score") - F.col("second")).alias("margin"))
+    every = protos.agg(F.array_sort(F.collect_list(F.struct("proto", "mean"))).alias("protos"))  # one row
+    scores = F.transform("protos", lambda p: F.struct((-cosine(F.col(vector), p["mean"])).alias("s"), p["proto"].alias("proto")))
+    ranked = rows.select(ident, vector).crossJoin(F.broadcast(every)).select(ident, F.slice(F.array_sort(scores), 1, 2).alias("top"))
+    first, second = F.get("top", 0), F.get("top", 1)
+    return ranked.where(F.size("top") > 0).select(
+        ident, first["proto"].alias("best"), (-first["s"]).alias("score"), (second["s"] - first["s"]).alias("margin")
+    )
+
+
+def fit_head_by_eval(
+    train: DataFrame, held: DataFrame, vector: str, label: str, penalties: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1), kind: str = "linear", hidden: int = 256, rounds: int = 100
+) -> tuple[Callable[[DataFrame], DataFrame], float]:
+    """The best head by AUROC on held-out rows, as a predictor that adds `pred`, and that AUROC.
+
+    kind `linear`: one logistic head for each penalty, of which the best stays (the first of
+    equals).  kind `mlp`: one hidden layer of `hidden` units.
+    """
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from .metrics import auroc
+
+    def quality(predictor: Callable[[DataFrame], DataFrame]) -> float:
+        found = auroc(predictor(held).select("pred", F.col(label).alias("label"))).first()["auroc"]
+        return float("nan") if found is None else float(found)
+
+    def linear(penalty: float) -> Callable[[DataFrame], DataFrame]:
+        weights, bias = fit_linear_head(train, vector, label, rounds, penalty)
+        return lambda rows: rows.withColumn("pred", linear_score(F.col(vector), weights, bias))
+
+    if kind == "linear":
+        heads = [linear(p) for p in penalties]
+    elif kind == "mlp":
+        size = train.select(F.size(vector)).first()[0]
+        data = train.select(array_to_vector(F.col(vector)).alias("features"), F.col(label).cast("double").alias("label"))
+        model = MultilayerPerceptronClassifier(layers=[size, hidden, 2], maxIter=rounds, seed=1).fit(data)
+
+        def perceptron(rows: DataFrame) -> DataFrame:
+            made = model.transform(rows.withColumn("features", array_to_vector(F.col(vector))))
+            return made.select(*rows.columns, vector_to_array("probability")[1].alias("pred"))
+
+        heads = [perceptron]
+    else:
+        raise ValueError(f"unknown head {kind}")
+    rated = [(quality(h), h) for h in heads]
+    best = max(rated, key=lambda x: (x[0] == x[0], x[0]))
+    return best[1], best[0]
 
 
 def transformed(rows: DataFrame, apply: Callable[[np.ndarray, str, float, int], tuple[np.ndarray, Mapping[str, float]]]) -> DataFrame:
-    """Images (pixels array<int>, height, width, op, value, seed, row_id) after their operation, in Arrow batches."""
-    schema = "row_id string, height int, width int, pixels array<int>, params map<string,double>"
+    """Images (row_id, pixels binary: height x width x 3 bytes, height, width, op, value, seed) after their operation, in Arrow batches."""
+    schema = "row_id string, height int, width int, pixels binary, params map<string,double>"
+    names = ["row_id", "height", "width", "pixels", "params"]
+
+    def run(batches):
+        for batch in batches:
+            made = {n: [] for n in names}
+            columns = [batch.column(k).to_pylist() for k in range(7)]
+            for ident, pixels, height, width, op, value, seed in zip(*columns, strict=True):
+                out, params = apply(np.frombuffer(pixels, np.uint8).reshape(height, width, 3), op, value, seed)
+                for n, x in zip(names, (ident, out.shape[0], out.shape[1], out.tobytes(), {k: float(v) for k, v in params.items()}), strict=True):
+                    made[n].append(x)
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.map_(pa.string(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(made[n], k) for n, k in zip(names, kinds, strict=True)], names)
+
+    return rows.select("row_id", "pixels", "height", "width", "op", "value", "seed").mapInArrow(run, schema)
+
+
+def measured(rows: DataFrame, decode: Callable[[bytes], np.ndarray], path: str = "path") -> DataFrame:
+    """path, width, height, phash and the low-level measures and slices of image files (path, content binary); a file that is no image is an error."""
+    from ..functions import pixels
+
+    probe = pixels.features(np.zeros((2, 2, 3), np.uint8))
+    kinds = {int: (pa.int32(), "int"), float: (pa.float64(), "double"), str: (pa.string(), "string")}
+    names = [path, "phash", *probe]
+    schema = ", ".join([f"`{path}` string", "phash string", *(f"{n} {kinds[type(v)][1]}" for n, v in probe.items())])
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                img = decode(content)
+                found.append({path: name, "phash": pixels.perceptual_hash(img)} | pixels.features(img, name.rpartition(".")[2]))
+            types = [pa.string(), pa.string(), *(kinds[type(v)][0] for v in probe.values())]
+            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t in zip(names, types, strict=True)], names)
+
+    return rows.select(path, "content").mapInArrow(run, schema)
+
+
+def materialised(items: DataFrame, settings: Sequence[tuple[str, str, str, float]], codec, out: str, manifest: str) -> DataFrame:
+    """Writes every item (image_id, content, label) under every setting once, and returns the manifest of all that is there.
+
+    Images go to `out` and their rows to `manifest`, both Parquet, by setting; pairs that the
+    manifest has already are left alone, so that a run that was stopped is taken up again.
+    """
+    from ..functions import pixels
+    from ..functions.values import seed56
+
+    spark = items.sparkSession
+    decode, encode = codec
+    dims = spark.createDataFrame([(k, op, float(v)) for k, op, _, v in settings], "transform_key string, op string, value double")
+    rows = items.crossJoin(F.broadcast(dims)).withColumn("seed", seed56(F.col("image_id"), F.col("transform_key")))
+    try:
+        done = spark.read.parquet(manifest).select("image_id", "transform_key")
+        rows = rows.join(done, ["image_id", "transform_key"], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    schema = "image_id string, transform_key string, label int, height int, width int, params string, content binary"
+    names = ["image_id", "transform_key", "label", "height", "width", "params", "content"]
+    types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary())
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                img = np.asarray(r.pixels, np.uint8).reshape(r.height, r.width, 3)
-                made, params = apply(img, r.op, r.value, int(r.seed))
-                out.append((r.row_id, made.shape[0], made.shape[1], made.ravel().astype(np.int32).tolist(), {k: float(v) for k, v in params.items()}))
-            yield type(pdf)(out, columns=["row_id", "height", "width", "pixels", "params"])
-
-    return rows.mapInPandas(run, schema)
+        for batch in batches:
+            made = []
+            for ident, key, label, op, value, seed, content in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
+                img, params = pixels.apply(decode(content), op, value, seed, codec)
+                told = json.dumps({k: float(v) for k, v in params.items()}, sort_keys=True)
+                made.append((ident, key, label, img.shape[0], img.shape[1], told, encode(img, quality=95)))
+            columns = list(zip(*made, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    made = rows.select("image_id", "transform_key", F.col("label").cast("int"), "op", "value", "seed", "content").mapInArrow(run, schema)
+    batch = f"{out.rstrip('/')}/run-{uuid.uuid4().hex}"
+    made.write.partitionBy("transform_key").parquet(batch)
+    written = spark.read.schema(schema).parquet(batch).select(*names[:-1], F.col("_metadata.file_path").alias("path"))
+    written.write.mode("append").parquet(manifest)
+    return spark.read.parquet(manifest)

@@ -269,10 +269,10 @@ def key_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
 def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O6."""
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(spark, sf_dir, "supplier").where("s_suppkey < 20").select("s_nationkey"))
+    """Nations without a supplier in debt."""
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(spark, sf_dir, "supplier").where("s_acctbal < 0").select("s_nationkey"))
 
 
 @query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
@@ -288,10 +288,10 @@ def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.counted(predictions(spark, sf_dir), ["generator", "condition"], {"src1": 1})
 
 
-@query("SELECT doc_id, text FROM (SELECT doc_id, left(text, 0) AS text, row_number() OVER (ORDER BY doc_id) AS k FROM documents) WHERE k <= 25")
+@query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents) WHERE k <= 25")
 def ordered_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows of an ordered scan, pruned to its columns."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("text")).orderBy("doc_id").limit(25)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").limit(25)
 
 
 @query("SELECT rel, row_number() OVER (ORDER BY string_split(rel, '/')) AS place FROM (SELECT DISTINCT source || '/' || lang || '-x' AS rel FROM documents UNION SELECT DISTINCT source || '-' || lang FROM documents)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import key_from_first_marker
 from ..functions.values import bucket3, error_type
 from ..operators import groups, metrics
-from ..sources.sinks import metric_texts
+from ..sources.sinks import METRIC_COLUMNS, metric_texts
 from .registry import query, rounded, table
 from .views import CONDITIONS, PRED, SALES, metric_sql, predictions, sales
 
@@ -305,3 +305,40 @@ SELECT condition, n::VARCHAR AS n, printf('%.4f', threshold) AS threshold, '' AS
 def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A metric table as text."""
     return metric_texts(metrics.binary_metrics(sales(spark, sf_dir), ["condition"]), ["condition", "n", "threshold", "unmatched"])
+
+
+def _shown(x: str) -> str:
+    return f"coalesce(printf('%.4f', {x}), '')"
+
+
+@query(
+    f"""WITH {SALES}, m AS ({metric_sql("sales", "condition")})
+SELECT 'm1' AS model, 'whole' AS split, condition, n::VARCHAR AS n, n_real::VARCHAR AS n_real, n_fake::VARCHAR AS n_fake,
+  {", ".join(f"{_shown(c)} AS {c}" for c in ("acc", "auroc", "precision_fake", "recall_fake", "fpr", "mean_pred", "threshold"))} FROM m"""
+)
+def metric_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2, K3: every column of a metric table as it is written."""
+    rows = rounded(metrics.binary_metrics(sales(spark, sf_dir), ["condition"])).withColumns({"model": F.lit("m1"), "split": F.lit("whole")})
+    return metric_texts(rows, METRIC_COLUMNS)
+
+
+@query(
+    f"""WITH {PRED}, r AS (SELECT * FROM pred WHERE source_dataset = 'set_a' OR condition <> 'fr'), m AS ({metric_sql("r")})
+SELECT m.n, n_real, n_fake, acc, auroc, fpr, tp, fp, tn, fn, (SELECT count(*) FROM pred) - m.n AS unmatched FROM m"""
+)
+def scored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: predictions scored against labels by key, with the number that none matches."""
+    rows = predictions(spark, sf_dir).withColumn("key", F.col("doc_id"))
+    labels = rows.where("source_dataset = 'set_a' OR condition <> 'fr'").select("key", F.col("label").alias("y"))
+    found, _ = metrics.score_predictions(rows.select("key", "image_path", "pred"), labels)
+    return rounded(found.select("n", "n_real", "n_fake", "acc", "auroc", "fpr", "tp", "fp", "tn", "fn", "unmatched"))
+
+
+@query(
+    f"""WITH {PRED}, e AS (SELECT CASE WHEN pred >= 0.5 THEN 'FP' ELSE 'FN' END AS error_type, image_path, pred, label AS y FROM pred WHERE (pred >= 0.5) = (label = 0))
+SELECT * FROM (SELECT error_type, row_number() OVER (PARTITION BY error_type ORDER BY CASE WHEN error_type = 'FP' THEN -pred ELSE pred END, image_path) AS place, image_path, pred, y FROM e) WHERE place <= 50"""
+)
+def scored_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3, L1: the 50 worst errors of each kind of the same report."""
+    rows = predictions(spark, sf_dir).withColumn("key", F.col("doc_id"))
+    return metrics.score_predictions(rows.select("key", "image_path", "pred"), rows.select("key", F.col("label").alias("y")))[1]

@@ -115,14 +115,30 @@ def pixel_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = [s for s in pixels.SETTINGS if s[1] != "jpeg"]
     items = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("item"), "p_size")
     dims = spark.createDataFrame([(k, op, float(v)) for k, op, _, v in settings], "transform_key string, op string, value double")
-    pixel = F.transform(F.sequence(F.lit(0), F.lit(16 * 12 * 3 - 1)), lambda i: ((i * 7 + F.col("p_size") * i) % 256).cast("int"))
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(16 * 12 * 3 - 1)), lambda i: F.lpad(F.hex((i * 7 + F.col("p_size") * i) % 256), 2, "0"))
+    pixel = F.unhex(F.array_join(pixel, ""))
     rows = items.withColumn("pixels", pixel).crossJoin(F.broadcast(dims))
     rows = rows.select(
         F.concat_ws("|", "item", "transform_key").alias("row_id"), F.lit(16).alias("height"), F.lit(12).alias("width"), "pixels", "op", "value",
         seed56(F.col("item"), F.col("transform_key")).alias("seed"),
     )
     made = scoring.transformed(rows, pixels.apply)
-    return made.select("row_id", "height", "width", F.aggregate("pixels", F.lit(0), lambda a, x: a + x).alias("total"), "params")
+    digits = F.split(F.regexp_replace(F.hex("pixels"), "(..)", "$1 "), " ")
+    total = F.aggregate(digits, F.lit(0), lambda a, x: a + F.coalesce(F.conv(x, 16, 10).cast("int"), F.lit(0)))
+    return made.select("row_id", "height", "width", total.alias("total"), "params")
 
 
 query()(pixel_transforms)
+
+
+def pixel_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, perceptual hash, low-level measures and slices of small synthetic images, read from PPM bytes."""
+    from ..functions import pixels
+
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(24 * 18 * 3 - 1)), lambda i: F.lpad(F.hex((i * 7 + F.col("p_size") * i) % 256), 2, "0"))
+    content = F.concat(F.lit("P6\n24 18\n255\n").cast("binary"), F.unhex(F.array_join(pixel, "")))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".ppm")).alias("path"), content.alias("content"))
+    return scoring.measured(rows, pixels.ppm_image)
+
+
+query()(pixel_measures)

@@ -58,6 +58,52 @@ def source_index(
     ).where("label IS NOT NULL")
 
 
+def source_index_with_sizes(spark: SparkSession, root: str, decode, **options) -> DataFrame:
+    """source_index with width, height and perceptual hash of each image; `decode`: bytes -> array."""
+    from ..operators.scoring import measured
+
+    rows = source_index(spark, root, **options)
+    seen = measured(images(spark, root, content=True), decode).select("path", "width", "height", "phash")
+    return rows.join(seen, "path")
+
+
+def split_root(roots: Mapping[str, str], name_: str) -> str:
+    """The folder of a named split; a name that is not there is an error that lists those that are."""
+    if name_ not in roots:
+        raise ValueError(f"unknown split {name_}; known: {', '.join(sorted(roots))}")
+    return roots[name_]
+
+
+def split(spark: SparkSession, roots: Mapping[str, str], name_: str, all_positive: Sequence[str] = ()) -> DataFrame:
+    """The labelled images of a named split; in splits of `all_positive`, what no folder labels is positive.  A split without images is an error."""
+    rows = labelled_tree(spark, split_root(roots, name_), default=1 if name_ in all_positive else None)
+    if rows.isEmpty():
+        raise ValueError(f"split {name_} has no labelled images")
+    return rows
+
+
+def negatives(spark: SparkSession, kind: str, pools: Mapping[str, str], folder: str | None = None) -> DataFrame:
+    """Negatives (y = 0) of a named pool, or of a `folder` for kind `dir`: its negative folders, or all of it where none is labelled."""
+    kind = kind.strip().lower()
+    if kind == "dir":
+        if folder is None:
+            raise ValueError("kind dir needs a folder")
+        rows = images(spark, folder)
+        own = label_from_folders(F.col("rel"), (), None)
+        marked = rows.withColumn("y", own)
+        if folder.rstrip("/").rpartition("/")[2].lower() == "real" or marked.where("y IS NOT NULL").isEmpty():
+            found = rows.withColumn("y", F.lit(0))
+        else:
+            found = marked.where("y = 0")
+    elif kind in pools:
+        found = images(spark, pools[kind]).withColumn("y", F.lit(0))
+    else:
+        raise ValueError(f"unknown pool {kind}; known: {', '.join(sorted([*pools, 'dir']))}")
+    if found.isEmpty():
+        raise ValueError(f"no negatives in {kind}")
+    return found
+
+
 def shards(spark: SparkSession, where: str, cap: int | None = None, labels: Mapping[int, int] | None = None) -> DataFrame:
     """image and label of Parquet shards, only those two columns; rows of labels that are not mapped go."""
     mapped = labels or {0: 0, 1: 1}

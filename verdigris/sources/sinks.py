@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 
 from ..functions.values import text_or_empty
 
-#: The columns of a metric table, and those that Markdown shows.
+#: The columns of a metric table, those that Markdown shows, and the same of a slice table.
 METRIC_COLUMNS = (
-    "condition", "n", "n_real", "n_fake", "threshold", "acc", "auroc", "precision_fake", "recall_fake", "fpr", "mean_pred", "unmatched", "split",
+    "model", "split", "condition", "n", "n_real", "n_fake", "acc", "auroc", "precision_fake", "recall_fake", "fpr", "mean_pred", "threshold",
+)
+SHOWN_COLUMNS = ("model", "condition", "n", "acc", "auroc", "precision_fake", "recall_fake", "fpr")
+SLICE_COLUMNS = (
+    "feature", "value", "n", "n_real", "n_fake", "acc", "auroc", "fpr", "fnr", "mean_pred", "real_prevalence", "fake_prevalence",
+    "prevalence_gap", "delta_fpr", "delta_fnr", "generator_count", "high_fnr_generators", "shortcut_candidate", "blind_spot_candidate",
+)
+SHOWN_SLICE_COLUMNS = (
+    "feature", "value", "n", "n_real", "n_fake", "auroc", "fpr", "fnr", "prevalence_gap", "shortcut_candidate", "blind_spot_candidate",
 )
-SHOWN_COLUMNS = ("condition", "n", "acc", "auroc", "precision_fake", "recall_fake", "fpr", "mean_pred")
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -45,13 +52,24 @@ def metric_json(df: DataFrame, path: str) -> None:
     Path(path).write_text(json.dumps([r.asDict(True) for r in df.collect()], ensure_ascii=False, indent=2), encoding="utf-8")
 
 
-def markdown(df: DataFrame, columns: Sequence[str], empty: str = "") -> str:
+def markdown(df: DataFrame, columns: Sequence[str] = SHOWN_COLUMNS, empty: str = "") -> str:
     """A report of a few rows as a Markdown table."""
     rows = metric_texts(df, columns).collect()
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     return "\n".join([*lines, *("| " + " | ".join(r[c] or empty for c in columns) + " |" for r in rows)]) + "\n"
 
 
+def slice_csv(df: DataFrame, path: str) -> None:
+    """A slice table with all its columns, numbers in full; nothing for null."""
+    df.select(*SLICE_COLUMNS).write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
+
+
+def slice_markdown(df: DataFrame) -> str:
+    """The shown columns of a slice table, a dash for null; flags as True and False."""
+    flags = [c for c, kind in df.dtypes if kind == "boolean"]
+    return markdown(df.withColumns({c: F.initcap(F.col(c).cast("string")) for c in flags}), SHOWN_SLICE_COLUMNS, "—")
+
+
 def group_csv(stats: DataFrame, path: str) -> None:
     stats.orderBy("group_type", "group_value").write.mode("overwrite").option("header", "true").csv(path)
 

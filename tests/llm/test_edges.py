@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from verdigris.llm import bpe, chat, fingerprints, lines, mixing, quality, token_counts, toxicity
+from verdigris.llm import bpe, chat, fingerprints, lines, mixing, ppm, quality, token_counts, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PROSE = " ".join(f"word{k}" for k in range(60))
@@ -291,6 +291,55 @@ def test_stages_equal_brute_force(spark):
     assert counted == {i: n for i, n in copies.items() if n}
 
 
+def plain_ppm(train, text, order):
+    """log10 probability of a text by the definition: method D, exclusion, contexts inside a text only."""
+
+    def stream(t):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\0", "\x0b")
+        return b"\n" + b"".join(w.encode() + b" " for w in words.split(" ") if w) + b"\n"
+
+    seen = {}
+    for t in train:
+        s = stream(t)
+        for k in range(1, len(s)):
+            for n in range(min(order, k) + 1):
+                own = seen.setdefault(s[k - n : k], {})
+                own[s[k]] = own.get(s[k], 0) + 1
+    total, s = 0.0, stream(text)
+    for k in range(1, len(s)):
+        gone, p = set(), 1.0
+        for n in range(min(order, k), -1, -1):
+            own = {b: c for b, c in seen.get(s[k - n : k], {}).items() if b not in gone}
+            if not own:
+                gone |= set(seen.get(s[k - n : k], {}))
+                continue
+            whole = sum(own.values())
+            if s[k] in own:
+                p *= (own[s[k]] - 0.5) / whole
+                break
+            p *= len(own) / (2 * whole)
+            gone |= set(own)
+        else:
+            p /= 256 - len(gone)
+        total += np.log10(p)
+    return total
+
+
+@pytest.mark.parametrize("shard", [None, 40])
+def test_ppm_scores_equal_the_definition(spark, monkeypatch, shard):
+    if shard:
+        monkeypatch.setattr(ppm, "SHARD", shard)
+        monkeypatch.setattr(ppm, "BLOCK", 900)
+    rng = np.random.default_rng(4)
+    words = ["the", "then", "they", "cat", "cats", "sat", "mat", "Man", "ana", "banana"]
+    rows = [(k, " ".join(rng.choice(words, 25)) if k % 9 else "".join(rng.choice(list("abn "), 60)), "s") for k in range(40)]
+    rows += [(50, "", "s"), (51, None, "s"), (52, "zebra ünd ba\0nana THE", "s"), (53, "b", "s")]
+    train = [t for i, t, _ in rows if i < 30]
+    got = {r["doc_id"]: r["score"] for r in ppm.scores(frame(spark, rows), F.col("doc_id") < 30).collect()}
+    for i, t, _ in rows:
+        assert abs(got[i] - plain_ppm(train, t, ppm.ORDER)) < 1e-4 * max(1, abs(got[i])), (i, t)
+
+
 def test_json_vocabulary_is_read_from_its_path():
     with open(P.path(token_counts.TOKENIZER), encoding="utf-8") as f:
         assert "model" in json.load(f)

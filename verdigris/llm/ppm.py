@@ -12,9 +12,14 @@ The trie is learned from all training texts and grows with them:
 1. Each task counts its (context, byte) grams and words; the counts are added up.
 2. Grams are dealt by their context's last two bytes.  All suffixes of a context from
    order 2 on are with it, so each group is coded by itself; orders 0 and 1 are one
-   table of at most 2**16 counts.  Every gram of any text gets its code length.
-3. The groups are packed into blocks of at most BLOCK grams, each broadcast for one pass
-   over the texts: what a worker holds is bounded, however large the trie becomes.
+   table of at most 2**16 counts.  A group above SHARD grams is parted by one more byte, and
+   again while a part is above it; of a parted context the counts of its own order (256 at
+   most) are sent along.  Every gram of any text gets its code length.
+3. The grams are dealt by hash to blocks of about BLOCK grams, of which one after another is
+   broadcast for a pass over the texts: what the driver and a worker hold is bounded, however
+   large the trie becomes.  The number of passes grows with the trie (one for 4 million
+   grams); the texts are read again in each, so docs must give the same rows in the same order
+   each time, as files do.
 
 Word counts, for the comparison with a unigram model, go the same way: words so common
 that at most HEAD of them exist are broadcast, the others are joined.
@@ -40,7 +45,7 @@ from .common import as_bytes, collected, pieces, saved, table
 from .ragged import U64, Words, mix, sums_by
 
 ORDER = 5
-#: Grams in a broadcast block, at most (12 bytes each), and in the tables that a task codes.
+#: Grams in a broadcast block, about (12 bytes each), and in the tables that a task codes.
 BLOCK = 4_000_000
 SHARD = 500_000
 #: Common words that are broadcast, at most (16 bytes each).
@@ -102,18 +107,23 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarr
     return np.where(keys[at] == wanted, values[at], 0)
 
 
-def code_lengths(gram: np.ndarray, count: np.ndarray, pairs: Level) -> np.ndarray:
+def code_lengths(gram: np.ndarray, count: np.ndarray, pairs: Level, parted: dict[int, Level] | None = None) -> np.ndarray:
     """log10 of the probability of each gram's byte after its context.
 
-    gram, count: all grams that share their contexts' last two bytes, and how often
-    training texts have them (0: not at all); pairs: the order-1 level of all texts.
+    gram, count: all grams that share their contexts' last two bytes (or more, of a parted
+    context), and how often training texts have them (0: not at all); pairs: the order-1
+    level of all texts; parted: by order, the whole counts of the contexts whose grams are parted.
     """
     length = _context_length(gram)
     levels: dict[int, Level] = {1: pairs, 0: Level(pairs.key & U64(255), pairs.count)}
     learned = count > 0
     for k in range(2, ORDER + 1):
         own = learned & (length >= k)
-        levels[k] = Level(gram[own] & U64((1 << 8 * (k + 1)) - 1), count[own])
+        key, n = gram[own] & U64((1 << 8 * (k + 1)) - 1), count[own]
+        if parted and k in parted:
+            whole = ~np.isin(key >> _BYTE, parted[k].context)
+            key, n = np.concatenate((key[whole], parted[k].key)), np.concatenate((n[whole], parted[k].count))
+        levels[k] = Level(key, n)
     out = np.zeros(len(gram))
     waiting = np.ones(len(gram), bool)
     gone_count, gone_different = np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)
@@ -211,33 +221,56 @@ def _packed(sizes: dict[int, int], limit: int) -> dict[int, int]:
     return out
 
 
+def _suffix(order: int):
+    """The last `order` bytes of a gram's context."""
+    return F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * order) - 1))
+
+
 def coded(counts: DataFrame) -> tuple[DataFrame, int]:
     """gram, log10 of its probability and its block; and the number of blocks."""
     spark = counts.sparkSession
     own = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")
-    group = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    # Groups and order-1 counts: at most 2**16 rows each.
-    sizes = {r["g"]: r["size"] for r in own.groupBy(group.alias("g")).agg(F.count("*").alias("size")).collect()}
+    # Sizes: of at most 2**16 groups, and of at most 256 parts of each group above SHARD.
+    sizes: dict[int, int] = {}
+    large: dict[int, list[int]] = {}
+    parted, place, left, total = {}, F.lit(None).cast("bigint"), own, 0
+    for order in range(2, ORDER + 1):
+        found = collected(left.groupBy(_suffix(order).alias("s")).agg(F.count("*").alias("size")))
+        if order == 2:
+            total = int(found[1].sum())
+        above = found[1] > SHARD if order < ORDER else np.zeros(len(found[0]), bool)
+        sizes |= {order << 48 | int(s): int(n) for s, n in zip(found[0][~above], found[1][~above], strict=True)}
+        large[order] = [int(s) for s in found[0][above]]
+        if not large[order]:
+            break
+        split = _suffix(order).isin(large[order])
+        left = left.where(split)
+        whole = left.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+        parted[order] = tuple(collected(whole))
+    for k in sorted(large, reverse=True):
+        mine = F.lit(k << 48).bitwiseOR(_suffix(k))
+        place = F.when(_suffix(k).isin(large[k]), place).otherwise(mine) if large[k] else mine
     low = own.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n"))
-    pairs = spark.sparkContext.broadcast(tuple(collected(low)))
-    blocks, shards = _packed(sizes, BLOCK), _packed(sizes, SHARD)
-    places = [(g, blocks[g], shards[g]) for g in sizes]
-    schema = "g int, block int, shard int"
-    where = spark.createDataFrame(places, schema) if places else spark.createDataFrame([], schema)
+    sent = spark.sparkContext.broadcast((tuple(collected(low)), parted))
+    shards = _packed(sizes, SHARD)
+    schema = "place bigint, shard int"
+    where = spark.createDataFrame(list(shards.items()), schema) if shards else spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)) for b in batches if b.num_rows]
+        parts = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(2)) for b in batches if b.num_rows]
         if not parts:
             return
-        gram, n, block = (np.concatenate(x) for x in zip(*parts, strict=True))
-        pair, count = pairs.value
-        found = code_lengths(gram.view(U64), n, Level(pair.view(U64), count))
-        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(found.astype(np.float32)), pa.array(block)], ["gram", "bits", "block"])
-
-    rows = own.withColumn("g", group).join(F.broadcast(where), "g")
+        gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        (pair, count), tables = sent.value
+        upper = {k: Level(key.view(U64), c) for k, (key, c) in tables.items()}
+        found = code_lengths(gram.view(U64), n, Level(pair.view(U64), count), upper)
+        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(found.astype(np.float32))], ["gram", "bits"])
+
+    n_blocks = math.ceil(total / (0.9 * BLOCK))
+    rows = own.withColumn("place", place).join(F.broadcast(where), "place")
     n_shards = max(shards.values(), default=0) + 1
-    dealt = rows.repartition(n_shards, "shard").select("gram", "n", "block")
-    return saved(dealt.mapInArrow(run, "gram bigint, bits float, block int"), "coded"), max(blocks.values(), default=-1) + 1
+    made = rows.repartition(n_shards, "shard").select("gram", "n").mapInArrow(run, "gram bigint, bits float")
+    return saved(made.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(max(n_blocks, 1)))), "coded"), n_blocks
 
 
 class Lookup:
@@ -283,7 +316,7 @@ def _lookup(name: str, sent) -> Lookup:
 
 
 def block_scores(docs: DataFrame, model: DataFrame, block: int) -> DataFrame:
-    """uid and the sum over those places of each text whose gram is in the block."""
+    """uid and the sum over those places of each text whose gram is in the block; written before the next block is read."""
     gram, bits = collected(model.where(F.col("block") == block).select("gram", "bits"))
     sent = docs.sparkSession.sparkContext.broadcast((gram.view(U64), bits))
     name = f"{model._saved_at}:{block}"
@@ -298,7 +331,9 @@ def block_scores(docs: DataFrame, model: DataFrame, block: int) -> DataFrame:
                 part = sums_by(np.concatenate(([0], w.stops)), found)
                 yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(part)], ["uid", "part"])
 
-    return docs.select("text", "uid").mapInArrow(run, "uid bigint, part double")
+    done = saved(docs.select("text", "uid").mapInArrow(run, "uid bigint, part double"), "part")
+    sent.destroy()
+    return done
 
 
 def common_words(counts: DataFrame) -> DataFrame:

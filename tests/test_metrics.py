@@ -13,10 +13,17 @@ def frame(spark, ys, scores, **more):
 
 @pytest.mark.parametrize(
     ("ys", "scores", "wanted"),
-    [([0, 0, 1, 1], [0.1, 0.2, 0.8, 0.9], 1.0), ([1, 1], [0.2, 0.9], None), ([0, 1], [0.5, 0.5], 0.5), ([1, 1, 0, 0], [0.9, 0.3, 0.8, 0.1], 0.75)],
+    [
+        ([1, 0, 1, 0, 1], [0.7, 0.6, 0.55, 0.3, 0.2], 0.5),  # 3 of 6 pairs
+        ([0, 0, 0, 1], [0.05, 0.4, 0.35, 0.4], 2.5 / 3),
+        ([1, 1, 0], [0.3, 0.3, 0.3], 0.5),
+        ([1, 0], [0.25, 0.75], 0.0),
+        ([0, 0, 0], [0.6, 0.1, 0.5], None),
+    ],
 )
 def test_auroc(spark, ys, scores, wanted):
-    assert metrics.auroc(frame(spark, ys, scores)).first()["auroc"] == wanted
+    got = metrics.auroc(frame(spark, ys, scores)).first()["auroc"]
+    assert got is None if wanted is None else math.isclose(got, wanted, abs_tol=1e-12)
 
 
 def test_auroc_with_many_ties_and_groups(spark):
@@ -32,13 +39,14 @@ def test_auroc_with_many_ties_and_groups(spark):
 
 
 def test_confusion(spark):
-    r = metrics.binary_metrics(frame(spark, [0, 0, 1, 1], [0.6, 0.1, 0.9, 0.4])).first()
-    assert (r["fp"], r["fn"], r["fpr"], r["precision_fake"]) == (1, 1, 0.5, 0.5)
+    r = metrics.binary_metrics(frame(spark, [1, 1, 1, 0, 0, 0], [0.95, 0.5, 0.2, 0.7, 0.49, 0.1])).first()
+    assert (r["tp"], r["fn"], r["fp"], r["tn"]) == (2, 1, 1, 2)
+    assert math.isclose(r["fpr"], 1 / 3) and math.isclose(r["precision_fake"], 2 / 3) and math.isclose(r["recall_fake"], 2 / 3)
 
 
 def test_single_class(spark):
-    r = metrics.binary_metrics(frame(spark, [1, 1], [0.2, 0.9])).first()
-    assert (r["n_real"], r["recall_fake"], r["fpr"], r["auroc"]) == (0, 0.5, 0.0, None)
+    r = metrics.binary_metrics(frame(spark, [0, 0, 0], [0.6, 0.1, 0.5])).first()
+    assert (r["n_fake"], r["recall_fake"], r["auroc"]) == (0, 0.0, None) and math.isclose(r["fpr"], 2 / 3)
 
 
 def test_nan_is_an_error(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: The names that records may hold.
 SPLITS = ("train", "val", "test", "unseen")
 FAMILIES = ("gan", "diffusion")
 GENERATION_TYPES = ("t2i", "i2i")
@@ -22,6 +23,7 @@ def struct(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
 
 
+#: The fields of records, in order, and those that must be there.
 SOURCE = struct(
     "image_id string, path string, label int, source_dataset string, generator string, split string, width int, height int, "
     "family string, arch string, generation_type string, content_type string, original_format string, phash string, source_id string"

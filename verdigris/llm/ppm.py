@@ -15,14 +15,11 @@ The trie is learned from all training texts and grows with them:
    table of at most 2**16 counts.  A group above SHARD grams is parted by one more byte, and
    again while a part is above it; of a parted context the counts of its own order (256 at
    most) are sent along.  Every gram of any text gets its code length.
-3. The grams are dealt by hash to blocks of about BLOCK grams, of which one after another is
-   broadcast for a pass over the texts: what the driver and a worker hold is bounded, however
-   large the trie becomes.  The number of passes grows with the trie (one for 4 million
-   grams); the texts are read again in each, so docs must give the same rows in the same order
-   each time, as files do.
-
-Word counts, for the comparison with a unigram model, go the same way: words so common
-that at most HEAD of them exist are broadcast, the others are joined.
+3. The most frequent grams and words, at most BLOCK and HEAD of them, are broadcast for the one
+   pass that scores the texts.  A text's other grams and words leave that pass as one row each with
+   their number, meet their code lengths in a join by key, and are added up by text.  None of them is a hot
+   key: what is not in the head is rare.  So texts are read twice, once to count and once to
+   score, and what the driver and a worker hold is bounded, however large the trie becomes.
 
 Edge cases: a null or empty text is its end alone; NUL bytes count as the byte 0x0B, which
 texts do not have inside words; rows of a null doc_id are scored and not learned from;
@@ -38,18 +35,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import as_bytes, collected, pieces, saved, table
 from .ragged import U64, Words, mix, sums_by
 
 ORDER = 5
-#: Grams in a broadcast block, about (12 bytes each), and in the tables that a task codes.
-BLOCK = 4_000_000
+#: Grams in the tables that a task codes, about.
 SHARD = 500_000
-#: Common words that are broadcast, at most (16 bytes each).
+#: Frequent grams (12 bytes each) and words (16 bytes each) that are broadcast, at most.
+BLOCK = 4_000_000
 HEAD = 1 << 19
+#: Rows of a batch that a text's rare grams and words leave in, at most.
+ROWS = 1_000_000
 #: Different grams and words that a task adds up before it passes them on.
 HELD = 1_000_000
 GRAM, WORD, TEXT = 0, 1, 2
@@ -226,18 +226,16 @@ def _suffix(order: int):
     return F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * order) - 1))
 
 
-def coded(counts: DataFrame) -> tuple[DataFrame, int]:
-    """gram, log10 of its probability and its block; and the number of blocks."""
+def coded(counts: DataFrame) -> DataFrame:
+    """gram, n_all and log10 of its probability (bits), written."""
     spark = counts.sparkSession
-    own = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")
+    own = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n", "n_all")
     # Sizes: of at most 2**16 groups, and of at most 256 parts of each group above SHARD.
     sizes: dict[int, int] = {}
     large: dict[int, list[int]] = {}
-    parted, place, left, total = {}, F.lit(None).cast("bigint"), own, 0
+    parted, place, left = {}, F.lit(None).cast("bigint"), own
     for order in range(2, ORDER + 1):
         found = collected(left.groupBy(_suffix(order).alias("s")).agg(F.count("*").alias("size")))
-        if order == 2:
-            total = int(found[1].sum())
         above = found[1] > SHARD if order < ORDER else np.zeros(len(found[0]), bool)
         sizes |= {order << 48 | int(s): int(n) for s, n in zip(found[0][~above], found[1][~above], strict=True)}
         large[order] = [int(s) for s in found[0][above]]
@@ -257,20 +255,19 @@ def coded(counts: DataFrame) -> tuple[DataFrame, int]:
     where = spark.createDataFrame(list(shards.items()), schema) if shards else spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(2)) for b in batches if b.num_rows]
+        parts = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)) for b in batches if b.num_rows]
         if not parts:
             return
-        gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        gram, n, n_all = (np.concatenate(x) for x in zip(*parts, strict=True))
         (pair, count), tables = sent.value
         upper = {k: Level(key.view(U64), c) for k, (key, c) in tables.items()}
         found = code_lengths(gram.view(U64), n, Level(pair.view(U64), count), upper)
-        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(found.astype(np.float32))], ["gram", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n_all), pa.array(found.astype(np.float32))], ["gram", "n_all", "bits"])
 
-    n_blocks = math.ceil(total / (0.9 * BLOCK))
     rows = own.withColumn("place", place).join(F.broadcast(where), "place")
     n_shards = max(shards.values(), default=0) + 1
-    made = rows.repartition(n_shards, "shard").select("gram", "n").mapInArrow(run, "gram bigint, bits float")
-    return saved(made.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(max(n_blocks, 1)))), "coded"), n_blocks
+    made = rows.repartition(n_shards, "shard").select("gram", "n", "n_all")
+    return saved(made.mapInArrow(run, "gram bigint, n_all bigint, bits float"), "coded")
 
 
 class Lookup:
@@ -293,7 +290,11 @@ class Lookup:
         return (mix(keys, 71) >> self.shift).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values of the keys; 0 of those that are not there. Keys are not 0."""
+        """Values of the keys; 0 of those that are not there."""
+        return self.find(keys)[0]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, and whether they are there. Keys are not 0."""
         at = self._home(keys)
         seen = self.keys[at]
         left = np.flatnonzero((seen != keys) & (seen != 0))
@@ -301,84 +302,99 @@ class Lookup:
             at[left] = (at[left] + 1) & (self.size - 1)
             seen = self.keys[at[left]]
             left = left[(seen != keys[left]) & (seen != 0)]
-        return np.where(self.keys[at] == keys, self.values[at], np.float32(0))
+        hit = self.keys[at] == keys
+        return np.where(hit, self.values[at], np.float32(0)), hit
 
 
-_held: dict[str, Lookup] = {}
+_held: dict[str, tuple[Lookup, np.ndarray, np.ndarray]] = {}
 
 
-def _lookup(name: str, sent) -> Lookup:
-    """The table of a broadcast block; a worker keeps the last one."""
+def _heads(name: str, sent) -> tuple[Lookup, np.ndarray, np.ndarray]:
+    """The broadcast grams as a table, and the words and their counts; a worker keeps the last ones."""
     if name not in _held:
         _held.clear()
-        _held[name] = Lookup(*sent.value)
+        gram, bits, word, count = sent.value
+        _held[name] = Lookup(gram.view(U64), bits), word, count
     return _held[name]
 
 
-def block_scores(docs: DataFrame, model: DataFrame, block: int) -> DataFrame:
-    """uid and the sum over those places of each text whose gram is in the block; written before the next block is read."""
-    gram, bits = collected(model.where(F.col("block") == block).select("gram", "bits"))
-    sent = docs.sparkSession.sparkContext.broadcast((gram.view(U64), bits))
-    name = f"{model._saved_at}:{block}"
+def _power() -> Column:
+    return F.floor(F.log2("n_all")).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
-        for batch in batches:
-            for piece in pieces(batch):
-                known = known or _lookup(name, sent)
-                w = Words(as_bytes(piece.column(0)), lower=True)
-                found = known.get(grams(w.stream, w.stops)).astype(np.float64)
-                part = sums_by(np.concatenate(([0], w.stops)), found)
-                yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(part)], ["uid", "part"])
-
-    done = saved(docs.select("text", "uid").mapInArrow(run, "uid bigint, part double"), "part")
-    sent.destroy()
-    return done
 
-
-def common_words(counts: DataFrame) -> DataFrame:
-    """Words above the lowest power of two that at most HEAD words reach."""
-    words = counts.where(F.col("kind") == WORD)
-    power = F.floor(F.log2("n_all")).cast("int")
-    by_power = {r["p"]: r["size"] for r in words.groupBy(power.alias("p")).agg(F.count("*").alias("size")).collect()}
+def _least(rows: DataFrame, limit: int) -> int:
+    """The lowest power of two (of n_all) that at most `limit` rows reach."""
+    by_power = {r["p"]: r["size"] for r in rows.groupBy(_power().alias("p")).agg(F.count("*").alias("size")).collect()}
     least, used = 64, 0
     for p in sorted(by_power, reverse=True):
         used += by_power[p]
-        if used > HEAD:
+        if used > limit:
             break
         least = p
-    return words.where(power >= least).select("key", "n")
+    return least
+
+
+def _by_doc(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different (doc, key) pairs and how often they occur."""
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))) if len(key) else np.zeros(0, np.int64)
+    return doc[first], key[first], np.diff(np.append(first, len(key)))
 
 
-def word_sums(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """uid, n_tokens, n_known (words) and log_sum (sum of log10(c + 1) over words) of each text; `tail`: words to be joined."""
-    key, count = collected(common_words(counts))
-    order = np.argsort(key)
-    sent = docs.sparkSession.sparkContext.broadcast((key[order], count[order]))
+def looked_up(rows: DataFrame, heads: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], name: str) -> DataFrame:
+    """Two kinds of rows, written.
+
+    For each row of `rows` (text, doc_id, learn) one of kind null: uid, doc_id, learn, n_tokens, and n_known, log_sum and
+    score as far as the heads tell them; and for each of its grams and words outside of the heads uid, kind, key, n.
+    """
+    fields = [f"{n} {t}" for n, t in (
+        ("uid", "bigint"), ("n_tokens", "bigint"), ("n_known", "bigint"), ("log_sum", "double"), ("score", "double"), ("kind", "int"), ("key", "bigint"), ("n", "bigint"),
+    )]
+    own = [StructField(f.name, f.dataType) for f in rows.select("doc_id", "learn").schema]
+    schema = StructType([*own, *StructType.fromDDL(", ".join(fields)).fields])
+    sent = rows.sparkSession.sparkContext.broadcast(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = sent.value
+        known, words, n_of = _heads(name, sent)
         for batch in batches:
             for piece in pieces(batch):
+                doc_id, learn, uid = (piece.column(k) for k in (1, 2, 3))
                 w = Words(as_bytes(piece.column(0)), lower=True)
-                own, kind = np.unique(w.hashes().view(np.int64), return_inverse=True)
-                at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-                hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-                count = np.where(hit, n[at], 0) if len(keys) else np.zeros(len(own), np.int64)
-                logs, known = np.log10(count + 1.0)[kind], (count > 0)[kind]
-                rare = ~hit[kind]
-                offsets = np.concatenate(([0], np.cumsum(rare)))[w.bounds].astype(np.int32)
-                tail = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own[kind[rare]]))
-                cols = [piece.column(1), pa.array(w.counts + 1), pa.array(sums_by(w.bounds, known)), pa.array(sums_by(w.bounds, logs)), tail]
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "n_tokens", "n_known", "log_sum", "tail"])
-
-    return docs.select("text", "uid").mapInArrow(run, "uid bigint, n_tokens bigint, n_known bigint, log_sum double, tail array<bigint>")
+                g = grams(w.stream, w.stops)
+                bits, hit = known.find(g)
+                score = sums_by(np.concatenate(([0], w.stops)), bits.astype(np.float64))
+                miss = np.flatnonzero(~hit)
+                rare = {GRAM: _by_doc(np.searchsorted(w.stops, miss, "right"), g[miss].view(np.int64))}
+                different, kind = np.unique(w.hashes().view(np.int64), return_inverse=True)
+                at = np.minimum(np.searchsorted(words, different), max(len(words) - 1, 0))
+                there = words[at] == different if len(words) else np.zeros(len(different), bool)
+                count = np.where(there, n_of[at], 0) if len(words) else np.zeros(len(different), np.int64)
+                logs = np.log10(count + 1.0)[kind]
+                miss = np.flatnonzero(~there[kind])
+                rare[WORD] = _by_doc(w.doc[miss], different[kind[miss]])
+                n = piece.num_rows
+                sums = [w.counts + 1, sums_by(w.bounds, (count > 0)[kind]), sums_by(w.bounds, logs), score]
+                empty = [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([doc_id, learn, uid, *map(pa.array, sums), *empty], schema.names)
+                for mark, (doc, key, n_here) in rare.items():
+                    for k in range(0, len(key), ROWS):
+                        part = slice(k, k + ROWS)
+                        n = len(key[part])
+                        mine = uid.take(pa.array(doc[part]))
+                        none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                        told = [pa.array(np.full(n, mark, np.int32)), pa.array(key[part]), pa.array(n_here[part])]
+                        yield pa.RecordBatch.from_arrays([pa.nulls(n, doc_id.type), pa.nulls(n, learn.type), mine, *none, *told], schema.names)
+
+    numbered = rows.select("text", "doc_id", "learn").withColumn("uid", F.monotonically_increasing_id())
+    done = saved(numbered.mapInArrow(run, schema), "seen")
+    sent.destroy()
+    return done
 
 
 def scores(docs: DataFrame, learn) -> DataFrame:
     """doc_id, learned, n_tokens, n_known, train_tokens, base_score and score of each row; `learn`: a condition on docs."""
-    flag = F.coalesce(learn, F.lit(False))
-    rows = docs.select("doc_id", "text", flag.alias("learn")).withColumn("uid", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     counts = saved(counted(rows), "counts")
     ends = F.col("kind") == TEXT
     words = F.col("kind") == WORD
@@ -387,27 +403,29 @@ def scores(docs: DataFrame, learn) -> DataFrame:
         F.sum(F.when(ends, F.col("n"))).alias("end"),
     ).first()
     total, different, end = (int(k or 0) for k in x)
-    model, n_blocks = coded(counts)
-    parts = word_sums(rows, counts)
-    sums = saved(parts, "sums")
-    tail = sums.select("uid", F.explode("tail").alias("key"))
-    rest = counts.where(words & (F.col("n") > 0)).select("key", "n")
-    tail = tail.join(rest, "key").groupBy("uid").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_log"))
-    out = rows.select("uid", "doc_id", "learn").join(sums.drop("tail"), "uid").join(tail, "uid", "left")
-    coded_parts = [block_scores(rows, model, b) for b in range(n_blocks)]
-    if coded_parts:
-        together = coded_parts[0]
-        for p in coded_parts[1:]:
-            together = together.unionByName(p)
-        out = out.join(together.groupBy("uid").agg(F.sum("part").alias("score")), "uid")
-    else:
-        out = out.withColumn("score", F.lit(0.0))
-    log_sum = F.col("log_sum") + F.coalesce("more_log", F.lit(0.0)) + math.log10(end + 1)
+    model, known = coded(counts), counts.where(words)
+    least_gram, least_word = _least(model, BLOCK), _least(known, HEAD)
+    gram, bits = collected(model.where(_power() >= least_gram).select("gram", "bits"))
+    word, count = collected(known.where(_power() >= least_word).select("key", "n"))
+    order = np.argsort(word)
+    seen = looked_up(rows, (gram, bits, word[order], count[order]), model._saved_at)
+    # The rest: rare grams and words by key.
+    values = model.where(_power() < least_gram).select(F.lit(GRAM).alias("kind"), F.col("gram").alias("key"), F.col("bits").cast("double").alias("value"))
+    values = values.unionByName(
+        known.where((F.col("n") > 0) & (_power() < least_word)).select("kind", "key", F.log10(F.col("n") + 1.0).alias("value"))
+    )
+    rest = seen.where("kind IS NOT NULL").select("uid", "kind", "key", "n").join(values, ["kind", "key"])
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+    rest = rest.groupBy("uid").agg(
+        of(WORD, F.col("n")).alias("more_known"), of(WORD, F.col("n") * F.col("value")).alias("more_log"),
+        of(GRAM, F.col("n") * F.col("value")).alias("more_score"),
+    )
+    out = seen.where("kind IS NULL").drop("kind", "key", "n").join(rest, "uid", "left").fillna(0, ["more_known", "more_log", "more_score"])
+    log_sum = F.col("log_sum") + F.col("more_log") + math.log10(end + 1)
     return out.select(
-        "doc_id", F.col("learn").alias("learned"), "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + int(end > 0)).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (log_sum - F.col("n_tokens") * math.log10(total + different + 1)).alias("base_score"), "score",
+        "doc_id", F.col("learn").alias("learned"), "n_tokens", (F.col("n_known") + F.col("more_known") + int(end > 0)).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (log_sum - F.col("n_tokens") * math.log10(total + different + 1)).alias("base_score"),
+        (F.col("score") + F.col("more_score")).alias("score"),
     )
 
 

@@ -1,6 +1,8 @@
 """Images read from files, measured and transformed by Spark; heads chosen on held-out rows."""
 
 import json
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -112,6 +114,60 @@ def test_nearest_prototypes_equal_numpy(spark):
         assert abs(r["margin"] - (s[r["id"]][order[0]] - s[r["id"]][order[1]])) < 1e-9
 
 
+def unpacked_png(data):
+    """The pixels of a PNG without filters, read by the format's definition."""
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, found = 8, {}
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + size]
+        assert struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0] == zlib.crc32(kind + body)
+        found[kind] = body
+        at += 12 + size
+    w, h, depth, colour = struct.unpack(">IIBB", found[b"IHDR"][:10])
+    assert (depth, colour) == (8, 2)
+    lines = np.frombuffer(zlib.decompress(found[b"IDAT"]), np.uint8).reshape(h, 3 * w + 1)
+    assert not lines[:, 0].any()
+    return lines[:, 1:].reshape(h, w, 3)
+
+
+def test_thumbnails(spark, tree):
+    files = readers.images(spark, str(tree), content=True).select("path", "content").unionByName(spark.createDataFrame([("bad", bytearray(b"no image")), ("none", None)], "path string, content binary"))
+    got = {r["path"]: r["thumb"] for r in scoring.thumbnails(files, pixels.ppm_image, 15).collect()}
+    assert len(got) == 8 and got.pop("bad") is None and got.pop("none") is None
+    for path, thumb in got.items():
+        with open(path, "rb") as f:
+            wanted = pixels.bounded(pixels.ppm_image(f.read()), 15)
+        assert (unpacked_png(bytes(thumb)) == wanted).all() and max(wanted.shape[:2]) == 15
+
+
+def test_galleries_with_pictures(spark, tmp_path):
+    thumb = bytearray(pixels.png_bytes(np.zeros((2, 2, 3), np.uint8)))
+    rows = [(kind, k + 1, f"{kind}/<{k}>.jpg", 0.5 + k / 200, int(kind == "FN"), "clean", thumb if k else None) for kind in ("FP", "FN") for k in range(45)]
+    worst = spark.createDataFrame(rows, "error_type string, place long, image_path string, pred double, label int, condition string, thumb binary")
+    one = sinks.gallery(worst.where("place <= 2"), "m", 0.5, 100, str(tmp_path / "a" / "m.html"))
+    assert one == [str(tmp_path / "a" / "m.html")]
+    text = (tmp_path / "a" / "m.html").read_text(encoding="utf-8")
+    assert text.count("data:image/png;base64,") == 2 and text.count("[image not found: ") == 2
+    pages = sinks.gallery(worst, "m", 0.5, 100, str(tmp_path / "m.html"))
+    assert [p.rpartition("/")[2] for p in pages] == ["index.html", "page-2.html", "page-3.html"]
+    assert sum(open(p, encoding="utf-8").read().count("<figure") for p in pages) == 90
+    assert len(list((tmp_path / "m" / "thumbs").iterdir())) == 88
+    meta, cards = readers.galleries(spark, pages[0])
+    assert (meta.first()["n_fp"], meta.first()["n_fn"], cards.count()) == (45, 45, 90)
+    assert cards.where("path = 'FN/<3>.jpg'").count() == 1
+    assert len(sinks.gallery(worst, "m", 0.5, 100, str(tmp_path / "b.html"), layout="embedded")) == 1
+    with pytest.raises(ValueError, match="layout"):
+        sinks.gallery(worst, "m", 0.5, 100, str(tmp_path / "c.html"), layout="x")
+
+
+def test_style_similarity(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 2.0]), (3, [1.0, 1.0])], "id int, v array<double>")
+    got = {r["id"]: r for r in scoring.style_similarity(rows, "v", [2.0, 0.0], [0.0, 3.0]).collect()}
+    assert {k: r["stylized"] for k, r in got.items()} == {1: False, 2: True, 3: False}
+    assert abs(got[2]["style_sim"] - 2 / 5**0.5) < 1e-12 and got[1]["photo_sim"] == 1.0
+
+
 def test_slice_tables(spark, tmp_path):
     row = dict.fromkeys(sinks.SLICE_COLUMNS)
     row |= {"feature": "size", "value": "small", "n": 5, "auroc": 0.25, "fnr": None, "shortcut_candidate": True, "blind_spot_candidate": False}

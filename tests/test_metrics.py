@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from verdigris.operators import groups, metrics
@@ -124,6 +125,38 @@ def test_percentiles(spark):
     assert math.isclose(metrics.percentiles(df, "pred").first()["q50"], 0.75)
 
 
+def test_percentiles_equal_numpy(spark):
+    """Crowded, equal and outlying scores, by group; a null is no score, and a group of nulls has none."""
+    rng = np.random.default_rng(3)
+    scores = {
+        "crowded": 1 - 10.0 ** rng.uniform(-14, -3, 400), "equal": np.full(50, 0.25), "even": rng.random(301), "wide": rng.normal(0, 5, 120), "one": np.array([1.0]),
+        "ends": np.array([0.0, 0.0, 1.0, 1.0, 1e-13]),
+    }
+    rows = [(g, float(x)) for g, xs in scores.items() for x in xs] + [("none", None), ("one", None)]
+    at = (0, 0.1, 0.25, 0.5, 0.9, 1)
+    got = {r["g"]: r for r in metrics.percentiles(spark.createDataFrame(rows, "g string, pred double"), "pred", ["g"], at).collect()}
+    assert set(got) == {*scores, "none"} and got["none"]["q50"] is None
+    for g, xs in scores.items():
+        for q in at:
+            assert math.isclose(got[g][f"q{round(100 * q)}"], np.quantile(xs, q), rel_tol=1e-12, abs_tol=1e-15), (g, q)
+
+
+def test_slots_follow_the_scores(spark):
+    """Slots never fall as the score rises, and part scores that crowd at an end."""
+    xs = np.sort(np.concatenate([1 - 10.0 ** np.linspace(-15, 0, 200), 10.0 ** np.linspace(-300, 0, 200), [-3.0, 0.0, 1.0, 7.0], np.linspace(0, 1, 500)]))
+    got = [r["s"] for r in spark.createDataFrame([(float(x),) for x in xs], "score double").coalesce(1).select(metrics._slot().alias("s")).collect()]
+    assert got == sorted(got)
+    assert len({s for s, x in zip(got, xs, strict=True) if 0.9999 < x < 1}) > 50
+
+
+def test_error_summary_has_scores(spark):
+    errors = spark.createDataFrame([("a", "FP", 0.5), ("a", "FP", 0.7), ("a", "FN", 0.1)], "model string, error_type string, pred double")
+    totals = spark.createDataFrame([("a", 4, 4), ("b", 3, 3)], "model string, n_real long, n_fake long")
+    got = {r["model"]: r for r in groups.error_summary(errors, totals).collect()}
+    assert (got["a"]["fp"], got["a"]["fn"], got["b"]["fp"], got["b"]["fp_scores"]) == (2, 1, 0, None)
+    assert np.allclose(got["a"]["fp_scores"], [0.5, 0.55, 0.6, 0.65, 0.7]) and got["a"]["accuracy"] == 0.625
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "label int, pred double, g string")
     assert metrics.binary_metrics(df, ["g"]).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import error_type
-from .metrics import binary_metrics, with_fnr
+from .metrics import binary_metrics, percentiles, with_fnr
 
 
 def _rate(part: Column, whole: Column) -> Column:
@@ -142,11 +142,13 @@ def error_overlap(errors: DataFrame, key: str = "key") -> DataFrame:
 def error_summary(errors: DataFrame, totals: DataFrame) -> DataFrame:
     """Error counts, rates and score percentiles of each model; totals: model, n_real, n_fake."""
     out = totals
-    for kind in ("FP", "FN"):
-        own = errors.where(F.col("error_type") == kind).groupBy("model")
-        q = F.percentile("pred", [0.0, 0.25, 0.5, 0.75, 1.0])
-        own = own.agg(F.count("*").alias(kind.lower()), q.alias(f"{kind.lower()}_scores"))
-        out = out.join(own, "model", "left").fillna(0, [kind.lower()])
+    both = ["model", "error_type"]
+    counts = errors.groupBy(*both).agg(F.count("*").alias("n"))
+    scores = percentiles(errors, "pred", both).select(*both, F.array("q0", "q25", "q50", "q75", "q100").alias("scores"))
+    found = counts.join(scores, both)
+    for kind in ("fp", "fn"):
+        own = found.where(F.col("error_type") == kind.upper()).select("model", F.col("n").alias(kind), F.col("scores").alias(f"{kind}_scores"))
+        out = out.join(own, "model", "left").fillna(0, [kind])
     n = F.col("n_real") + F.col("n_fake")
     wrong = (F.col("fp") > F.col("n_real")) | (F.col("fn") > F.col("n_fake"))
     fp = F.when(wrong, F.raise_error(F.lit("more errors than rows of that class")).cast("long")).otherwise(F.col("fp"))

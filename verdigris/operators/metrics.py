@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLOTS = 1024
+#: Slots for a unit of the log odds, by which crowded scores near 0 and 1 are parted further.
+ODDS = 16
 KEYS = ("n", "n_real", "n_fake", "threshold", "acc", "auroc", "precision_fake", "recall_fake", "fpr", "tp", "fp", "tn", "fn", "mean_pred")
 
 
@@ -32,7 +34,10 @@ def histogram(df: DataFrame, keys: Sequence[str], score: str = "pred", label: st
 
 
 def _slot() -> Column:
-    return F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * SLOTS).cast("int")
+    """A number that never falls as the score rises: its part of the range, and inside that its log odds.  All scores of one slot meet in one task."""
+    p = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
+    odds = F.when(p <= 0, -40.0).when(p >= 1, 40.0).otherwise(F.least(F.greatest(F.ln(p / (F.lit(1.0) - p)), F.lit(-40.0)), F.lit(40.0)))
+    return (F.floor(p * SLOTS) * (80 * ODDS + 1) + F.floor((odds + 40) * ODDS)).cast("int")
 
 
 def negatives_below(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -166,9 +171,22 @@ def composite(rows: DataFrame, conditions: Sequence[str], keys: Sequence[str] =
 
 
 def percentiles(df: DataFrame, value: str, keys: Sequence[str] = (), at: Sequence[float] = (0, 0.25, 0.5, 0.75, 1)) -> DataFrame:
-    """Linearly interpolated percentiles q0, q25, ..."""
-    found = df.groupBy(*keys).agg(F.percentile(value, [float(q) for q in at]).alias("q"))
-    return found.select(*keys, *[F.col("q")[k].alias(f"q{round(100 * q)}") for k, q in enumerate(at)])
+    """Linearly interpolated percentiles q0, q25, ... of scores; nulls do not count, and a group without values has null.
+
+    Exact, from counts of different values and their ranks: no task holds a whole group.
+    """
+    hist = df.groupBy(*keys, F.col(value).cast("double").alias("score")).agg(F.count(value).alias("neg"))
+    ranked = negatives_below(hist, keys)
+    sizes = hist.groupBy(*keys).agg(F.sum("neg").alias("size"))
+    rows = ranked.join(sizes, _same(ranked, sizes, keys)).select(*[ranked[c] for c in ranked.columns], sizes["size"])
+    holds = lambda place: F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("neg")), F.col("score")))
+    found = []
+    for k, q in enumerate(at):
+        place = F.lit(float(q)) * (F.col("size") - 1)
+        found += [holds(F.floor(place)).alias(f"low_{k}"), holds(F.ceil(place)).alias(f"high_{k}"), F.max(place - F.floor(place)).alias(f"part_{k}")]
+    low, high, part = ([F.col(f"{n}_{k}") for k in range(len(at))] for n in ("low", "high", "part"))
+    between = [F.when(low[k] == high[k], low[k]).otherwise((1 - part[k]) * low[k] + part[k] * high[k]) for k in range(len(at))]
+    return rows.groupBy(*keys).agg(*found).select(*keys, *[between[k].alias(f"q{round(100 * q)}") for k, q in enumerate(at)])
 
 
 def score_predictions(preds: DataFrame, labels: DataFrame, key: str = "key", threshold: float = 0.5, max_errors: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -75,6 +75,13 @@ def nearest_prototypes(rows: DataFrame, protos: DataFrame, vector: str, ident: s
     )
 
 
+def style_similarity(rows: DataFrame, vector: str, photo: Sequence[float], style: Sequence[float]) -> DataFrame:
+    """Adds photo_sim and style_sim (cosines to two given vectors) and `stylized`, whether the second is above the first."""
+    to = lambda v: cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in v]))
+    rows = rows.withColumns({"photo_sim": to(photo), "style_sim": to(style)})
+    return rows.withColumn("stylized", F.coalesce(F.col("style_sim") > F.col("photo_sim"), F.lit(False)))
+
+
 def fit_head_by_eval(
     train: DataFrame, held: DataFrame, vector: str, label: str, penalties: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1), kind: str = "linear", hidden: int = 256, rounds: int = 100
 ) -> tuple[Callable[[DataFrame], DataFrame], float]:
@@ -155,6 +162,24 @@ def measured(rows: DataFrame, decode: Callable[[bytes], np.ndarray], path: str =
     return rows.select(path, "content").mapInArrow(run, schema)
 
 
+def thumbnails(rows: DataFrame, decode: Callable[[bytes], np.ndarray], side: int = 160, path: str = "path") -> DataFrame:
+    """path and `thumb`: each image file (path, content), shrunk to `side` pixels at most, as PNG; null where it is no image."""
+    from ..functions import pixels
+
+    def made(content: bytes | None) -> bytes | None:
+        try:
+            return pixels.png_bytes(pixels.bounded(decode(content), side))
+        except Exception:  # whatever a codec raises: the card says that there is no picture
+            return None
+
+    def run(batches):
+        for batch in batches:
+            thumbs = pa.array([made(c) for c in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), thumbs], [path, "thumb"])
+
+    return rows.select(path, "content").mapInArrow(run, f"`{path}` string, thumb binary")
+
+
 def materialised(items: DataFrame, settings: Sequence[tuple[str, str, str, float]], codec, out: str, manifest: str) -> DataFrame:
     """Writes every item (image_id, content, label) under every setting once, and returns the manifest of all that is there.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import key_by_marker_priority, key_from_first_marker, without_suffix
+from ..functions.paths import hashed_path, item_id, key_by_marker_priority, key_from_first_marker, without_suffix
 from ..functions.values import error_type
 from ..operators import joins
 from .registry import query, table
@@ -144,6 +144,27 @@ def settings_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "transform_key", "op", "value", seed56(item, F.col("transform_key")).alias("seed"), folder.alias("folder"))
 
 
+@query(
+    """WITH s AS (SELECT * FROM (VALUES ('jpeg_q50'), ('blur_s10'), ('crop_p80')) x(transform_key)), i AS (SELECT p_partkey, transform_key, sha1('part/' || p_partkey || ':' || p_size) AS item FROM part, s)
+SELECT p_partkey, transform_key, '/out/' || transform_key || '/' || item[1:2] || '/' || item || '.jpg' AS path FROM i"""
+)
+def hashed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each item under each setting is written."""
+    settings = spark.createDataFrame([(s[0],) for s in _SETTINGS], "transform_key string")
+    rows = joins.times_settings(table(spark, sf_dir, "part").select("p_partkey", "p_size"), settings)
+    item = item_id(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")), F.col("p_size"))
+    return rows.select("p_partkey", "transform_key", hashed_path("/out", F.col("transform_key"), item, "jpg").alias("path"))
+
+
+@query(
+    "SELECT p_partkey, p_size, view FROM part, (SELECT unnest(['clean','jpeg','blur','resize','noise','jitter','crop']) AS view)"
+)
+def view_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row under seven views."""
+    views = ("clean", "jpeg", "blur", "resize", "noise", "jitter", "crop")
+    return joins.times_views(table(spark, sf_dir, "part").select("p_partkey", "p_size"), views)
+
+
 @query("SELECT view, count(*) AS n, sum(p_size)::BIGINT AS total FROM part, (SELECT unnest(['clean','jpeg','blur','resize','noise','jitter','crop']) AS view) GROUP BY view")
 def views_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven views of each row."""

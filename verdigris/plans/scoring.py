@@ -54,6 +54,19 @@ def nearest_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.nearest_prototypes(rows, protos, "embedding", "vec_id"), 6)
 
 
+_PHOTO, _STYLE = [float(k % 5 - 2) for k in range(64)], [float(k % 7 - 3) for k in range(64)]
+
+
+@query(
+    f"""WITH s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {_PHOTO}::DOUBLE[]) AS p, list_cosine_similarity(embedding::DOUBLE[], {_STYLE}::DOUBLE[]) AS s FROM embeddings)
+SELECT vec_id, round(p, 6) AS photo_sim, round(s, 6) AS style_sim, s > p AS stylized FROM s"""
+)
+def style_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines to a photo and a style vector, and which is nearer."""
+    rows = scoring.style_similarity(table(spark, sf_dir, "embeddings"), "embedding", _PHOTO, _STYLE)
+    return rounded(rows.select("vec_id", "photo_sim", "style_sim", "stylized"), 6)
+
+
 @query(
     """WITH c AS (SELECT source, n_chars // 500 AS bin, count(*)::DOUBLE AS n FROM documents GROUP BY ALL), t AS (SELECT source, sum(n) AS total FROM c GROUP BY 1)
 SELECT source, round(-sum(n / total * log2(n / total)), 8) AS entropy FROM c JOIN t USING (source) GROUP BY 1"""

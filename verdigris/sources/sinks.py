@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import html
 import json
+import math
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -24,6 +26,8 @@ SLICE_COLUMNS = (
 SHOWN_SLICE_COLUMNS = (
     "feature", "value", "n", "n_real", "n_fake", "auroc", "fpr", "fnr", "prevalence_gap", "shortcut_candidate", "blind_spot_candidate",
 )
+#: Fixed value: the cards of a gallery that is one page.
+EMBEDDED_CARDS = 80
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -100,19 +104,78 @@ def new_only(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return df.join(existing.select(key).distinct(), key, "left_anti")
 
 
-def gallery_html(worst: DataFrame, title: str, threshold: float, joined: int) -> str:
-    """A page of the worst errors (a few rows, ranked by Spark), with its cards as JSON."""
+def _cards(worst: DataFrame) -> dict[str, list[dict]]:
+    """The worst errors (a few rows, ranked by Spark) by kind, in their order."""
     cards: dict[str, list] = {"FP": [], "FN": []}
     for r in worst.orderBy("error_type", "place").collect():
-        cards[r["error_type"]].append({"etype": r["error_type"], "path": r["image_path"], "pred": r["pred"], "label": r["label"]})
-    meta = f"threshold={threshold} · FP={len(cards['FP'])} · FN={len(cards['FN'])} · joined={joined}"
-    shown = "".join(
-        f'<figure data-etype="{c["etype"]}" data-path="{html.escape(c["path"])}" data-pred="{c["pred"]}">'
-        f"<figcaption>{html.escape(c['path'])} {c['pred']:.4f}</figcaption></figure>"
-        for kind in cards.values()
-        for c in kind
+        told = r.asDict()
+        cards[r["error_type"]].append(
+            {"etype": r["error_type"], "path": r["image_path"], "pred": r["pred"], "label": r["label"]}
+            | {c: told[c] for c in ("condition", "generator", "thumb") if c in told}
+        )
+    return cards
+
+
+def _figure(card: dict, picture: str | None) -> str:
+    """A card; `picture` is what its image is read from (no image at all where thumbnails were not asked for)."""
+    path = html.escape(card["path"])
+    shown = ""
+    if "thumb" in card:
+        shown = f'<img src="{picture}" alt="error">' if picture else f'<div class="meta">[image not found: {path}]</div>'
+    more = "".join(f" · {html.escape(str(card[c] or ''))}" for c in ("condition", "generator") if c in card)
+    return (
+        f'<figure data-etype="{card["etype"]}" data-path="{path}" data-pred="{card["pred"]}">{shown}'
+        f"<figcaption>{path} {card['pred']:.4f}{more}</figcaption></figure>"
     )
-    return f"<!doctype html><title>{html.escape(title)}</title><p>{meta}</p>{shown}<script>const cards = {json.dumps(cards)};</script>"
+
+
+def _meta(cards: dict[str, list[dict]], threshold: float, joined: int) -> str:
+    return f"threshold={threshold} · FP={len(cards['FP'])} · FN={len(cards['FN'])} · joined={joined}"
+
+
+def _script(cards: dict[str, list[dict]]) -> str:
+    bare = {kind: [{k: v for k, v in c.items() if k != "thumb"} for c in own] for kind, own in cards.items()}
+    return "<script>const cards = " + json.dumps(bare).replace("<", "\\u003c") + ";</script>"
+
+
+def gallery_html(worst: DataFrame, title: str, threshold: float, joined: int) -> str:
+    """A page of the worst errors, with its cards as JSON; pictures are inside the page where `worst` has their bytes (`thumb`, PNG)."""
+    cards = _cards(worst)
+    picture = lambda c: c.get("thumb") and "data:image/png;base64," + base64.b64encode(c["thumb"]).decode()
+    shown = "".join(_figure(c, picture(c)) for own in cards.values() for c in own)
+    return f"<!doctype html><title>{html.escape(title)}</title><p>{_meta(cards, threshold, joined)}</p>{shown}{_script(cards)}"
+
+
+def gallery_pages(worst: DataFrame, title: str, threshold: float, joined: int, out: str, page_size: int = 40) -> list[str]:
+    """The same as a folder: index.html with all cards as JSON and the first page, page-2.html and so on, and thumbs/; the pages' paths."""
+    cards = _cards(worst)
+    every = [c for own in cards.values() for c in own]
+    folder = Path(out)
+    (folder / "thumbs").mkdir(parents=True, exist_ok=True)
+    figures = []
+    for k, card in enumerate(every):
+        name = f"thumbs/{k:05d}.png" if card.get("thumb") else None
+        if name:
+            (folder / name).write_bytes(card["thumb"])
+        figures.append(_figure(card, name))
+    names = ["index.html", *(f"page-{k}.html" for k in range(2, math.ceil(len(every) / page_size) + 1))]
+    links = " ".join(f'<a href="{n}">{k}</a>' for k, n in enumerate(names, 1))
+    head = f"<!doctype html><title>{html.escape(title)}</title><p>{_meta(cards, threshold, joined)}</p><p>{links}</p>"
+    for k, name in enumerate(names):
+        body = "".join(figures[k * page_size : (k + 1) * page_size])
+        (folder / name).write_text(head + body + (_script(cards) if k == 0 else ""), encoding="utf-8")
+    return [str(folder / n) for n in names]
+
+
+def gallery(worst: DataFrame, title: str, threshold: float, joined: int, out: str, layout: str = "auto", page_size: int = 40) -> list[str]:
+    """Writes a gallery to `out` (a name.html): one page, or for more than 80 cards a folder of pages beside it; the paths of its pages."""
+    if layout not in ("auto", "embedded", "paged"):
+        raise ValueError(f"unknown layout {layout}")
+    if layout == "paged" or layout == "auto" and worst.count() > EMBEDDED_CARDS:
+        return gallery_pages(worst, title, threshold, joined, str(Path(out).with_suffix("")), page_size)
+    Path(out).parent.mkdir(parents=True, exist_ok=True)
+    Path(out).write_text(gallery_html(worst, title, threshold, joined), encoding="utf-8")
+    return [out]
 
 
 def report(sections: dict[str, str]) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, lines, mixing, neardup, ppm, quality, token_counts, toxicity
+from . import bpe, chat, fingerprints, lines, mixing, neardup, negatives, ppm, quality, sharding, token_counts, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm": ppm.op1_ppm,
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_chat_format": chat.op9_chat_format,
     "op10_minhash_neardup": neardup.op10_minhash_neardup,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_sharding": sharding.op13_sharding,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": lines.ORACLE,
     "op4_quality_rules": quality.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op9_chat_format": chat.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_sharding": sharding.ORACLE,
 }

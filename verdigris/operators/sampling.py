@@ -1,7 +1,10 @@
 """Seeded samples, caps, first-of-key picks and unions of pools.
 
 A sample takes rows in the order of sha1(seed | id): the same rows on any cluster and
-any partitioning.  Picks of a fixed number per group rank inside the group.
+any partitioning.  Picks of a few per group rank inside the group, of which each task
+keeps its own first.  Larger picks count the digests by their leading digits: the group's
+n-th digest is found among those that share its digits, and all rows up to it are kept by
+a filter, so that no group is ever ordered and no row moves.
 """
 
 from __future__ import annotations
@@ -23,9 +26,83 @@ def first_per(df: DataFrame, keys: Sequence[str], n: int | Column, *order: Colum
     return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
+#: Picks of at most so many rows a group rank them: Spark keeps so many a task before it shuffles them.
+FEW = 1000
+#: Hexadecimal digits that one count parts a group by, and digests that one task may order.
+DIGITS, LEAF = 4, 2_000_000
+#: Groups whose limits are broadcast; those of more groups are met in a shuffle.
+MAX_GROUPS = 100_000
+
+
+def _small(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df as a local table, and True, if it has at most MAX_GROUPS rows."""
+    got = df.limit(MAX_GROUPS + 1).toArrow()
+    return (df, False) if got.num_rows > MAX_GROUPS else (df.sparkSession.createDataFrame(got, df.schema), True)
+
+
+def _met(rows: DataFrame, limits: DataFrame, keys: Sequence[str], few: bool, how: str = "inner") -> DataFrame:
+    """rows with the limits of their group (null keys are a group); `limits` are named by `_key0`, `_key1`, ..."""
+    on = F.lit(True)
+    for k, key in enumerate(keys):
+        on = on & rows[key].eqNullSafe(limits[f"_key{k}"])
+    return rows.join(F.broadcast(limits) if few else limits, on, how).drop(*[f"_key{k}" for k in range(len(keys))])
+
+
+def cuts(df: DataFrame, keys: Sequence[str], n: int, seed: int | str, ident: str, digits: int = DIGITS, leaf: int = LEAF) -> tuple[DataFrame, bool]:
+    """The n-th digest (`_at`) of each group with more than n rows, how many rows have it (`_ties`) and how many of them are among the n (`_allowed`); and whether it is a local table.
+
+    Groups' digests are counted by their first `digits`, then, where more than `leaf` share
+    those of the n-th, by twice as many among them, and so on; only those that are left are ordered.
+    """
+    own, named = ([f"{x}{k}" for k in range(len(keys))] for x in ("_own", "_key"))
+    whole = W.partitionBy(*(own or [F.lit(0)]))
+    every = df.select(*[F.col(k).alias(a) for k, a in zip(keys, own, strict=True)], draw(seed, ident).alias("_digest"))
+    rows, width = every.withColumn("_need", F.lit(n).cast("long")), digits
+    while True:
+        parts = rows.groupBy(*own, "_need", F.substring("_digest", 1, width).alias("_prefix")).agg(F.count("*").alias("_rows"))
+        # At most 16 ** digits rows a group.
+        reach = F.sum("_rows").over(whole.orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0))
+        parts = parts.withColumn("_reach", reach).where((F.col("_reach") >= F.col("_need")) & (F.col("_reach") - F.col("_rows") < F.col("_need")))
+        found, few = _small(parts.select(*own, "_prefix", (F.col("_need") - F.col("_reach") + F.col("_rows")).alias("_need"), "_rows").toDF(*named, "_prefix", "_need", "_rows"))
+        rows = _met(every, found, own, few).where(F.substring("_digest", 1, width) == F.col("_prefix")).select(*own, "_digest", "_need")
+        if width >= 40 or (found.agg(F.max("_rows")).first()[0] or 0) <= leaf:
+            break
+        width = min(40, width + digits)
+    order = whole.orderBy("_digest")
+    ranked = rows.withColumns({"_place": F.row_number().over(order), "_first": F.rank().over(order), "_ties": F.count("*").over(order.rangeBetween(W.currentRow, W.currentRow))})
+    at = ranked.where(F.col("_place") == F.col("_need"))
+    # The n-th row itself need not be the first of equal digests.
+    return _small(at.select(*own, F.col("_digest").alias("_at"), "_ties", (F.col("_need") - F.col("_first") + 1).alias("_allowed")).toDF(*named, "_at", "_ties", "_allowed"))
+
+
+def smallest(df: DataFrame, keys: Sequence[str], n: int, seed: int | str, ident: str, digits: int = DIGITS, leaf: int = LEAF) -> DataFrame:
+    """The first n rows of each group in the order of the draw, for any n and groups of any size.
+
+    Rows that share an id share a draw; of those that the n-th draw has, as many as are needed
+    are taken.  Groups of at most n rows are taken whole.
+    """
+    if n <= 0:
+        return df.limit(0)
+    limits, few = cuts(df, keys, n, seed, ident, digits, leaf)
+    met = _met(df.withColumn("_digest", draw(seed, ident)), limits, keys, few, "left")
+    if limits.where("_allowed < _ties").isEmpty():
+        return met.where(F.col("_at").isNull() | (F.col("_digest") <= F.col("_at"))).select(df.columns)
+    out = met.where(F.col("_at").isNull() | (F.col("_digest") < F.col("_at")))
+    equal = met.where(F.col("_digest") == F.col("_at"))
+    place = F.row_number().over(W.partitionBy(*keys, "_digest").orderBy("_digest"))
+    return out.select(df.columns).unionByName(equal.withColumn("_place", place).where("_place <= _allowed").select(df.columns))
+
+
+def seeded(df: DataFrame, keys: Sequence[str], n: int, seed: int | str, ident: str) -> DataFrame:
+    """The first n rows of each group in the order of the draw: ranked if n is small, else by `smallest`."""
+    if n > FEW:
+        return smallest(df, keys, n, seed, ident)
+    return first_per(df, keys, n, draw(seed, ident), F.col(ident))
+
+
 def sample(df: DataFrame, n: int, seed: int | str, ident: str) -> DataFrame:
-    """n rows, or all: each task keeps its own first n, so nothing is ordered as a whole."""
-    return df.orderBy(draw(seed, ident), ident).limit(n)
+    """n rows, or all: each task keeps its own first n if these are few, so nothing is ordered as a whole."""
+    return smallest(df, [], n, seed, ident) if n > FEW else df.orderBy(draw(seed, ident), ident).limit(n)
 
 
 def balanced(df: DataFrame, n: int, seed: int | str, ident: str, label: str = "y") -> DataFrame:
@@ -33,12 +110,12 @@ def balanced(df: DataFrame, n: int, seed: int | str, ident: str, label: str = "y
     labels = df.agg(F.count_distinct(label)).first()[0]
     if labels < 2:
         return sample(df, n, seed, ident)
-    return first_per(df, [label], n // 2, draw(seed, ident), F.col(ident))
+    return seeded(df, [label], n // 2, seed, ident)
 
 
 def capped_positives(df: DataFrame, group: str, cap: int, seed: int | str, ident: str, label: str = "y") -> DataFrame:
     """At most `cap` positives of each group; all negatives."""
-    pos = first_per(df.where(F.col(label) == 1), [group], cap, draw(seed, ident), F.col(ident))
+    pos = seeded(df.where(F.col(label) == 1), [group], cap, seed, ident)
     return pos.unionByName(df.where(F.col(label) == 0))
 
 
@@ -83,8 +160,7 @@ def replaced(base: DataFrame, extra: DataFrame, seed: int | str, ident: str, lab
     """base with as many positives gone as extra has (all at most), and extra added; negatives stay."""
     gone = extra.where(F.col(label) == 1).count()
     pos = base.where(F.col(label) == 1)
-    place = pos.select(ident, draw(seed, ident).alias("d")).orderBy("d", ident).limit(gone).select(ident)
-    left = pos.join(place, ident, "left_anti")
+    left = pos.join(sample(pos.select(ident), gone, seed, ident), ident, "left_anti")
     return left.unionByName(base.where(F.col(label) == 0)).unionByName(extra)
 
 

@@ -9,7 +9,7 @@ from ..functions.paths import first_known_part, label_from_folders, name, path_o
 from ..functions.values import bucket3, scaled_side
 from ..operators import curation, sampling, validate
 from .registry import query, table
-from .views import PRED, predictions
+from .views import PRED, SALES, predictions, sales
 
 _ITEMS = """items AS (
   SELECT p_partkey AS image_id, 'root/' || p_brand || '/' || p_partkey || '.JPEG' AS path, p_partkey % 3 - 0 AS label, CASE p_partkey % 5 WHEN 0 THEN 'real' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE p_brand END AS generator,
@@ -206,6 +206,24 @@ def capped_generators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.capped_positives(predictions(spark, sf_dir), "generator", 3, 7, "doc_id", "label").select("doc_id", "generator")
 
 
+@query(f"WITH {SALES} SELECT image_path, label FROM ({_ranked('sales', 'label', '7', 'image_path', 10_000)})")
+def balanced_sample_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L8 of many rows: 10,000 of either label, by the digest of the n-th."""
+    return sampling.balanced(sales(spark, sf_dir), 20_000, 7, "image_path", "label").select("image_path", "label")
+
+
+@query(f"WITH {SALES} SELECT image_path, generator FROM ({_ranked('(SELECT * FROM sales WHERE label = 1)', 'generator', '7', 'image_path', 2_000)}) UNION ALL SELECT image_path, generator FROM sales WHERE label = 0")
+def capped_generators_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L9 of many rows: 2,000 positives a generator, all negatives."""
+    return sampling.capped_positives(sales(spark, sf_dir), "generator", 2_000, 7, "image_path", "label").select("image_path", "generator")
+
+
+@query(f"WITH {SALES} SELECT image_path, label FROM (SELECT * FROM ({_ranked('(SELECT * FROM sales WHERE label = 1)', '', '5/pos', 'image_path', 5_000)}) UNION ALL SELECT * FROM ({_ranked('(SELECT * FROM sales WHERE label = 0)', '', '5/neg', 'image_path', 8_000)}))")
+def pool_sample_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L10, L11 of many rows: samples of two pools."""
+    return sampling.pools(sales(spark, sf_dir), {"pos": {"label": 1, "n": 5_000}, "neg": {"label": 0, "n": 8_000}}, 5, "image_path").select("image_path", "label")
+
+
 @query(f"WITH {PRED} SELECT doc_id FROM ({_ranked('pred', '', '3', 'doc_id', 50)})")
 def simple_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """50 seeded rows."""

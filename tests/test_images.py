@@ -46,23 +46,6 @@ def test_measures_equal_numpy(spark, tree):
         assert {k: r[k] for k in wanted} == wanted
 
 
-def test_materialising_takes_up_where_it_stopped(spark, tree, tmp_path):
-    files = readers.images(spark, str(tree), content=True)
-    items = files.select(F.sha1("rel").alias("image_id"), "content", F.when(F.col("rel").startswith("fake"), 1).otherwise(0).alias("label"))
-    settings = pixels.resolve("blur_s10,crop_p80")
-    out, manifest = str(tmp_path / "images"), str(tmp_path / "manifest")
-    first = scoring.materialised(items.where("label = 1"), settings, pixels.PPM, out, manifest)
-    assert first.count() == 6
-    every = scoring.materialised(items, settings, pixels.PPM, out, manifest)
-    assert every.count() == 12 and every.select("image_id", "transform_key").distinct().count() == 12
-    images = spark.read.option("recursiveFileLookup", "true").parquet(out)
-    assert images.count() == 12
-    one = images.join(every.where("transform_key = 'crop_p80'"), ["image_id", "height"], "left_semi").first()
-    assert pixels.ppm_image(bytes(one["content"])).shape[:2] == (one["height"], one["width"])
-    assert all(json.loads(r["params"]) for r in every.collect())
-    assert scoring.materialised(items, settings, pixels.PPM, out, manifest).count() == 12
-
-
 def test_transforms_equal_numpy(spark):
     rng = np.random.default_rng(2)
     images = [rng.integers(0, 256, (9, 7, 3)).astype(np.uint8) for _ in range(6)]

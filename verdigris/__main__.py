@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import verbs
 from .functions.paths import relative_to
-from .functions.pixels import PPM
+from .functions.pixels import PPM, Codec
 from .operators.sampling import balanced
 from .sources import readers
 
@@ -33,7 +33,10 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
     common.add_argument("--out", help="where results go")
     images = argparse.ArgumentParser(add_help=False)
     images.add_argument("--conditions", default="daily")
-    images.add_argument("--codec", help="module:pair of functions; without one, binary PPM files are read")
+    images.add_argument("--codec", help="module:(decode, encode, lossy); without one, binary PPM files are read and JPEG is refused")
+    images.add_argument("--limit", type=int, default=0, help="materialize: the first so many items only")
+    images.add_argument("--crop-resize-back", action="store_true", help="materialize: cropped images keep their size")
+    images.add_argument("--overwrite", action="store_true", help="materialize: make images that are there again")
     verb = parser.add_subparsers(dest="verb", required=True)
     one = verb.add_parser("score", parents=[common])
     one.add_argument("--pred", required=True)
@@ -68,12 +71,14 @@ def main(given: list[str] | None = None) -> None:
             with open(args.out, "w", encoding="utf-8") as f:
                 json.dump(told, f, indent=2)
         return
-    codec = _named(args.codec) if args.codec else PPM
+    codec = Codec(*_named(args.codec)) if args.codec else PPM
     content = readers.images(spark, args.root, content=True).select("path", "content")
     items = labelled.select("path", F.col("y").alias("label")).join(content, "path")
     items = items.select(relative_to(F.col("path"), args.root).alias("image_id"), "content", "label")
     if args.verb == "materialize":
-        print(f"{verbs.materialize(items, args.conditions, args.out, codec).count()} images below {args.out}")
+        options = {"limit": args.limit, "resize_back": args.crop_resize_back, "overwrite": args.overwrite, "split": args.split}
+        told = verbs.materialize(items, args.conditions, args.out, codec, **options)
+        print(f"rows={told['rows']} made={told['made']} skipped={told['skipped']} below {args.out}")
         return
     models = {name: _named(spec) for name, _, spec in (m.partition("=") for m in args.model)}
     table, errors = verbs.compare(items, models, args.conditions, f"{args.out}/work", codec, args.threshold, args.split)

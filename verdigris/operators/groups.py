@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.pixels import LOW_LEVEL_SLICES
 from ..functions.values import error_type
 from .metrics import binary_metrics, percentiles, with_fnr
 
@@ -190,3 +191,7 @@ def pivot_metrics(rows: DataFrame, conditions: Sequence[str], values: Sequence[s
     return rows.groupBy("model").pivot("condition", list(conditions)).agg(*[F.max(v).alias(v) for v in values])
 
 
+def slice_keys(columns: Sequence[str]) -> list[str]:
+    """Columns that a slice report is made for: the low-level slices that are there, then the semantic ones in order, without their scores and margins."""
+    semantic = sorted(c for c in set(columns) if c.startswith("semantic_") and not c.endswith(("_score", "_margin")))
+    return [*LOW_LEVEL_SLICES, *semantic]

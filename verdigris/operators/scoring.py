@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,44 +175,3 @@ def thumbnails(rows: DataFrame, decode: Callable[[bytes], np.ndarray], side: int
             yield pa.RecordBatch.from_arrays([batch.column(0), thumbs], [path, "thumb"])
 
     return rows.select(path, "content").mapInArrow(run, f"`{path}` string, thumb binary")
-
-
-def materialised(items: DataFrame, settings: Sequence[tuple[str, str, str, float]], codec, out: str, manifest: str) -> DataFrame:
-    """Writes every item (image_id, content, label) under every setting once, and returns the manifest of all that is there.
-
-    Images go to `out` and their rows to `manifest`, both Parquet, by setting; pairs that the
-    manifest has already are left alone, so that a run that was stopped is taken up again.
-    """
-    from ..functions import pixels
-    from ..functions.values import seed56
-
-    spark = items.sparkSession
-    decode, encode = codec
-    dims = spark.createDataFrame([(k, op, float(v)) for k, op, _, v in settings], "transform_key string, op string, value double")
-    rows = items.crossJoin(F.broadcast(dims)).withColumn("seed", seed56(F.col("image_id"), F.col("transform_key")))
-    try:
-        done = spark.read.parquet(manifest).select("image_id", "transform_key")
-        rows = rows.join(done, ["image_id", "transform_key"], "left_anti")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    schema = "image_id string, transform_key string, label int, height int, width int, params string, content binary"
-    names = ["image_id", "transform_key", "label", "height", "width", "params", "content"]
-    types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary())
-
-    def run(batches):
-        for batch in batches:
-            made = []
-            for ident, key, label, op, value, seed, content in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
-                img, params = pixels.apply(decode(content), op, value, seed, codec)
-                told = json.dumps({k: float(v) for k, v in params.items()}, sort_keys=True)
-                made.append((ident, key, label, img.shape[0], img.shape[1], told, encode(img, quality=95)))
-            columns = list(zip(*made, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    made = rows.select("image_id", "transform_key", F.col("label").cast("int"), "op", "value", "seed", "content").mapInArrow(run, schema)
-    batch = f"{out.rstrip('/')}/run-{uuid.uuid4().hex}"
-    made.write.partitionBy("transform_key").parquet(batch)
-    written = spark.read.schema(schema).parquet(batch).select(*names[:-1], F.col("_metadata.file_path").alias("path"))
-    written.write.mode("append").parquet(manifest)
-    return spark.read.parquet(manifest)

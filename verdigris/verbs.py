@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.paths import relative_to
-from .functions.pixels import PPM, Codec, conditions, resolve
+from .functions.pixels import PPM, Codec, conditions, refuse_unsupported, resolve
 from .functions.values import error_type
 from .operators.groups import worst
+from .operators.materialize import contents, materialized, placed, with_sizes
 from .operators.metrics import binary_metrics, score_predictions
-from .operators.scoring import Predictor, materialised
+from .operators.scoring import Predictor
+from .schema import SOURCE
 from .sources import readers, sinks
 
 
@@ -37,12 +39,20 @@ def score(
     return found.withColumns({"split": F.lit(split), "condition": F.lit(condition)}), errors
 
 
-def materialize(items: DataFrame, asked: str, out: str, codec: Codec = PPM) -> DataFrame:
-    """Items under the asked conditions, written once below `out`; the manifest of all that is there."""
+def materialize(items: DataFrame, asked: str, out: str, codec: Codec = PPM, **options) -> dict[str, int]:
+    """Items under the asked conditions as files below `out`/images, with `out`/manifest; how many rows, files made and files that were there.
+
+    items: image_id, content and label, and as many columns of a source manifest as there are.
+    """
     names = [c for c in conditions(asked) if c != "clean"]
     if not names:
         raise ValueError("no condition to materialize")
-    return materialised(items, resolve(",".join(names)), codec, f"{out.rstrip('/')}/images", f"{out.rstrip('/')}/manifest")
+    settings = resolve(",".join(names))
+    refuse_unsupported([op for _, op, _, _ in settings], codec)
+    rows = items if {"width", "height"} <= set(items.columns) else with_sizes(items.drop("width", "height"), codec.decode)
+    filled = {"path": F.col("image_id"), "source_dataset": F.lit(""), "split": F.lit(options.pop("split", ""))}
+    rows = rows.withColumns({f.name: filled.get(f.name, F.lit(None)).cast(f.dataType) for f in SOURCE.fields if f.name not in rows.columns})
+    return materialized(rows, settings, codec, f"{out.rstrip('/')}/images", f"{out.rstrip('/')}/manifest", **options)
 
 
 def _under(items: DataFrame, names: Sequence[str], out: str, codec: Codec) -> DataFrame:
@@ -51,11 +61,11 @@ def _under(items: DataFrame, names: Sequence[str], out: str, codec: Codec) -> Da
     if "clean" in names:
         rows.append(items.select("image_id", F.lit("clean").alias("condition"), F.col("label").cast("int").alias("label"), "content"))
     if others := [n for n in names if n != "clean"]:
-        there = materialize(items, ",".join(others), out, codec).where(F.col("transform_key").isin(others)).select("image_id", "transform_key", "path")
-        # A run that was stopped leaves files that no manifest names: they are not read.
-        files = items.sparkSession.read.parquet(f"{out.rstrip('/')}/images/run-*").withColumn("path", F.col("_metadata.file_path"))
-        own = files.join(there, ["image_id", "transform_key", "path"], "left_semi").join(items.select("image_id"), "image_id", "left_semi")
-        rows.append(own.select("image_id", F.col("transform_key").alias("condition"), "label", "content"))
+        materialize(items, ",".join(others), out, codec)
+        settings = resolve(",".join(others))
+        own = placed(items.select("image_id", F.col("label").cast("int").alias("label")), settings)
+        files = contents(items.sparkSession, settings, f"{out.rstrip('/')}/images").drop("transform_key")
+        rows.append(own.join(files, "place").select("image_id", F.col("key").alias("condition"), "label", "content"))
     return reduce(DataFrame.unionByName, rows)
 
 

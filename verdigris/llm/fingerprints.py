@@ -13,7 +13,7 @@ fingerprints estimates the Jaccard similarity of the sets, and is exact for smal
 
 Edge cases: a null text is empty; an empty text has the empty fingerprint, like 1 to
 itself and 0 to all others; equal texts have equal fingerprints; rows are ordered by
-doc_id (numbers by value, texts by their UTF-8 bytes), null first, and repeated doc_ids by text; a single document is its own next;
+doc_id (numbers by value, texts by their UTF-8 bytes), null first, and repeated doc_ids by a hash of the text; a single document is its own next;
 an empty table gives no rows; other columns are not looked at; texts of any length are
 parsed whole.
 """
@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import NumericType
 
-from .common import CHUNK, arrow_map, as_bytes, table, without
+from .common import CHUNK, arrow_map, as_bytes, saved, table, without
 from .ragged import BYTE_KEYS, U64, chunks, hashes_of_spans, mix
 
 LEVELS = (2, 3)
 SKETCH = 64
 #: Bytes of text of one range of documents, about.
 RANGE_BYTES = 128 << 20
+#: Times its share of rows or bytes that a range of numbers may hold, and rows that count as a share at least.
+UNEVEN, FAIR_ROWS = 6, 1000
 _DE_BRUIJN = 0x03F79D71B4CB0A89
 _PLACE = np.zeros(64, np.uint8)
 _PLACE[[((_DE_BRUIJN << k) & 0xFFFFFFFFFFFFFFFF) >> 58 for k in range(64)]] = np.arange(64)
@@ -161,32 +163,47 @@ def _place(docs: DataFrame) -> Column:
     return F.conv(F.rpad(F.hex(six), 12, "0"), 16, 10).cast("double")
 
 
+def _numbered(docs: DataFrame, parts: int) -> DataFrame:
+    """docs (at) with `part`, the range of `at` that they are in, of about equally many rows."""
+    limits = docs.where("doc_id IS NOT NULL").approxQuantile("at", [k / (4 * parts) for k in range(1, 4 * parts)], 1 / (16 * parts))
+    splits = [float("-inf"), *sorted(set(limits) or {0.0}), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="at", outputCol="range").transform(docs)
+    return ranged.withColumn("part", F.col("range").cast("int"))
+
+
 def in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, text, part, edge: rows dealt to ranges of doc_id and ordered inside them.
 
     Each range ends with a copy (edge) of the next one's first document, the last range
     with the first of all.  There are as many ranges as the session has shuffle partitions,
-    or one for RANGE_BYTES of text if that is more.  Only the ranges' limits come to the driver.
+    or one for RANGE_BYTES of text if that is more.  Where a range of numbers would hold
+    UNEVEN times its share (ids that are null, repeated, or texts that differ late), rows are
+    dealt to ranges of (doc_id, hash of the text, row) instead, which takes one more copy of
+    the texts on disk.  One small row a range comes to the driver.
     """
     spark = docs.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if not parts:
-        n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / RANGE_BYTES))
     at = F.coalesce(_place(docs), F.lit(float("-inf"))).alias("at")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), at)
-    limits = docs.where("doc_id IS NOT NULL").approxQuantile("at", [k / (4 * parts) for k in range(1, 4 * parts)], 1 / (16 * parts))
-    splits = [float("-inf"), *sorted(set(limits) or {0.0}), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="at", outputCol="range").transform(docs).withColumn("part", F.col("range").cast("int"))
-    heads = ranged.groupBy("part").agg(F.min("at").alias("head")).orderBy("part").collect()
-    before = [(heads[k]["head"], heads[k - 1]["part"]) for k in range(len(heads))]
-    schema = "head double, before int"
-    edges = spark.createDataFrame(before, schema) if before else spark.createDataFrame([], schema)
-    rows = ranged.join(F.broadcast(edges), F.col("at") == F.col("head"), "left")
-    own = F.struct(F.col("part"), F.lit(False).alias("edge"))
-    more = F.struct(F.col("before").alias("part"), F.lit(True).alias("edge"))
-    rows = rows.select("doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, more))).alias("p"))
-    rows = rows.select("doc_id", "text", "p.part", "p.edge")
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "edge", "doc_id", "text")
+    ranged = _numbered(docs, parts)
+    first = [F.max(F.col("doc_id").isNull()).alias("no_id"), F.min("doc_id").alias("doc_id"), F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")]
+    heads = ranged.groupBy("part").agg(*first).orderBy("part").collect()
+    fair = max(RANGE_BYTES // 4, n_bytes // parts), max(FAIR_ROWS, sum(h["n"] for h in heads) // parts)
+    if any(h["bytes"] > UNEVEN * fair[0] or h["n"] > UNEVEN * fair[1] for h in heads):
+        order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id()]
+        ranged = saved(docs.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranged")
+        heads = ranged.groupBy("part").agg(*first).orderBy("part").collect()
+    # The first document of each range stands, once, behind the rows of the range before it.
+    before = [(h["part"], None if h["no_id"] else h["doc_id"], heads[k - 1]["part"]) for k, h in enumerate(heads)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    edges = spark.createDataFrame(before, f"of int, head {kind}, before int")
+    heading = (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head"))
+    edges = ranged.join(F.broadcast(edges), heading).groupBy("before").agg(F.min_by(F.struct("doc_id", "text"), F.xxhash64("text")).alias("r"))
+    edges = edges.select("r.doc_id", "r.text", F.col("before").alias("part"), F.lit(True).alias("edge"))
+    rows = ranged.select("doc_id", "text", "part", F.lit(False).alias("edge")).unionByName(edges)
+    return rows.repartition(parts, "part").sortWithinPartitions("part", "edge", "doc_id", F.xxhash64("text"), "text")
 
 
 def compared_with_next(docs: DataFrame) -> DataFrame:

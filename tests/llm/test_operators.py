@@ -268,3 +268,58 @@ def test_pipeline_against_brute_force(spark):
     decoded = bpe.decode(out.select("doc_id", "ids"), bpe.public_tokenizers.path(bpe.VOCABULARY)).collect()
     assert all(r["decoded"].decode() == mixed[r["doc_id"]] for r in decoded)
     assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in first.collect()}
+
+
+@pytest.mark.parametrize("kind", ["null", "repeated", "outlier"])
+def test_ranges_of_odd_ids_are_even(spark, monkeypatch, kind):
+    """Ids that one range of numbers would hold are spread, copied once at most, and compared as plain order says."""
+    monkeypatch.setattr(fingerprints, "UNEVEN", 1.5)
+    monkeypatch.setattr(fingerprints, "FAIR_ROWS", 10)
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(30))
+    if kind == "outlier":
+        rows = [(f"doc-{k:06d}", text()) for k in range(1500)] + [("a", text())]
+    else:
+        rows = [(None if kind == "null" else 7, text()) for _ in range(1200)] + [(k, text()) for k in range(300)]
+    df = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'outlier' else 'long'}, text string")
+    dealt = fingerprints.in_order(df, 6)
+    sizes = {r["part"]: (r["n"], r["copies"]) for r in dealt.groupBy("part").agg(F.count("*").alias("n"), F.count_if("edge").alias("copies")).collect()}
+    assert len(sizes) >= 4 and max(n for n, _ in sizes.values()) < 900 and all(c == 1 for _, c in sizes.values())
+    got = fingerprints.compared_with_next(df).select("doc_id", "edited_sha256").toPandas()
+    assert len(got) == len(rows)
+    if kind == "outlier":
+        texts = dict(rows)
+        order = sorted(texts)
+        wanted = {}
+        for k, i in enumerate(order):
+            t, u = texts[i], texts[order[(k + 1) % len(order)]]
+            half = len(t) // 2
+            wanted[i] = hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()
+        assert dict(zip(got["doc_id"], got["edited_sha256"], strict=True)) == wanted
+
+
+def test_training_rows_are_bounded_by_ids(spark, monkeypatch):
+    """1,000 copies of a labelled id are one row of the fitting task, whatever their texts."""
+    monkeypatch.setattr(toxicity, "MAX_TRAIN", 5)
+    docs = spark.createDataFrame([(k % 10, f"text number {k}") for k in range(10_000)], "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, toxic int")
+    chosen = toxicity.sample(labels, 5)
+    assert chosen.count() == 5
+    rows = toxicity.training_rows(docs, chosen)
+    assert rows.count() == 5 and rows.select("digest").distinct().count() == 5
+    assert toxicity.train(docs, labels).toPandas().equals(toxicity.train(docs.repartition(3), labels).toPandas())
+
+
+def test_names_that_meet_are_told_apart(spark, monkeypatch):
+    """With hashes of two values, rows that meet in a name keep a name of their own."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    calls = []
+
+    def few(*columns):
+        calls.append(columns)
+        return F.hash(*columns).cast("long") % (2 if len(calls) == 1 else 10**9)
+
+    docs = frame(spark, [(1, "a b c", "s"), (2, "d e f", "s"), (3, "g h i", "s")])
+    own = type("functions", (), {"__getattr__": lambda self, n: few if n == "xxhash64" else getattr(F, n)})()
+    monkeypatch.setattr(corpus_pipeline, "F", own)
+    assert docs.select(corpus_pipeline._names(docs).alias("n")).distinct().count() == 3

@@ -6,8 +6,9 @@ letters, digits and bytes above 0x7F.  Training keeps a rate for each coordinate
 an L1 penalty that leaves most weights at zero, so that the model is a short list of
 (place, weight) whose length is bounded by 2**BITS.
 
-The model is fitted on a bounded sample: the first MAX_TRAIN labelled rows in the order
-of md5(seed, doc_id); with fewer labelled rows, all of them.  Scoring covers every text.
+The model is fitted on a bounded sample: the first MAX_TRAIN labelled doc_ids in the order
+of md5(seed, doc_id), one row each (that of the smallest text hash, where an id is repeated);
+with fewer labelled ids, all of them.  Scoring covers every text.
 
 Edge cases: null and empty texts have no features and get the score of the bias; without
 labelled rows every score is 0.5; null labels are not learned from, and labels of any
@@ -94,10 +95,16 @@ def sample(labels: DataFrame, n: int = MAX_TRAIN) -> DataFrame:
     return rows.select("doc_id", "label", digest).orderBy("digest").limit(n)
 
 
+def training_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """text, digest and label of the chosen ids (at most MAX_TRAIN), one row each."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("digest", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "digest", "label")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """place and weight of the model, fitted in one task on the bounded sample."""
     chosen = saved(sample(labels), "labelled")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "digest", "label")
+    rows = training_rows(docs, chosen)
 
     def make_features():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:

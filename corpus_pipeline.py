@@ -12,7 +12,7 @@ empty texts, its docstring says.  Texts of any length are handled whole.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,16 +42,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.where(~emptied).withColumn("n_chars", n_chars).select(docs.columns)
 
 
+def _names(docs: DataFrame) -> Column:
+    """A long that stands for a row's doc_id and text."""
+    known = [F.col("doc_id"), F.col("doc_id").isNull(), F.col("text")]
+    name, other = F.xxhash64(*known), F.xxhash64(F.lit(1), *known)
+    met = docs.select(name.alias("name"), other.alias("other")).groupBy("name").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b")
+    # About n * n / 2**65 of n rows: none of a million, some hundreds of 10**11.
+    twice = [r["name"] for r in met.select("name").collect()]
+    return F.when(name.isin(twice), other).otherwise(name) if twice else name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: its smallest doc_id, null last.
 
-    A row is named by a 64-bit hash of its doc_id and text, so that of rows with equal or null
-    doc_ids and equal texts one stays (the one of the smallest hash of all columns), and rows
-    with equal doc_ids and different texts are told apart.  Null and empty texts and texts
-    without words are near to nothing and stay.
+    A row is named by a hash of its doc_id and text, so that of rows with equal or null doc_ids
+    and equal texts one stays (the one of the smallest hash of all columns), and rows with
+    equal doc_ids and different texts are told apart.  Names have 64 bits; different rows that
+    meet in one (a second hash tells) are few, and are named by that second hash.  Null and
+    empty texts and texts without words are near to nothing and stay.
     """
     row, place = fresh(docs, "row"), fresh(docs, "place")
-    name = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+    name = _names(docs)
     found = neardup.near_duplicates(docs.select(name.alias("doc_id"), "text"))
     groups = found.select(F.col("doc_id").alias("name"), "component_id").distinct()
     ids = docs.select(name.alias("name"), F.col("doc_id").alias("own_id")).distinct()

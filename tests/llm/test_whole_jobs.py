@@ -1,6 +1,7 @@
 """Jobs that an operator or the pipeline must do whole."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from verdigris.llm import bpe, neardup
@@ -86,10 +87,12 @@ def test_exact_decision_in_leaves_equals_brute_force(spark, monkeypatch):
     assert united(got) == united(links)
 
 
-def test_branching_keeps_pairs_of_a_large_family(spark, monkeypatch):
-    """A family 0.65 alike with pairs at 0.766, larger than SMALL: its nodes branch, and the recall is measured."""
+@pytest.mark.parametrize("alike", [1.1, neardup.ALIKE])
+def test_pairs_of_a_large_family_are_kept(spark, monkeypatch, alike):
+    """A family 0.65 alike with pairs at 0.766, larger than SMALL: its nodes branch, or else end and are compared once; the recall is measured."""
     levels, whole = [], neardup.children
     monkeypatch.setattr(neardup, "SMALL", 30)
+    monkeypatch.setattr(neardup, "ALIKE", alike)
     monkeypatch.setattr(neardup, "children", lambda rows: levels.append(rows.count()) or whole(rows))
     common, rows = [f"c{j}" for j in range(300)], []
     for k in range(100):
@@ -103,4 +106,31 @@ def test_branching_keeps_pairs_of_a_large_family(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in found}
     met = sum(got[b] == a for a, b in links)
     print(f"branched rows by level {levels}, recall {met / len(links)}")
-    assert levels and min(levels) > 30 and met >= 99 and all(got[a] == a for a, _ in links)
+    assert levels and met >= 99 and all(got[a] == a for a, _ in links)
+    assert min(levels) > 30 if alike > 1 else sum(levels) == 0
+
+
+@pytest.mark.parametrize("n", [400, 800])
+def test_unlinked_families_cost_one_comparison(spark, monkeypatch, n):
+    """Documents 0.70 alike, none of them linked: rows of trees a member do not grow, and no more pairs are compared than the family has."""
+    common = [f"c{j}" for j in range(296)]
+    rows = [(k, " ".join(common + [f"{k}o{j}" for j in range(62)]), "s") for k in range(n)]
+    rows += [(n + k, " ".join(f"o{k}w{j}" for j in range(60)), "s") for k in range(50)]
+    tables, pairs, whole, asked = {}, [], neardup.saved, neardup.asked
+
+    def counted(df, label):
+        out = whole(df, label)
+        tables[label] = tables.get(label, 0) + out.count()
+        return out
+
+    def seen(leaves, possible=None):
+        pairs.append(leaves.dropDuplicates(["node"]).agg(F.sum(F.col("others") * F.col("members"))).first()[0])
+        return asked(leaves, possible)
+
+    monkeypatch.setattr(neardup, "saved", counted)
+    monkeypatch.setattr(neardup, "asked", seen)
+    got = neardup.near_duplicates(frame(spark, rows))
+    assert got.where("kept").count() == n + 50
+    print(f"{n}: {tables}, pairs {pairs}")
+    assert sum(tables.get(t, 0) for t in ("nodes", "mixed", "large", "children")) <= 4 * neardup.TREES * (n + 50)
+    assert pairs[0] <= n * n

@@ -12,14 +12,22 @@ documents are linked if 100 * |A & B| >= 75 * |A | B|.
 4. A node with at most SMALL members outside its largest component is a leaf.  Another one
    branches: its own hash selects one or two of the next coordinates (3/2 on average),
    and its members go to the children that their tokens name.
-5. In a leaf the members outside the largest component are compared with all members by
+5. Branching parts what is unlike.  Where the members outside the largest component agree
+   with the others in a share ALIKE of their tokens or more, it would make more rows than
+   it parts: such a node ends.  Nodes of all trees and levels that end and have most of
+   their members in common are one family, which is compared once, as one large leaf.
+6. In a leaf the members outside the largest component are compared with all members by
    their tokens.  Those with a possible partner ask for their full sets, which come to the
    leaf once for each member; there all pairs are decided exactly, and the leaf emits
    links that connect what belongs together: fewer than it has members.
 
-So no pair is ever a row but the few likest of each class, and large groups of near
-copies, linked or only somewhat alike, cost about as much as their members.  A node that
-is still large after MAX_DEPTH levels is compared exhaustively, in chunks and cells.
+So no pair is ever a row but the few likest of each class, and large groups of linked near
+copies cost about as much as their members.  A family that is alike but not linked costs
+one comparison of those outside its largest component with all (of tokens, then of the
+full sets where tokens leave a link possible), in chunks and cells that are spread over
+tasks; each member is sent to one place for each CELL members.  The other nodes make
+fewer rows on each level than on the one before: 3/2 * ALIKE for each, on average.  A node
+that is still large after MAX_DEPTH levels is compared exhaustively too.
 
 Recall: two documents at the threshold that share a node share one of its children, at
 least, with a probability that makes a branching process of mean 9/8: above 1, so a pair
@@ -56,8 +64,10 @@ PART, WHOLE = 100, 75
 COORDINATES = 256
 #: A node is a leaf if at most SMALL members are outside its largest component.
 SMALL = 256
-#: Members and shingles of a leaf that one task holds at a time, about.
-CELL, CELL_SHINGLES = 500, 2_000_000
+#: A node ends where tokens of members outside its largest component agree with other members' so often; measured on so many members and coordinates.
+ALIKE, SAMPLED, LOOKED_AT = 0.5, 512, 16
+#: Members and shingles of a leaf that one task holds at a time, about; of a family up to LARGE_CELL members, for fewer copies.
+CELL, LARGE_CELL, CELL_SHINGLES = 500, 2000, 2_000_000
 MAX_DEPTH = 40
 #: Probability, at least, that a pair at the threshold meets, however deep its nodes branch.
 RECALL = 0.99
@@ -305,8 +315,10 @@ def asked(leaves: DataFrame, possible: float | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["rep", "comp", "few", "node", "chunk", "cell"])
 
     minor = F.col("comp") != F.col("major")
-    cells = F.ceil(F.greatest(F.col("members") / CELL, F.col("shingles") / CELL_SHINGLES, F.lit(1.0))).cast("int")
-    chunks = F.ceil(F.greatest(F.col("others") / (2 * SMALL), F.lit(1.0))).cast("int")
+    side = F.least(F.greatest(F.col("others") / 4, F.lit(float(CELL))), F.lit(float(LARGE_CELL)))
+    cells = F.ceil(F.greatest(F.col("members") / side, F.col("shingles") / CELL_SHINGLES, F.lit(1.0))).cast("int")
+    share = F.col("shingles") * F.col("others") / F.col("members")
+    chunks = F.ceil(F.greatest(F.col("others") / F.greatest(side, F.lit(2.0 * SMALL)), share / CELL_SHINGLES, F.lit(1.0))).cast("int")
     place = lambda x, y, few: F.struct(x.cast("long").alias("chunk"), y.cast("long").alias("cell"), F.lit(few).alias("few"))
     own_cell, own_chunk = F.pmod(F.xxhash64("rep"), cells), F.pmod(F.xxhash64("rep", F.lit(1)), chunks)
     as_member = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: place(k, own_cell, 0))
@@ -499,6 +511,50 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(whole, ["node", "salt"]).drop("salt")
 
 
+def _on_node(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows joined with one row (node, ...) a node; the rows of a large node meet it in SALTS tasks."""
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", _salt("rep")).join(found, ["node", "salt"]).drop("salt")
+
+
+def likeness(large: DataFrame, own: DataFrame) -> DataFrame:
+    """node and `alike`: how often tokens of members outside the largest component agree with those of members, on about SAMPLED of either."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            tokens_, (node, a, b) = _matrix(batch.column(0)), (_longs(batch.column(k)) for k in (1, 2, 3))
+            k = np.arange(LOOKED_AT)
+            at = (mix(node.view(U64)[:, None] + k.astype(U64), 65) % U64(COORDINATES)).astype(np.int64)
+            token = np.take_along_axis(tokens_, at, 1).astype(np.int64)
+            wide = lambda x: pa.array(np.repeat(x, LOOKED_AT))
+            return pa.RecordBatch.from_arrays([wide(node), pa.array(np.tile(k, len(node))), pa.array(token.ravel()), wide(a), wide(b)], ["node", "k", "token", "a", "b"])
+
+        return each
+
+    drawn = lambda of, seed: (F.pmod(F.xxhash64("rep", "node", F.lit(seed)), F.lit(1 << 20)) * F.col(of) < F.lit(SAMPLED << 20)).cast("long")
+    outside = (F.col("comp") != F.col("major")).cast("long")
+    rows = large.select("rep", "node", (outside * drawn("others", 1)).alias("a"), drawn("members", 2).alias("b")).where("a + b > 0")
+    seen = arrow_map(rows.join(own, "rep").select("tokens", "node", "a", "b"), "node bigint, k bigint, token bigint, a bigint, b bigint", make)
+    seen = seen.groupBy("node", "k", "token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    whole = F.sum("a").cast("double") * F.sum("b") / LOOKED_AT
+    return seen.groupBy("node").agg((F.sum(F.col("a") * F.col("b")) / F.greatest(whole, F.lit(1.0))).alias("alike"))
+
+
+def families(ended: DataFrame) -> DataFrame:
+    """rep, node, n_shingles and comp of ended nodes (rep, node, n_shingles, comp, members), those of one family as one node.
+
+    Each class has a home, the largest node that it ended in.  A node of whose members half
+    or more have one home joins that home's family; another one is a family of its own.
+    """
+    home = ended.groupBy("rep").agg(F.max(F.struct("members", "node")).alias("home")).select("rep", F.col("home.node").alias("home"))
+    votes = ended.join(home, "rep").groupBy("node", "home").agg(F.count("*").alias("n"), F.first("members").alias("members"))
+    votes = votes.groupBy("node").agg(F.max(F.struct("n", "home")).alias("top"), F.first("members").alias("members"))
+    of = votes.select("node", F.when(F.col("top.n") * 2 >= F.col("members"), F.col("top.home")).otherwise(F.col("node")).alias("family"))
+    further = of.toDF("family", "next")
+    of = of.join(further, "family", "left").select("node", F.coalesce("next", "family").alias("family"))
+    return _on_node(ended, of).select("rep", F.xxhash64("family", F.lit("family")).alias("node"), "n_shingles", "comp").distinct()
+
+
 def links(docs: DataFrame, classes: DataFrame, possible: float | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """u and v of links that connect every component of the classes (rep, n_shingles, tokens, roots); and tables that they are read from."""
     used = []
@@ -519,14 +575,20 @@ def links(docs: DataFrame, classes: DataFrame, possible: float | None = None) ->
     # The levels move numbers only; tokens come to the rows of large nodes, and to all leaves at the end.
     whole = classes.select("rep", "n_shingles").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     level, leaves = first.select("rep", "node").join(whole, "rep").select("rep", "node", "n_shingles", "comp"), None
+    ended = None
     for depth in range(1, MAX_DEPTH + 1):
         mixed, last = kept(_mixed(level), "mixed"), depth == MAX_DEPTH
-        ended = mixed if last else mixed.where(F.col("others") <= SMALL)
-        leaves = ended if leaves is None else leaves.unionByName(ended)
-        large = mixed.where(F.col("others") > SMALL).drop("major", "members", "shingles", "others")
+        small = mixed if last else mixed.where(F.col("others") <= SMALL)
+        leaves = small if leaves is None else leaves.unionByName(small)
+        large = mixed.where(F.col("others") > SMALL)
         if last or large.isEmpty():
             break
-        level = kept(children(large.join(own, "rep")), "children")
+        large = kept(_on_node(large, kept(likeness(large, own), "likeness")), "large")
+        whole = large.where(F.col("alike") >= ALIKE).select("rep", "node", "n_shingles", "comp", "members")
+        ended = whole if ended is None else ended.unionByName(whole)
+        level = kept(children(large.where(F.col("alike") < ALIKE).join(own, "rep")), "children")
+    if ended is not None and not ended.isEmpty():
+        leaves = leaves.unionByName(_mixed(families(ended)).select(leaves.columns))
     asks = kept(asked(leaves.join(own, "rep"), possible), "asks")
     return found.unionByName(decided(asks, docs)), used
 

@@ -68,6 +68,7 @@ SMALL = 256
 ALIKE, SAMPLED, LOOKED_AT = 0.5, 512, 16
 #: Members and shingles of a leaf that one task holds at a time, about; of a family up to LARGE_CELL members, for fewer copies.
 CELL, LARGE_CELL, CELL_SHINGLES = 500, 2000, 2_000_000
+MAJOR, MINOR, FEW = 0, 1, 2
 MAX_DEPTH = 40
 #: Probability, at least, that a pair at the threshold meets, however deep its nodes branch.
 RECALL = 0.99
@@ -292,21 +293,22 @@ def asked(leaves: DataFrame, possible: float | None = None) -> DataFrame:
     """rep, comp, few, node, chunk, cell: members whose full sets are asked for, and where.
 
     Members inside a leaf's largest component need no look at each other.  All members are
-    dealt to cells, the others (the few) also to chunks, and each chunk meets each cell; a
-    leaf above MAX_DEPTH has one chunk.  A member is asked for where its tokens leave it a
-    possible partner in another component.
+    dealt to cells, the others (the few) also to chunks, and each chunk meets each cell, so
+    that two of the few would meet twice: the one of the larger number looks at the other.
+    A member is asked for where its tokens leave it a possible partner in another component.
+    `few` tells what a row is: FEW, or a member that is MAJOR or MINOR.
     """
     possible = POSSIBLE if possible is None else possible
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, rep, size, comp, few, node, chunk, cell in _groups(batches, 3, _matrix, 4_000_000):
-            x, y = np.flatnonzero(few == 1), np.flatnonzero(few == 0)
+            x, y = np.flatnonzero(few == FEW), np.flatnonzero(few != FEW)
             want = np.zeros(len(rep), bool)
             step = max(1, 100_000 // max(len(y), 1))
             for k in range(0, len(x), step):
                 part = x[k : k + step]
                 a, b = np.repeat(part, len(y)), np.tile(y, len(part))
-                apart = comp[a] != comp[b]
+                apart = (comp[a] != comp[b]) & ((few[b] == MAJOR) | (rep[a] > rep[b]))
                 a, b = a[apart], b[apart]
                 hit = _estimates(own, size, a, b) >= max(possible, 1e-9)
                 want[a[hit]] = want[b[hit]] = True
@@ -319,10 +321,10 @@ def asked(leaves: DataFrame, possible: float | None = None) -> DataFrame:
     cells = F.ceil(F.greatest(F.col("members") / side, F.col("shingles") / CELL_SHINGLES, F.lit(1.0))).cast("int")
     share = F.col("shingles") * F.col("others") / F.col("members")
     chunks = F.ceil(F.greatest(F.col("others") / F.greatest(side, F.lit(2.0 * SMALL)), share / CELL_SHINGLES, F.lit(1.0))).cast("int")
-    place = lambda x, y, few: F.struct(x.cast("long").alias("chunk"), y.cast("long").alias("cell"), F.lit(few).alias("few"))
+    place = lambda x, y, few: F.struct(x.cast("long").alias("chunk"), y.cast("long").alias("cell"), few.cast("long").alias("few"))
     own_cell, own_chunk = F.pmod(F.xxhash64("rep"), cells), F.pmod(F.xxhash64("rep", F.lit(1)), chunks)
-    as_member = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: place(k, own_cell, 0))
-    as_few = F.transform(F.sequence(F.lit(0), cells - 1), lambda k: place(own_chunk, k, 1))
+    as_member = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: place(k, own_cell, F.when(minor, MINOR).otherwise(MAJOR)))
+    as_few = F.transform(F.sequence(F.lit(0), cells - 1), lambda k: place(own_chunk, k, F.lit(FEW)))
     dealt = leaves.select("tokens", "rep", "n_shingles", "comp", "node", F.explode(F.when(minor, F.concat(as_member, as_few)).otherwise(as_member)).alias("p"))
     dealt = dealt.select("tokens", "rep", "n_shingles", "comp", "p.few", "node", "p.chunk", "p.cell")
     dealt = dealt.repartition("node", "chunk", "cell").sortWithinPartitions("node", "chunk", "cell")
@@ -359,7 +361,11 @@ def decided(asks: DataFrame, docs: DataFrame) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, rep, comp, few, *_ in _groups(batches, 3, arrays, 16_000_000):
+        for group in _groups(batches, 3, arrays, 16_000_000):
+            # Majors, then minors by number, then the few: what one of the few looks at stands in front.
+            order = np.lexsort((group[1], group[3]))
+            own, rep, comp, few = (c[order] for c in group[:4])
+            majors, members = int((few == MAJOR).sum()), int((few != FEW).sum())
             size = np.array([len(x) for x in own])
             first = np.cumsum(size) - size
             kind = np.unique(np.concatenate(own), return_inverse=True)[1]
@@ -373,12 +379,15 @@ def decided(asks: DataFrame, docs: DataFrame) -> DataFrame:
                     x = up
                 return x
 
-            for x in np.flatnonzero(few == 1).tolist():
+            for x in range(members, len(rep)):
+                seen = majors + int(np.searchsorted(rep[majors:members], rep[x]))
+                if not seen:
+                    continue
                 mine = kind[first[x] : first[x] + size[x]]
                 marked[mine] = 1
-                common = np.add.reduceat(marked[kind], first)
+                common = np.add.reduceat(marked[kind[: first[seen - 1] + size[seen - 1]]], first[:seen])
                 marked[mine] = 0
-                for y in np.flatnonzero((few == 0) & (PART * common >= WHOLE * (size[x] + size - common))).tolist():
+                for y in np.flatnonzero(PART * common >= WHOLE * (size[x] + size[:seen] - common)).tolist():
                     a, b = find(int(comp[x])), find(int(comp[y]))
                     if a != b:
                         root[max(a, b)] = min(a, b)

@@ -183,3 +183,27 @@ def test_seed_and_hash(spark):
 
     r = spark.range(1).select(values.seed56(F.lit("img"), F.lit("jpeg_q70")), values.hash_long(F.lit("ffffffffffffffff"))).first()
     assert r[0] == int.from_bytes(hashlib.sha1(b"img|jpeg_q70|v2").digest()[:7], "big") and r[1] == -1
+
+
+@pytest.mark.parametrize(("digits", "leaf"), [(4, 2_000_000), (1, 10)])
+def test_large_picks_equal_ranking(spark, digits, leaf):
+    """The n-th draw of each group by counts of its leading digits, refined or not; null groups, small groups and repeated ids too."""
+    rows = [(k % 450, ("a", "a", None)[k % 3], k) for k in range(900)] + [(1000 + k, "small", k) for k in range(5)]
+    df = spark.createDataFrame(rows, "id long, g string, x long").repartition(5)
+    for n in (1, 37, 250, 5000):
+        got = sampling.smallest(df, ["g"], n, 3, "id", digits, leaf)
+        wanted = sampling.first_per(df, ["g"], n, sampling.draw(3, "id"), F.col("id"))
+        key = lambda d: sorted((str(r["g"]), r["id"]) for r in d.collect())
+        assert key(got) == key(wanted)
+    whole = sampling.smallest(df, [], 600, 3, "id", digits, leaf)
+    assert whole.count() == 600 and sampling.smallest(df, [], 0, 3, "id").count() == 0
+    assert whole.columns == df.columns
+
+
+def test_large_picks_order_no_group(spark):
+    """The plan of a large pick has a filter with a broadcast, and neither a window nor a sort of its rows."""
+    df = spark.range(20_000).select("id", (F.col("id") % 2).alias("y"))
+    plan = sampling.balanced(df, 9_000, 1, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Exchange hash" not in plan
+    assert sampling.balanced(df, 9_000, 1, "id").groupBy("y").count().select("count").distinct().first()[0] == 4_500
+    assert sampling.balanced(df, 1, 1, "id").count() == 2

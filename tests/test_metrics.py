@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.operators import groups, metrics
 
@@ -160,3 +161,70 @@ def test_error_summary_has_scores(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "label int, pred double, g string")
     assert metrics.binary_metrics(df, ["g"]).count() == 0
+
+
+def brute_auroc(rows):
+    pos, neg = ([p for p, y in rows if y == k] for k in (1, 0))
+    return sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+
+
+def test_scores_of_any_range_spread_evenly(spark):
+    """Logits far outside 0..1, half of them one value, and a group of huge amounts: ranks as by definition, slots of about equal size."""
+    rng = random.Random(9)
+    rows = [("a", rng.gauss(0, 40) if k % 2 else 3.5, int(rng.random() < 0.4)) for k in range(1500)]
+    rows += [("b", 1e12 + k * 0.001, int(k % 3 == 0)) for k in range(500)] + [("b", -1e300, 1), ("b", 1e300, 0)]
+    df = spark.createDataFrame(rows, "g string, pred double, label int")
+    cuts = metrics.score_cuts(df, slots=32)
+    assert cuts == sorted(set(cuts)) and 10 < len(cuts) < 32
+    slots = metrics.histogram(df, ["g"]).withColumn("slot", metrics._slot(cuts))
+    assert slots.groupBy("slot").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] < 200
+    rising = [r["slot"] for r in slots.orderBy("score").collect()]
+    assert rising == sorted(rising)
+    for own in (cuts, [], None):
+        got = {r["g"]: r["auroc"] for r in metrics.auroc(df, ["g"], cuts=own).collect()}
+        assert got == pytest.approx({g: brute_auroc([(p, y) for h, p, y in rows if h == g]) for g in "ab"})
+    quarter = {r["g"]: r["q25"] for r in metrics.percentiles(df, "pred", ["g"], cuts=cuts).collect()}
+    assert quarter == pytest.approx({g: float(np.percentile([p for h, p, _ in rows if h == g], 25)) for g in "ab"})
+    assert metrics.score_cuts(df.limit(0)) == []
+
+
+def test_sweep_by_group_equals_copied_negatives(spark):
+    rng = random.Random(10)
+    rows = [(f"g{k % 3}" if k % 2 else "none", round(rng.random(), 2), k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "generator string, pred double, label int")
+    got = {(r["generator"], r["threshold"]): r for r in metrics.sweep_by_group(df, "generator").collect()}
+    assert len(got) == 3 * 4
+    for (g, t), r in got.items():
+        own = [(p, y) for h, p, y in rows if y == 0 or h == g]
+        assert (r["tp"], r["fp"], r["n"]) == (sum(p >= t and y == 1 for p, y in own), sum(p >= t and y == 0 for p, y in own), len(own))
+        assert r["auroc_fixed"] == pytest.approx(brute_auroc(own)) and r["mean_pred"] == pytest.approx(sum(p for p, _ in own) / len(own))
+
+
+def test_slices_read_their_rows_once(spark, tmp_path):
+    rows = [(("src1", "", None, "Real")[k % 4], (k * 37 % 100) / 100, int(k % 3 == 0), ("x", "y", None)[k % 3 - 1], str(k % 2)) for k in range(240)]
+    spark.createDataFrame(rows, "generator string, pred double, label int, semantic_scene string, resolution string").write.parquet(str(tmp_path / "r"))
+    df = spark.read.parquet(str(tmp_path / "r"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    counted = df.mapInArrow(count, df.schema)
+    found = groups.slices(counted, groups.slice_keys(df.columns), min_support=10, min_generator_support=5)
+    got = {(r["feature"], r["value"]): r for r in found.collect()}
+    assert seen.value == 240
+    assert set(got) == {("semantic_scene", "x"), ("semantic_scene", "y"), ("resolution", "0"), ("resolution", "1")}
+    for (feature, value), r in got.items():
+        own = [(p, y) for _, p, y, scene, size in rows if (scene if feature == "semantic_scene" else size) == value]
+        assert r["n"] == len(own) and r["n_fake"] == sum(y for _, y in own)
+    with pytest.raises(ValueError, match="positive"):
+        groups.slices(df, ["resolution"], min_support=0)
+
+
+def test_no_match_at_all_is_an_error(spark):
+    preds = spark.createDataFrame([("a", "a.jpg", 0.5)], "key string, image_path string, pred double")
+    labels = spark.createDataFrame([("b", 1)], "key string, y int")
+    with pytest.raises(Exception, match="no prediction has a label"):
+        metrics.score_predictions(preds, labels)[0].collect()

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.pixels import LOW_LEVEL_SLICES
 from ..functions.values import error_type
-from .metrics import binary_metrics, percentiles, with_fnr
+from ..functions.tables import written
+from .metrics import checked, histogram, histogram_metrics, percentiles, with_fnr
 
 
 def _rate(part: Column, whole: Column) -> Column:
@@ -44,6 +45,17 @@ def worst(joined: DataFrame, k: int, score: str = "pred", tie: str = "image_path
     return errors.withColumn("place", place.cast("long")).where(F.col("place") <= k)
 
 
+def slice_cube(df: DataFrame, features: Sequence[str], generator: str = "generator", score: str = "pred", label: str = "label") -> DataFrame:
+    """feature, value, generator, score, pos and neg: rows of either label, for each feature value and for all rows (feature null)."""
+    there = [f for f in features if f in df.columns]
+    cells = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in there]
+    cells = F.filter(F.array(*cells), lambda c: c["value"].isNotNull()) if cells else F.array().cast("array<struct<feature:string,value:string>>")
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("value")))
+    named = F.lower(F.coalesce(F.nullif(F.col(generator), F.lit("")), F.lit("unknown"))).alias("generator")
+    long = checked(df, score).select(named, F.col(score).alias("pred"), F.col(label).alias("label"), F.explode(F.concat(cells, whole)).alias("c"))
+    return histogram(long.select("generator", "pred", "label", "c.feature", "c.value"), ["feature", "value", "generator"])
+
+
 def slices(
     df: DataFrame, features: Sequence[str], threshold: float = 0.5, min_support: int = 20, min_generator_support: int = 20,
     generator: str = "generator", score: str = "pred", label: str = "label",
@@ -52,26 +64,25 @@ def slices(
 
     A value is a shortcut candidate if its share of positives and of negatives differ by
     0.15; a blind-spot candidate if fpr or fnr is 0.10 above the whole's, or if two
-    generators have an fnr 0.05 above their own.
+    generators have an fnr 0.05 above their own.  Features that df does not have have no values.
+
+    Rows are read once: all that follows comes from one cube, which is written.
     """
-    whole = with_fnr(binary_metrics(df, [], score, label, threshold)).select(
-        *[F.col(c).alias(f"all_{c}") for c in ("n_real", "n_fake", "fpr", "fnr")]
-    )
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features])
-    named = F.lower(F.coalesce(F.nullif(F.col(generator), F.lit("")), F.lit("unknown")))
-    long = df.select(named.alias("generator"), F.col(score).alias("pred"), F.col(label).alias("label"), F.explode(cells).alias("c"))
-    long = long.select("generator", "pred", "label", "c.feature", "c.value").where("value IS NOT NULL")
-    rows = with_fnr(binary_metrics(long, ["feature", "value"], threshold=threshold)).where(F.col("n") >= min_support)
-    made = (F.col("label") == 1) & ~F.col("generator").isin("real", "unknown")
-    missed = F.count_if(F.col("pred") < F.lit(float(threshold)))
-    base = df.select(named.alias("generator"), F.col(score).alias("pred"), F.col(label).alias("label")).where(made)
-    base = base.groupBy("generator").agg(F.count("*").alias("n"), missed.alias("m")).where(F.col("n") >= min_generator_support)
-    base = base.select("generator", (F.col("m") / F.col("n")).alias("base_fnr"))
-    own = long.where(made).groupBy("feature", "value", "generator").agg(F.count("*").alias("n"), missed.alias("m"))
-    own = own.where(F.col("n") >= min_generator_support).join(base, "generator")
+    if min_support <= 0 or min_generator_support <= 0:
+        raise ValueError("least supports must be positive")
+    cube = written(slice_cube(df, features, generator, score, label), "cube")
+    own = F.col("feature").isNotNull()
+    summed = lambda rows, *keys: rows.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    whole = with_fnr(histogram_metrics(summed(cube.where(~own)), [], threshold)).select(*[F.col(c).alias(f"all_{c}") for c in ("n_real", "n_fake", "fpr", "fnr")])
+    rows = with_fnr(histogram_metrics(summed(cube.where(own), "feature", "value"), ["feature", "value"], threshold)).where(F.col("n") >= min_support)
+    # Misses of each generator by feature value, and by the whole (feature null).
+    made = cube.where((F.col("pos") > 0) & ~F.col("generator").isin("real", "unknown"))
+    missed = F.sum(F.when(F.col("score") < F.lit(float(threshold)), F.col("pos")).otherwise(0))
+    made = made.groupBy("feature", "value", "generator").agg(F.sum("pos").alias("n"), missed.alias("m")).where(F.col("n") >= min_generator_support)
+    base = made.where(~own).select("generator", (F.col("m") / F.col("n")).alias("base_fnr"))
     high = F.count_if(F.col("m") / F.col("n") >= F.col("base_fnr") + F.lit(0.05))
-    own = own.groupBy("feature", "value").agg(F.count("*").alias("generator_count"), high.alias("high_fnr_generators"))
-    rows = rows.join(own, ["feature", "value"], "left").fillna(0, ["generator_count", "high_fnr_generators"])
+    found = made.where(own).join(base, "generator").groupBy("feature", "value").agg(F.count("*").alias("generator_count"), high.alias("high_fnr_generators"))
+    rows = rows.join(found, ["feature", "value"], "left").fillna(0, ["generator_count", "high_fnr_generators"])
     rows = rows.crossJoin(F.broadcast(whole))  # one row
     null_if_zero = lambda c: F.nullif(F.col(c), F.lit(0)).cast("double")
     rows = rows.withColumns(

@@ -106,11 +106,11 @@ def sample(df: DataFrame, n: int, seed: int | str, ident: str) -> DataFrame:
 
 
 def balanced(df: DataFrame, n: int, seed: int | str, ident: str, label: str = "y") -> DataFrame:
-    """n // 2 rows of each label (all of a smaller one); with one label only, n of it."""
+    """n // 2 rows of each label, 1 at least (all of a smaller one); with one label only, n of it."""
     labels = df.agg(F.count_distinct(label)).first()[0]
     if labels < 2:
         return sample(df, n, seed, ident)
-    return seeded(df, [label], n // 2, seed, ident)
+    return seeded(df, [label], max(1, n // 2), seed, ident)
 
 
 def capped_positives(df: DataFrame, group: str, cap: int, seed: int | str, ident: str, label: str = "y") -> DataFrame:

@@ -94,6 +94,55 @@ SELECT threshold, n, n_real, n_fake, round((tp + tn) / n::DOUBLE, 8) AS acc, rou
        round(tp / greatest(1, n_fake)::DOUBLE, 8) AS recall_fake, round(fp / greatest(1, n_real)::DOUBLE, 8) AS fpr, tp, fp, tn, fn, round(s / n, 8) AS mean_pred FROM c, base"""
 
 
+_GROUPS = """, g AS (SELECT DISTINCT generator FROM {rows} WHERE label = 1), t AS (SELECT unnest([0.3, 0.4, 0.5, 0.6]::DOUBLE[]) AS threshold),
+pairs AS (SELECT g.generator, s.pred, s.label FROM g JOIN {rows} s ON s.label = 0 OR s.generator = g.generator),
+base AS ({base}),
+c AS (SELECT generator, threshold, count(*) AS n, count_if(label = 0) AS n_real, count_if(label = 1) AS n_fake, count_if(pred >= threshold AND label = 1) AS tp,
+             count_if(pred >= threshold AND label = 0) AS fp, count_if(pred < threshold AND label = 0) AS tn, count_if(pred < threshold AND label = 1) AS fn,
+             sum(pred) AS s FROM pairs, t GROUP BY ALL)
+SELECT c.generator, c.threshold, c.n, c.n_real, c.n_fake, round((c.tp + c.tn) / c.n::DOUBLE, 8) AS acc, base.auroc AS auroc_fixed, round(c.tp / greatest(1, c.tp + c.fp)::DOUBLE, 8) AS precision_fake,
+       round(c.tp / greatest(1, c.n_fake)::DOUBLE, 8) AS recall_fake, round(c.fp / greatest(1, c.n_real)::DOUBLE, 8) AS fpr, c.tp, c.fp, c.tn, c.fn, round(s / c.n, 8) AS mean_pred
+FROM c JOIN base USING (generator)"""
+
+
+@query(f"WITH {PRED}{_GROUPS.format(rows='pred', base=metric_sql('pairs', 'generator'))}")
+def generator_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every generator at four thresholds against all negatives, which the SQL copies and the library does not."""
+    return rounded(metrics.sweep_by_group(predictions(spark, sf_dir), "generator"))
+
+
+@query(f"WITH {SALES}{_GROUPS.format(rows='sales', base=metric_sql('pairs', 'generator'))}")
+def generator_sweep_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12, J15 on many rows."""
+    return rounded(metrics.sweep_by_group(sales(spark, sf_dir), "generator"))
+
+
+_MARGINS = """m AS (SELECT (l_extendedprice - 30000::DOUBLE) * (0.05::DOUBLE - l_discount) + 0::DOUBLE AS pred, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, l_linestatus AS condition, l_suppkey % 7 AS g FROM lineitem)"""
+
+
+def _margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a wide range, most of them different, and many of them 0."""
+    pred = (F.col("l_extendedprice") - F.lit(30000.0)) * (F.lit(0.05) - F.col("l_discount")) + F.lit(0.0)
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(pred.alias("pred"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"), F.col("l_linestatus").alias("condition"), (F.col("l_suppkey") % 7).alias("g"))
+
+
+@query(f"WITH {_MARGINS} {metric_sql('m', 'condition', threshold=100.0)}")
+def metrics_of_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, A2 for scores of any range: slots from a quantile sketch."""
+    rows = _margins(spark, sf_dir)
+    return rounded(metrics.binary_metrics(rows, ["condition"], threshold=100.0, cuts=metrics.score_cuts(rows)))
+
+
+@query(
+    f"WITH {_MARGINS} SELECT g, " + ", ".join(f"round(quantile_cont(pred, {q}), 8) AS q{round(100 * q)}" for q in (0, 0.25, 0.5, 0.75, 1)) + " FROM m GROUP BY g"
+)
+def percentiles_of_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18 for values of any range."""
+    rows = _margins(spark, sf_dir)
+    return rounded(metrics.percentiles(rows, "pred", ["g"], cuts=metrics.score_cuts(rows)))
+
+
 @query(_SWEEP_SQL)
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics at 19 thresholds from one histogram."""
@@ -173,16 +222,26 @@ SELECT feature, value, n, n_real, n_fake, auroc, fpr, round(fnr, 8) AS fnr, roun
        coalesce(delta_fpr >= 0.10, FALSE) OR coalesce(delta_fnr >= 0.10, FALSE) OR high_fnr_generators >= 2 AS blind_spot_candidate FROM d"""
 
 
-@query(_SLICES)
-def slice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics by feature value, with candidates, in the order of triage."""
-    rows = predictions(spark, sf_dir).withColumn("size", bucket3(F.col("n_chars"), 800, 3000, ("short", "medium", "long")))
-    found = groups.slices(rows, ["size", "condition", "source_dataset"], min_support=20, min_generator_support=5)
-    shown = groups.by_importance(found).select(
+def _triaged(found: DataFrame) -> DataFrame:
+    return groups.by_importance(found).select(
         "feature", "value", "n", "n_real", "n_fake", "auroc", "fpr", "fnr", "prevalence_gap", "delta_fpr", "delta_fnr",
         "generator_count", "high_fnr_generators", "shortcut_candidate", "blind_spot_candidate",
     )
-    return rounded(shown)
+
+
+@query(_SLICES)
+def slice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics by feature value, with candidates, in the order of triage."""
+    rows = predictions(spark, sf_dir).withColumn("size", bucket3(F.col("n_chars"), 800, 3000, ("short", "medium", "long")))
+    return rounded(_triaged(groups.slices(rows, ["size", "condition", "source_dataset"], min_support=20, min_generator_support=5)))
+
+
+@query(_SLICES.replace("'size' AS feature", "'resolution' AS feature").replace("label, 'condition'", "label, 'semantic_scene'").replace("label, 'source_dataset'", "label, 'semantic_style'"))
+def slice_report_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for features that are found by the names of columns; low-level slices that are not there have no values."""
+    rows = predictions(spark, sf_dir).withColumn("semantic_style_score", F.lit(1.0))
+    rows = rows.withColumnsRenamed({"condition": "semantic_scene", "source_dataset": "semantic_style"}).withColumn("resolution", bucket3(F.col("n_chars"), 800, 3000, ("short", "medium", "long")))
+    return rounded(_triaged(groups.slices(rows, groups.slice_keys(rows.columns), min_support=20, min_generator_support=5)))
 
 
 _TWO = f"""WITH {PRED}, two AS (SELECT regexp_replace(image_path, '^.*?(fake|real)/', '\\1/') AS key, label, pred, (doc_id * 104729 % 1000)::DOUBLE / 1000::DOUBLE AS other FROM pred)"""

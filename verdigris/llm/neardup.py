@@ -65,7 +65,7 @@ COORDINATES = 256
 #: A node is a leaf if at most SMALL members are outside its largest component.
 SMALL = 256
 #: A node ends where tokens of members outside its largest component agree with other members' so often; measured on so many members and coordinates.
-ALIKE, SAMPLED, LOOKED_AT = 0.5, 512, 16
+ALIKE, SAMPLED, LOOKED_AT = 0.5, 128, 16
 #: Members and shingles of a leaf that one task holds at a time, about; of a family up to LARGE_CELL members, for fewer copies.
 CELL, LARGE_CELL, CELL_SHINGLES = 500, 2000, 2_000_000
 MAJOR, MINOR, FEW = 0, 1, 2
@@ -535,8 +535,11 @@ def likeness(large: DataFrame, own: DataFrame) -> DataFrame:
             k = np.arange(LOOKED_AT)
             at = (mix(node.view(U64)[:, None] + k.astype(U64), 65) % U64(COORDINATES)).astype(np.int64)
             token = np.take_along_axis(tokens_, at, 1).astype(np.int64)
-            wide = lambda x: pa.array(np.repeat(x, LOOKED_AT))
-            return pa.RecordBatch.from_arrays([wide(node), pa.array(np.tile(k, len(node))), pa.array(token.ravel()), wide(a), wide(b)], ["node", "k", "token", "a", "b"])
+            # Rows of a batch that agree are counted together.
+            rows = np.stack([np.repeat(node, LOOKED_AT), np.tile(k, len(node)), token.ravel()], 1)
+            distinct, inverse = np.unique(rows, axis=0, return_inverse=True)
+            counts = [np.bincount(inverse.ravel(), np.repeat(x, LOOKED_AT), len(distinct)).astype(np.int64) for x in (a, b)]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*distinct.T, *counts)], ["node", "k", "token", "a", "b"])
 
         return each
 

@@ -19,8 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, whatever reads it, and there after an executor is lost."""
+def written(df: DataFrame, label: str, *parts: str) -> DataFrame:
+    """df as a table in the shared folder, in folders by `parts`: computed once, whatever reads it, and there after an executor is lost."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

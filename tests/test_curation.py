@@ -154,6 +154,50 @@ def test_shards(spark, tmp_path):
     assert got.select("image_id").distinct().count() == 2
 
 
+def test_capped_shards_are_not_ordered(spark, tmp_path):
+    """Every cap gives the first rows in the order of shards, from the shards it needs only, by a plan without a sort."""
+    rows = [(f"img{k}", (0, 1, 2, 7)[k % 4]) for k in range(40)]
+    spark.createDataFrame(rows, "image string, label bigint").repartition(4).write.parquet(str(tmp_path / "s"))
+    every = [(r["shard"], r["row"], r["image"]) for r in readers.shards(spark, str(tmp_path / "s"), labels={0: 0, 1: 1, 2: 1}).orderBy("shard", "row").collect()]
+    assert len(every) == 30
+    for cap in (0, 1, 7, len([x for x in every if x[0] == every[0][0]]), 23, 30, 99):
+        got = readers.shards(spark, str(tmp_path / "s"), cap=cap, labels={0: 0, 1: 1, 2: 1})
+        assert sorted((r["shard"], r["row"], r["image"]) for r in got.collect()) == every[:cap]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "Exchange" not in plan and "Limit" not in plan
+
+
+def test_pools_of_shards_and_without_overlap(spark, tmp_path):
+    spark.createDataFrame([(f"i{k}", k % 2) for k in range(6)], "image string, label bigint").coalesce(1).write.parquet(str(tmp_path / "p"))
+    got = readers.negatives(spark, "SID", {"sid_val": str(tmp_path / "p")})
+    assert got.count() == 3 and got.select("y").distinct().collect()[0]["y"] == 0 and "/0" in got.orderBy("path").first()["path"]
+    (tmp_path / "t" / "val2017").mkdir(parents=True)
+    for name in ("a.jpg", "b.jpg", "val2017/c.jpg"):
+        (tmp_path / "t" / name).write_bytes(b"x")
+    held = spark.createDataFrame([("/other/b.jpg",)], "path string")
+    left = readers.negatives(spark, "wf", {"wildfake": str(tmp_path / "t")}, held=held, forbidden=["val2017"])
+    assert [r["path"].rpartition("/")[2] for r in left.collect()] == ["a.jpg"]
+    with pytest.raises(ValueError, match="no negatives"):
+        readers.negatives(spark, "wf", {"wildfake": str(tmp_path / "t")}, forbidden=["jpg"])
+
+
+def test_three_class_tree(spark, tmp_path):
+    for name in ("real/a.jpg", "real/deep/b.png", "tampered/c.jpg", "other/d.jpg", "e.jpg", "real/no.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    rows = readers.three_class_tree(spark, str(tmp_path), content=True)
+    got = {r["rel"]: (r["label"], r["generator"], r["generation_type"], r["content_type"], bytes(r["content"]).decode()) for r in rows.collect()}
+    assert got == {
+        "real/a.jpg": (0, None, None, "real", "real/a.jpg"), "real/deep/b.png": (0, None, None, "real", "real/deep/b.png"),
+        "tampered/c.jpg": (1, "flux", "i2i", "partial_manipulation", "tampered/c.jpg"),
+    }
+    # Files of other classes are not opened: that they are gone does not matter.
+    one = rows.where("subdir = 'tampered'")
+    for name in ("real/a.jpg", "real/deep/b.png", "real/no.txt"):
+        (tmp_path / name).unlink()
+    assert [r["rel"] for r in one.collect()] == ["tampered/c.jpg"]
+
+
 def test_recipes_and_holdouts():
     with pytest.raises(ValueError, match="hold-outs"):
         readers.check_recipe({"train": {"datasets": ["v"], "forbid": ["v"]}}, ["v"])
@@ -207,3 +251,49 @@ def test_large_picks_order_no_group(spark):
     assert "Window" not in plan and "Sort" not in plan and "Exchange hash" not in plan
     assert sampling.balanced(df, 9_000, 1, "id").groupBy("y").count().select("count").distinct().first()[0] == 4_500
     assert sampling.balanced(df, 1, 1, "id").count() == 2
+
+
+@pytest.mark.parametrize(("distance", "hot"), [(3, 10**9), (3, 40), (6, 5)])
+def test_near_hashes_on_skewed_bands(spark, distance, hot):
+    """Hashes that agree in most bits, equal ones and negative ones: each pair once, however often bands are cut."""
+    import random
+
+    rng = random.Random(distance)
+    base = rng.getrandbits(64)
+    made = lambda n: [base ^ rng.getrandbits(64) & (0xFFFF if k % 5 else (1 << 64) - 1) for k in range(n)] + [base, base]
+    a, b = made(150), made(120)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = lambda h: spark.createDataFrame([(k, signed(x)) for k, x in enumerate(h)] + [(0, signed(h[0])), (999, None)], "id long, hash long")
+    got = [tuple(r) for r in joins.near_hashes(frame(a), frame(b), distance, hot=hot).collect()]
+    wanted = {(i, j, (x ^ y).bit_count()) for i, x in enumerate(a) for j, y in enumerate(b) if (x ^ y).bit_count() <= distance}
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 100
+
+
+def test_hot_bands_are_cut_again(spark):
+    """A fifth of the hashes share their upper bits: candidates grow with the rows, not with their square."""
+    import random
+
+    rng = random.Random(1)
+    made = {}
+    whole = joins.hamming
+
+    for n in (1000, 4000):
+        rows = [(k, (0x123456 << 40 | rng.getrandbits(40)) if k % 5 == 0 else rng.getrandbits(62)) for k in range(n)]
+        df = spark.createDataFrame(rows, "id long, hash long")
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(a, b, seen=seen):
+            @F.udf("int")
+            def f(x, y):
+                seen.add(1)
+                return (x ^ y & (1 << 64) - 1).bit_count()
+
+            return f(a, b)
+
+        joins.hamming = counted
+        try:
+            joins.near_hashes(df, df, 4, hot=2_000).count()
+        finally:
+            joins.hamming = whole
+        made[n] = seen.value
+    assert made[4000] < 14 * made[1000] and made[4000] < 800 * 800 / 10, made

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import without_suffix
+from ..functions.tables import written
 from ..functions.values import error_type, filled, hamming
 
 
@@ -56,29 +57,72 @@ def equal_hashes(a: DataFrame, b: DataFrame, ident: str = "image_id", digest: st
     return left.join(right, "h").select("id_a", "id_b").distinct()
 
 
-def near_hashes(a: DataFrame, b: DataFrame, distance: int, ident: str = "id", digest: str = "hash") -> DataFrame:
+#: Pairs that one band's value may make before it is cut again.
+HOT_PAIRS = 1_000_000
+#: How often at most: after that, what is left agrees in nearly all bits.
+CUTS = 4
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _bands(positions: Sequence[int], bands: int) -> list[list[int]]:
+    """The positions in `bands` runs of about equally many."""
+    ends = [len(positions) * k // bands for k in range(bands + 1)]
+    return [list(positions[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def near_hashes(a: DataFrame, b: DataFrame, distance: int, ident: str = "id", digest: str = "hash", hot: int = HOT_PAIRS) -> DataFrame:
     """id_a, id_b, distance of 64-bit hashes (long) that differ in at most `distance` bits.
 
     64 bits are cut into distance + 1 bands; two hashes within the distance agree in one
-    band at least, so the pairs are found by an equi-join and then checked.
+    band at least, so the pairs are found by an equi-join and then checked.  A pair is made
+    by its first agreeing band only.  A band's value that would make more than `hot` pairs
+    is hot: the bits that its hashes have besides are cut into distance + 1 bands again,
+    and the pairs agree in one of these too.  Equal hashes stay together, whatever is cut:
+    they are pairs.
     """
-    bands = distance + 1
-    edges = [round(64 * k / bands) for k in range(bands + 1)]
-
-    def cut(df: DataFrame, name: str) -> DataFrame:
-        parts = []
-        for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            bits = F.shiftrightunsigned(F.col(digest), low)
-            if high - low < 64:
-                bits = bits.bitwiseAND(F.lit((1 << (high - low)) - 1))
-            parts.append(F.struct(F.lit(k).alias("band"), bits.alias("bits")))
-        rows = df.where(F.col(digest).isNotNull())
-        rows = rows.select(F.col(ident).alias(f"id_{name}"), F.col(digest).alias(f"hash_{name}"), F.explode(F.array(*parts)).alias("p"))
-        return rows.select(f"id_{name}", f"hash_{name}", "p.band", "p.bits")
-
-    pairs = cut(a, "a").join(cut(b, "b"), ["band", "bits"])
-    apart = hamming(F.col("hash_a"), F.col("hash_b"))
-    return pairs.select("id_a", "id_b", apart.alias("distance")).where(F.col("distance") <= distance).distinct()
+    side = lambda df, x: df.where(F.col(digest).isNotNull()).select(F.col(ident).alias(f"id_{x}"), F.col(digest).cast("long").alias(f"hash_{x}")).distinct()
+    rows = {x: side(df, x).withColumn("node", F.lit(0)) for x, df in (("a", a), ("b", b))}
+    # Of each way that bands were taken: bits not used, bits that agree, and bands before those taken, in which pairs differ.
+    nodes: dict[int, tuple[list[int], int, list[int]]] = {0: (list(range(64)), 0, [])}
+    key, out = ["node", "band", "bits"], None
+    for k in range(CUTS):
+        table, further = [], {}
+        for node, (free, agreed, before) in nodes.items():
+            masks = [sum(1 << p for p in band) for band in _bands(free, distance + 1)]
+            for band, mask in enumerate(masks):
+                child, earlier = node * (distance + 1) + band, before + masks[:band]
+                table.append((node, band, child, _signed(agreed | mask), [_signed(m) for m in earlier]))
+                further[child] = ([p for p in free if not mask >> p & 1], agreed | mask, earlier)
+        dims = F.broadcast(a.sparkSession.createDataFrame(table, "node int, band int, child int, mask long, before array<long>"))
+        cut = {x: r.join(dims, "node").withColumn("bits", F.col(f"hash_{x}").bitwiseAND(F.col("mask"))) for x, r in rows.items()}
+        last = k == CUTS - 1
+        heavy = None
+        if not last:
+            sizes = [c.groupBy(*key).agg(F.count("*").alias(f"n_{x}")) for x, c in cut.items()]
+            heavy = written(sizes[0].join(sizes[1], key).where(F.col("n_a") * F.col("n_b") > hot).select(*key), "hot")
+            last = heavy.isEmpty()
+        light = cut if last else {x: c.join(heavy, key, "left_anti") for x, c in cut.items()}
+        pairs = light["a"].join(light["b"].drop("mask", "before", "child"), key)
+        apart = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
+        pairs = pairs.where(F.forall("before", lambda m: apart.bitwiseAND(m) != 0))
+        found = pairs.select("id_a", "id_b", hamming(F.col("hash_a"), F.col("hash_b")).alias("distance")).where(F.col("distance") <= distance)
+        out = found if out is None else out.unionByName(found)
+        if last:
+            break
+        rows = {x: c.join(heavy, key, "left_semi").select(f"id_{x}", f"hash_{x}", F.col("child").alias("node")) for x, c in cut.items()}
+        nodes = further
+    return out
+
+
+def without_overlap(rows: DataFrame, held: DataFrame, name: Column, held_name: str, path: Column | None = None, parts: Sequence[str] = ()) -> DataFrame:
+    """rows whose name no held-out row has and whose path has none of the parts in it; rows without a name stay."""
+    for part in parts:
+        rows = rows.where(~F.coalesce(path.contains(part), F.lit(False)))
+    names = held.select(F.col(held_name).alias("_held")).where(F.col("_held").isNotNull()).distinct()
+    return rows.withColumn("_name", name).join(names, F.col("_name") == F.col("_held"), "left_anti").drop("_name")
 
 
 def without_leaks(train: DataFrame, leaks: DataFrame, ident: str = "image_id") -> DataFrame:

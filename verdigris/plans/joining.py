@@ -11,14 +11,17 @@ from ..operators import joins
 from .registry import query, table
 from .views import PRED, predictions
 
-_INDEX = f"""WITH {PRED}, l AS (SELECT 'root/' || source || '/' || doc_id || '.png' AS rel, doc_id % 2 AS y, doc_id AS o FROM documents WHERE lang <> 'fr'),
+#: All documents as predictions; those that have labels are in the index.
+_INDEX = """WITH d AS (
+  SELECT doc_id, concat_ws('/', 'root', source, CASE WHEN doc_id % 3 = 0 THEN 'fake' ELSE 'real' END, doc_id || '.jpg') AS image_path, (doc_id * 7919 % 1000)::DOUBLE / 1000::DOUBLE AS pred FROM documents),
+l AS (SELECT 'root/' || source || '/' || doc_id || '.png' AS rel, quality AS y, doc_id AS o FROM documents JOIN labels USING (doc_id)),
 i AS (SELECT key, arg_max(y, o) AS y, count(DISTINCT y) AS n_labels FROM (SELECT rel AS key, y, o FROM l UNION ALL SELECT regexp_replace(rel, '\\.[^./]+$', ''), y, o FROM l) GROUP BY key)"""
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang <> 'fr'").select("doc_id", "source")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     rel = F.concat(F.lit("root/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("rel")
-    return joins.label_index(d.select(rel, (F.col("doc_id") % 2).alias("y"), "doc_id"), "rel", "y", "doc_id")
+    return joins.label_index(d.select(rel, F.col("quality").alias("y"), "doc_id"), "rel", "y", "doc_id")
 
 
 @query(f"{_INDEX} SELECT key, y, n_labels FROM i")
@@ -28,13 +31,16 @@ def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
-    rows = predictions(spark, sf_dir).withColumnRenamed("doc_id", "row_id")
+    kind = F.when(F.col("doc_id") % 3 == 0, "fake").otherwise("real")
+    path = F.concat_ws("/", F.lit("root"), "source", kind, F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")))
+    pred = (F.col("doc_id") * 7919 % 1000).cast("double") / F.lit(1000.0)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), path.alias("image_path"), pred.alias("pred"))
     flat = F.regexp_replace("image_path", "/(fake|real)/", "/")
     return rows, [F.col("image_path"), flat, without_suffix(flat)]
 
 
 @query(
-    f"""{_INDEX}, c AS (SELECT doc_id, image_path, pred, regexp_replace(image_path, '/(fake|real)/', '/') AS flat FROM pred)
+    f"""{_INDEX}, c AS (SELECT doc_id, image_path, pred, regexp_replace(image_path, '/(fake|real)/', '/') AS flat FROM d)
 SELECT doc_id AS row_id, pred, coalesce(a.y, b.y, d.y) AS y FROM c LEFT JOIN i a ON a.key = image_path LEFT JOIN i b ON b.key = flat
 LEFT JOIN i d ON d.key = regexp_replace(flat, '\\.[^./]+$', '') WHERE coalesce(a.y, b.y, d.y) IS NOT NULL"""
 )
@@ -45,7 +51,7 @@ def candidate_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_INDEX} SELECT doc_id AS row_id FROM pred WHERE NOT EXISTS (
+    f"""{_INDEX} SELECT doc_id AS row_id FROM d WHERE NOT EXISTS (
   SELECT 1 FROM i WHERE key IN (image_path, regexp_replace(image_path, '/(fake|real)/', '/'), regexp_replace(regexp_replace(image_path, '/(fake|real)/', '/'), '\\.[^./]+$', '')))"""
 )
 def unmatched_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,24 +61,26 @@ def unmatched_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PRED}, m AS (SELECT doc_id, arg_min(generator, ord) AS generator, arg_min(condition, ord) AS condition, arg_min(source_dataset, ord) AS source_dataset FROM (
-  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS generator, lang AS condition, source AS source_dataset, 0 AS ord FROM documents WHERE lang <> 'es'
-  UNION ALL SELECT doc_id, 'late', 'late', 'late', 1 FROM documents WHERE lang IN ('es', 'fr')) GROUP BY doc_id)
+    """WITH m AS (SELECT doc_id, arg_min(generator, ord) AS generator, arg_min(condition, ord) AS condition, arg_min(source_dataset, ord) AS source_dataset FROM (
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS generator, lang AS condition, source AS source_dataset, 0 AS ord FROM documents JOIN labels USING (doc_id)
+  UNION ALL SELECT vec_id, 'late', 'late', 'late', 1 FROM embeddings) GROUP BY doc_id),
+p AS (SELECT doc_id, (doc_id * 7919 % 1000)::DOUBLE / 1000::DOUBLE AS pred, (doc_id % 2)::INT AS label FROM documents)
 SELECT p.doc_id, CASE WHEN label = 0 AND coalesce(nullif(m.generator, ''), 'unknown') = 'unknown' THEN 'real' ELSE coalesce(nullif(m.generator, ''), 'unknown') END AS generator,
        coalesce(nullif(m.condition, ''), 'clean') AS condition, coalesce(nullif(m.source_dataset, ''), 'unknown') AS source_dataset,
        CASE WHEN pred >= 0.5 AND label = 1 THEN 'TP' WHEN pred >= 0.5 THEN 'FP' WHEN label = 0 THEN 'TN' ELSE 'FN' END AS error_type
-FROM pred p LEFT JOIN m USING (doc_id)"""
+FROM p LEFT JOIN m USING (doc_id)"""
 )
 def metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of the first manifest that has the row, with defaults."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    first = d.where("lang <> 'es'").select(
+    first = d.join(table(spark, sf_dir, "labels"), "doc_id").select(
         "doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source")).alias("generator"), F.col("lang").alias("condition"),
         F.col("source").alias("source_dataset"), F.lit(0).alias("ord"),
     )
     late = F.lit("late")
-    second = d.where("lang IN ('es', 'fr')").select("doc_id", late.alias("generator"), late.alias("condition"), late.alias("source_dataset"), F.lit(1).alias("ord"))
-    rows = predictions(spark, sf_dir).select("doc_id", "pred", "label")
+    second = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), late.alias("generator"), late.alias("condition"), late.alias("source_dataset"), F.lit(1).alias("ord"))
+    pred = (F.col("doc_id") * 7919 % 1000).cast("double") / F.lit(1000.0)
+    rows = d.select("doc_id", pred.alias("pred"), (F.col("doc_id") % 2).cast("int").alias("label"))
     defaults = {"generator": "unknown", "condition": "clean", "source_dataset": "unknown"}
     joined = joins.with_metadata(rows, first.unionByName(second), "doc_id", "ord", defaults)
     return joined.select("doc_id", "generator", "condition", "source_dataset", "error_type")
@@ -172,14 +180,29 @@ def views_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("view").agg(F.count("*").alias("n"), F.sum("p_size").cast("long").alias("total"))
 
 
+_SKEWED = """WITH a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN xor(1311768467294899695, c_custkey * 2654435761) ELSE ('0x' || substr(md5(c_custkey::VARCHAR), 1, 15))::BIGINT END AS hash FROM customer),
+b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN xor(1311768467294899695, p_partkey * 2654435761) ELSE ('0x' || substr(md5(p_partkey::VARCHAR), 1, 15))::BIGINT END AS hash FROM part)"""
+
+
+@query(f"{_SKEWED} SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM a JOIN b ON bit_count(xor(a.hash, b.hash)) <= 4")
+def hamming_join_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 where a fifth of all hashes agree in their upper bits: hot bands are cut again."""
+    def made(df: DataFrame, key: str) -> DataFrame:
+        near = F.lit(1311768467294899695).bitwiseXOR(F.col(key).cast("long") * F.lit(2654435761))
+        far = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("long")
+        return df.select(F.col(key).cast("long").alias("id"), F.when(F.col(key) % 5 == 0, near).otherwise(far).alias("hash"))
+
+    return joins.near_hashes(made(table(spark, sf_dir, "customer"), "c_custkey"), made(table(spark, sf_dir, "part"), "p_partkey"), 4, hot=500)
+
+
 @query(
     """SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority NOT LIKE '%URGENT%' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"""
 )
 def overlap_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anti-join and substring filter."""
-    held = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    rows = table(spark, sf_dir, "orders").where(~F.col("o_orderpriority").contains("URGENT"))
-    return rows.join(held, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+    held = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("name"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return joins.without_overlap(rows, held, F.col("o_custkey"), "name", F.col("o_orderpriority"), ["URGENT"]).select("o_orderkey", "o_custkey")
 
 
 @query(

@@ -82,9 +82,23 @@ def split(spark: SparkSession, roots: Mapping[str, str], name_: str, all_positiv
     return rows
 
 
-def negatives(spark: SparkSession, kind: str, pools: Mapping[str, str], folder: str | None = None) -> DataFrame:
-    """Negatives (y = 0) of a named pool, or of a `folder` for kind `dir`: its negative folders, or all of it where none is labelled."""
+#: Other names of pools.
+POOL_ALIASES = {"custom": "dir", "official_val": "coco", "val": "coco", "wf": "wildfake", "sid": "sid_val"}
+
+
+def negatives(
+    spark: SparkSession, kind: str, pools: Mapping[str, str], folder: str | None = None, held: DataFrame | None = None, forbidden: Sequence[str] = (), label: int = 0
+) -> DataFrame:
+    """Negatives (y = 0) of a named pool, or of a `folder` for kind `dir`: its negative folders, or all of it where none is labelled.
+
+    A pool is a tree of images, or Parquet shards (image, label), of which the rows of one
+    label are taken, with `path` made of shard and row.  `held` (rows with a `path`): images
+    whose name one of these has go, as do those whose path has a `forbidden` part in it.
+    """
+    from ..operators.joins import without_overlap
+
     kind = kind.strip().lower()
+    kind = POOL_ALIASES.get(kind, kind)
     if kind == "dir":
         if folder is None:
             raise ValueError("kind dir needs a folder")
@@ -95,26 +109,88 @@ def negatives(spark: SparkSession, kind: str, pools: Mapping[str, str], folder:
             found = rows.withColumn("y", F.lit(0))
         else:
             found = marked.where("y = 0")
-    elif kind in pools:
+    elif kind not in pools:
+        raise ValueError(f"unknown pool {kind}; known: {', '.join(sorted([*pools, 'dir']))}")
+    elif files(spark, pools[kind]).where(F.col("rel").endswith(".parquet")).isEmpty():
         found = images(spark, pools[kind]).withColumn("y", F.lit(0))
     else:
-        raise ValueError(f"unknown pool {kind}; known: {', '.join(sorted([*pools, 'dir']))}")
+        path = F.concat_ws("/", F.lit(pools[kind].rstrip("/")), "shard", F.col("row").cast("string"))
+        found = shards(spark, pools[kind], labels={label: 0}).withColumnRenamed("label", "y").withColumn("path", path)
+    if held is not None:
+        last = F.element_at(F.split("path", "/"), -1)
+        found = without_overlap(found, held.select(last.alias("held_name")), last, "held_name")
+    for part in forbidden:
+        found = found.where(~F.col("path").contains(part))
     if found.isEmpty():
         raise ValueError(f"no negatives in {kind}")
     return found
 
 
+#: The folders of a three-class tree, and what their images are.
+CLASS_FIELDS = ("label", "generator", "family", "arch", "generation_type", "content_type")
+CLASSES = {
+    "real": (0, None, None, None, None, "real"),
+    "full_synth": (1, "flux", "diffusion", "flow", "t2i", "full_synthetic"),
+    "tampered": (1, "flux", "diffusion", "flow", "i2i", "partial_manipulation"),
+}
+
+
+def three_class_tree(spark: SparkSession, root: str, split: str = "train", content: bool = False, classes: Mapping[str, tuple] = CLASSES) -> DataFrame:
+    """Images below root/real, root/full_synth and root/tampered with `subdir` and the fields of its class, in one scan; folders may be missing.
+
+    subdir comes from the metadata of the file, so files of classes that a filter on it rules
+    out are not opened.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root.rstrip('/')}/{{{','.join(classes)}}}")
+    below = relative_to(_plain(F.col("_metadata.file_path")), root)
+    rows = rows.withColumn("subdir", F.substring_index(below, "/", 1)).where(F.col("subdir").isin(*classes))
+    rows = rows.withColumn("path", _plain(F.col("path"))).withColumn("rel", relative_to(F.col("path"), root)).where(is_image(F.col("rel")))
+    fields = []
+    for k, name_ in enumerate(CLASS_FIELDS):
+        value = F.lit(None).cast("int" if name_ == "label" else "string")
+        for folder, values in classes.items():
+            value = F.when(F.col("subdir") == folder, F.lit(values[k])).otherwise(value)
+        fields.append(value.alias(name_))
+    return rows.select("path", "rel", "length", "subdir", *fields, F.lit(split).alias("split"), *(["content"] if content else []))
+
+
 def shards(spark: SparkSession, where: str, cap: int | None = None, labels: Mapping[int, int] | None = None) -> DataFrame:
-    """image and label of Parquet shards, only those two columns; rows of labels that are not mapped go."""
+    """image and label of Parquet shards, only those two columns; rows of labels that are not mapped go.
+
+    With a cap, the first so many rows in the order of shards and rows: labels are counted by
+    shard, the counts added up, and whole shards are taken up to the one where the cap is
+    reached, of which the row that reaches it is looked up.  Only the shards taken are read,
+    and their images are neither moved nor ordered.
+    """
     mapped = labels or {0: 0, 1: 1}
-    rows = spark.read.parquet(where).select("image", "label", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row"))
-    rows = rows.where(F.col("label").isin(*mapped))
+    place = [F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row")]
+    rows = spark.read.parquet(where)
+    known = F.col("label").isin(*mapped)
     if cap is not None:
-        rows = rows.orderBy("shard", "row").limit(cap)
+        rows = rows.where(up_to_cap(rows.where(known).select(*place), cap))
+    rows = rows.where(known).select("image", "label", *place)
     label = F.create_map(*[F.lit(x).cast("int") for pair in mapped.items() for x in pair])[F.col("label").cast("int")]
     return rows.withColumn("label", label).withColumn("image_id", F.sha1(F.concat_ws(":", "shard", F.col("row").cast("string"))))
 
 
+def up_to_cap(places: DataFrame, cap: int) -> Column:
+    """Which of all rows of a Parquet scan are among the first `cap` of places (shard, row), by their metadata."""
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    if cap <= 0:
+        return F.lit(False)
+    reach = F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, 0))  # one row a shard
+    counts = places.groupBy("shard").agg(F.count("*").alias("n")).withColumn("reach", reach)
+    at = counts.where(F.col("reach") >= cap).orderBy("shard").first()
+    if at is None:
+        return F.lit(True)
+    left = cap - (at["reach"] - at["n"])
+    if left == at["n"]:
+        return name <= at["shard"]
+    # Row numbers of one shard.
+    last = places.where(F.col("shard") == at["shard"]).orderBy("row").select("row").offset(left - 1).limit(1).first()["row"]
+    return (name <= at["shard"]) & ((name < at["shard"]) | (row <= last))
+
+
 def shards_or_tree(spark: SparkSession, shard_path: str | None, tree: str | None, **options) -> DataFrame:
     """Shards where there are any, else the labelled tree."""
     if shard_path and files(spark, shard_path).where(F.col("rel").endswith(".parquet")).count():

@@ -16,6 +16,7 @@ those that have the name of a result are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import base64
 from array import array
 from collections.abc import Iterator
@@ -235,9 +236,27 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     return arrow_map(rows.select(ids, *names), f"{fields}, `{decoded}` binary", make)
 
 
+def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keep` columns, n_tokens, ids_sha256 and decoded_sha256 of each text: its ids are decoded where they are made, one text after another."""
+    words = vocabulary(docs.sparkSession, path)
+    more = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    names, fields = _fields(docs.select(*keep), *more)
+
+    def make():
+        vocab = words.value
+        numbers = [b"%d" % k for k in range(len(vocab.tokens))]
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            flat, bounds = vocab.encode(as_bytes(batch.column(0)))
+            written = (hashlib.sha256(b" ".join([numbers[i] for i in flat[a:b].tolist()])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            decoded = (hashlib.sha256(x) for x in vocab.decode(flat, bounds[1:]))
+            own = [pa.array(np.diff(bounds).astype(np.int64)), *(pa.array([d.hexdigest() for d in x], pa.string()) for x in (written, decoded))]
+            return pa.RecordBatch.from_arrays([*batch.columns[1:], *own], [*names, *more])
+
+        return each
+
+    return arrow_map(docs.select(text, *names), f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    path = path or public_tokenizers.path(VOCABULARY)
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
-    rows = decode(ids.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", digest), path)
-    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), path or public_tokenizers.path(VOCABULARY))

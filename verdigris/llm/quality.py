@@ -14,6 +14,7 @@ columns of the input are not looked at; an empty table gives no rows.  Texts of
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import arrow_map, as_bytes, fresh, table, without
+from .common import arrow_map, as_bytes, fresh, saved, table, without
 from .ragged import Words, mix, span_hashes, sums_by, window_hashes, window_mask
 
 #: Rules in the order of their bits: name and failing condition over the measurements.
@@ -161,14 +162,25 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
     )
 
 
+def stored(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ledger, written to the shared folder with the versions of its rules: policies and ablations read it, and no text again."""
+    return saved(ledger(docs, text, keep).withColumn("rule_versions", F.lit(",".join(version(rule) for rule, _ in RULES))), "ledger")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(table(spark, sf_dir, "documents"))
+    rows = stored(table(spark, sf_dir, "documents"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes("base-1")).alias("base_failed"), passes("prose-1").alias("kept"), "failed_bits",
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both policies on one stored ledger: for each rule, what fails it, fails it alone, and stays without it."""
+    rows = stored(table(spark, sf_dir, "documents"))
+    return reduce(DataFrame.unionByName, [ablations(rows, policy).withColumn("policy", F.lit(policy)) for policy in POLICIES])
+
+
 ORACLE = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce(text, '') AS t,
@@ -191,3 +203,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        failed_bits = 0 AS kept, failed_bits::INT AS failed_bits
 FROM f
 """
+
+#: The same measures and bits, counted by rule.
+ABLATIONS = ORACLE.rsplit("SELECT doc_id, n_words", 1)[0].rstrip() + f""",
+p AS (SELECT * FROM (VALUES {", ".join(f"('{policy}', '{rule}', {BITS[rule]}, {sum(BITS[r] for r, _ in own)})" for policy, own in POLICIES.items() for rule, _ in own)}) t(policy, rule, bit, mask))
+SELECT policy, rule, bit::INT AS bit, count(*) FILTER (WHERE failed_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed_bits & mask = bit) AS n_failed_alone,
+       count(*) FILTER (WHERE failed_bits & mask & ~bit = 0) AS n_kept_without
+FROM f, p GROUP BY policy, rule, bit
+"""

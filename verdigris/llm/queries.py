@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_sharding": sharding.op13_sharding,
+    "quality_ablations": quality.quality_ablations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": lines.ORACLE,
@@ -31,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op11_hard_negatives": negatives.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
     "op13_sharding": sharding.ORACLE,
+    "quality_ablations": quality.ABLATIONS,
 }

@@ -70,9 +70,18 @@ def test_compare_makes_images_once(spark, tree, tmp_path):
 def test_command_line(spark, tree, tmp_path, capsys):
     out = str(tmp_path / "r")
     models = ["--model", f"o={__name__}:oracle", "--model", f"s={__name__}:by_size"]
-    command.main(["compare", "--root", str(tree), "--conditions", "clean,crop_p80", "--out", out, "--split", "val", *models])
+    (tmp_path / "splits.json").write_text(json.dumps({"val": str(tree)}))
+    named = ["--splits", str(tmp_path / "splits.json"), "--split", "val", "--work-dir", str(tmp_path / "images")]
+    command.main(["compare", *named, "--conditions", "clean,crop_p80", "--out", out, *models[2:], *models[:2]])
     with open(f"{out}/compare_pivot.md", encoding="utf-8") as f:
-        assert "| o | 1.0000 / 1.0000 | 1.0000 / 1.0000 |" in f.read()
+        pivot = f.read()
+    # Models come in the order they were asked for.
+    assert "| o | 1.0000 / 1.0000 | 1.0000 / 1.0000 |" in pivot and pivot.index("| s |") < pivot.index("| o |")
+    assert (tmp_path / "images" / "images" / "crop_p80").is_dir()
+    with pytest.raises(SystemExit):
+        command.main(["compare", "--out", out, *models])
+    with pytest.raises(ValueError, match="lossy"):
+        command.main(["compare", *named, "--out", out, *models])
     with open(f"{out}/compare.json", encoding="utf-8") as f:
         assert [(r["model"], r["condition"]) for r in json.load(f)] == [("o", "clean"), ("o", "crop_p80"), ("s", "clean"), ("s", "crop_p80")]
     part = next(p for p in (tmp_path / "r" / "compare.csv").iterdir() if p.name.startswith("part-"))

@@ -25,7 +25,8 @@ def _named(spec: str):
 def _arguments(given: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="verdigris")
     common = argparse.ArgumentParser(add_help=False)
-    common.add_argument("--root", required=True, help="a tree of images labelled by their folders")
+    common.add_argument("--root", help="a tree of images labelled by their folders")
+    common.add_argument("--splits", help="a JSON file of named splits and their trees; --split then says which of them is read")
     common.add_argument("--max-images", type=int, help="a balanced seeded sample of so many")
     common.add_argument("--seed", type=int, default=42)
     common.add_argument("--threshold", type=float, default=0.5)
@@ -33,6 +34,8 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
     common.add_argument("--out", help="where results go")
     images = argparse.ArgumentParser(add_help=False)
     images.add_argument("--conditions", default="daily")
+    images.add_argument("--stem", help="the name of the tables, instead of the verb's")
+    images.add_argument("--work-dir", help="where images under conditions are, instead of OUT/work")
     images.add_argument("--codec", help="module:(decode, encode, lossy); without one, binary PPM files are read and JPEG is refused")
     images.add_argument("--limit", type=int, default=0, help="materialize: the first so many items only")
     images.add_argument("--crop-resize-back", action="store_true", help="materialize: cropped images keep their size")
@@ -46,6 +49,11 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
     for name in ("compare", "robustness"):
         verb.add_parser(name, parents=[common, images]).add_argument("--model", action="append", required=True, help="name=module:predictor")
     args = parser.parse_args(given)
+    if args.splits and not args.root:
+        with open(args.splits, encoding="utf-8") as f:
+            args.root = readers.split_root(json.load(f), args.split)
+    if not args.root:
+        parser.error("--root, or --splits and --split, are needed")
     if args.verb != "score" and not args.out:
         parser.error("--out is needed")
     if args.verb == "robustness" and len(args.model) != 1:
@@ -81,8 +89,8 @@ def main(given: list[str] | None = None) -> None:
         print(f"rows={told['rows']} made={told['made']} skipped={told['skipped']} below {args.out}")
         return
     models = {name: _named(spec) for name, _, spec in (m.partition("=") for m in args.model)}
-    table, errors = verbs.compare(items, models, args.conditions, f"{args.out}/work", codec, args.threshold, args.split)
-    paths = verbs.write_tables(table, args.out, args.verb, args.conditions if args.verb == "compare" else "")
+    table, errors = verbs.compare(items, models, args.conditions, args.work_dir or f"{args.out}/work", codec, args.threshold, args.split)
+    paths = verbs.write_tables(table, args.out, args.stem or args.verb, args.conditions if args.verb == "compare" else "", list(models))
     errors.write.mode("overwrite").json(f"{args.out}/errors")
     print("\n".join(f"wrote {p}" for p in [*paths, f"{args.out}/errors"]))
 

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, with equivalent SQL."""
 
-from . import curating, evaluating, joining, scoring
+from . import curating, evaluating, joining, reading, scoring
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "curating", "evaluating", "joining", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "curating", "evaluating", "joining", "reading", "scoring"]

@@ -78,11 +78,12 @@ def group_csv(stats: DataFrame, path: str) -> None:
     stats.orderBy("group_type", "group_value").write.mode("overwrite").option("header", "true").csv(path)
 
 
-def pivot_markdown(df: DataFrame, conditions: Sequence[str]) -> str:
-    """Models by conditions, in the order given, as acc / auroc."""
+def pivot_markdown(df: DataFrame, conditions: Sequence[str], models: Sequence[str] = ()) -> str:
+    """Models by conditions, in the orders given (models that are not named come last, by name), as acc / auroc."""
     from ..operators.groups import pivot_metrics
 
-    rows = pivot_metrics(df, conditions).orderBy("model").collect()
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(m) for m in models]).cast("array<string>"), F.col("model")), F.lit(0)), F.lit(len(models) + 1))
+    rows = pivot_metrics(df, conditions).orderBy(place, "model").collect()
     shown = lambda x: "" if x is None else f"{x:.4f}"
     lines = ["| model | " + " | ".join(conditions) + " |", "|" + "---|" * (len(conditions) + 1)]
     for r in rows:

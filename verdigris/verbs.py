@@ -88,7 +88,7 @@ def robustness(items: DataFrame, predictor: Predictor, asked: str, out: str, mod
     return compare(items, {model: predictor}, asked, out, **options)
 
 
-def write_tables(table: DataFrame, where: str, stem: str, asked: str = "") -> list[str]:
+def write_tables(table: DataFrame, where: str, stem: str, asked: str = "", models: Sequence[str] = ()) -> list[str]:
     """A metric table of a few rows as JSON, CSV and Markdown, and with conditions as a pivot too; the paths."""
     Path(where).mkdir(parents=True, exist_ok=True)
     paths = [f"{where.rstrip('/')}/{stem}{end}" for end in (".json", ".csv", ".md", "_pivot.md")]
@@ -98,5 +98,5 @@ def write_tables(table: DataFrame, where: str, stem: str, asked: str = "") -> li
     Path(paths[2]).write_text(sinks.markdown(table), encoding="utf-8")
     if not asked:
         return paths[:3]
-    Path(paths[3]).write_text(sinks.pivot_markdown(table, conditions(asked)), encoding="utf-8")
+    Path(paths[3]).write_text(sinks.pivot_markdown(table, conditions(asked), models), encoding="utf-8")
     return paths

@@ -91,6 +91,8 @@ NEIGHBOURS, LIKEST = 3, 2
 POSSIBLE = 0.63
 #: Ids that are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Nodes, or rows of a sample, that are broadcast (some 32 bytes each).
+BROADCAST_NODES = 500_000
 #: Edges that one task unites into components; more are united by rounds over the cluster.
 ONE_TASK = 1_000_000
 #: Parts that the rows of a hot key are dealt to where they meet its totals.
@@ -521,7 +523,9 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _on_node(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows joined with one row (node, ...) a node; the rows of a large node meet it in SALTS tasks."""
+    """rows joined with one row (node, ...) a node (saved); of a checked number these are broadcast, beyond it the rows of a large node meet them in SALTS tasks."""
+    if found.count() <= BROADCAST_NODES:
+        return rows.join(F.broadcast(found), "node")
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", _salt("rep")).join(found, ["node", "salt"]).drop("salt")
 
@@ -545,8 +549,9 @@ def likeness(large: DataFrame, own: DataFrame) -> DataFrame:
 
     drawn = lambda of, seed: (F.pmod(F.xxhash64("rep", "node", F.lit(seed)), F.lit(1 << 20)) * F.col(of) < F.lit(SAMPLED << 20)).cast("long")
     outside = (F.col("comp") != F.col("major")).cast("long")
-    rows = large.select("rep", "node", (outside * drawn("others", 1)).alias("a"), drawn("members", 2).alias("b")).where("a + b > 0")
-    seen = arrow_map(rows.join(own, "rep").select("tokens", "node", "a", "b"), "node bigint, k bigint, token bigint, a bigint, b bigint", make)
+    rows = saved(large.select("rep", "node", (outside * drawn("others", 1)).alias("a"), drawn("members", 2).alias("b")).where("a + b > 0"), "drawn")
+    met = own.join(F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows, "rep")
+    seen = arrow_map(met.select("tokens", "node", "a", "b"), "node bigint, k bigint, token bigint, a bigint, b bigint", make)
     seen = seen.groupBy("node", "k", "token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     whole = F.sum("a").cast("double") * F.sum("b") / LOOKED_AT
     return seen.groupBy("node").agg((F.sum(F.col("a") * F.col("b")) / F.greatest(whole, F.lit(1.0))).alias("alike"))
@@ -564,7 +569,7 @@ def families(ended: DataFrame) -> DataFrame:
     of = votes.select("node", F.when(F.col("top.n") * 2 >= F.col("members"), F.col("top.home")).otherwise(F.col("node")).alias("family"))
     further = of.toDF("family", "next")
     of = of.join(further, "family", "left").select("node", F.coalesce("next", "family").alias("family"))
-    return _on_node(ended, of).select("rep", F.xxhash64("family", F.lit("family")).alias("node"), "n_shingles", "comp").distinct()
+    return _on_node(ended, saved(of, "of")).select("rep", F.xxhash64("family", F.lit("family")).alias("node"), "n_shingles", "comp").distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, possible: float | None = None) -> tuple[DataFrame, list[DataFrame]]:
@@ -595,11 +600,14 @@ def links(docs: DataFrame, classes: DataFrame, possible: float | None = None) ->
         large = mixed.where(F.col("others") > SMALL)
         if last or large.isEmpty():
             break
-        large = kept(_on_node(large, kept(likeness(large, own), "likeness")), "large")
-        whole = large.where(F.col("alike") >= ALIKE).select("rep", "node", "n_shingles", "comp", "members")
+        alike = kept(likeness(large, own), "likeness")
+        whole = _on_node(large, alike.where(F.col("alike") >= ALIKE)).select("rep", "node", "n_shingles", "comp", "members")
         ended = whole if ended is None else ended.unionByName(whole)
-        level = kept(children(large.where(F.col("alike") < ALIKE).join(own, "rep")), "children")
-    if ended is not None and not ended.isEmpty():
+        parted = alike.where(F.col("alike") < ALIKE)
+        if parted.isEmpty():
+            break
+        level = kept(children(_on_node(large, parted).join(own, "rep")), "children")
+    if ended is not None:
         leaves = leaves.unionByName(_mixed(families(ended)).select(leaves.columns))
     asks = kept(asked(leaves.join(own, "rep"), possible), "asks")
     return found.unionByName(decided(asks, docs)), used

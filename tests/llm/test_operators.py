@@ -7,10 +7,12 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from verdigris.llm import bpe, chat, fingerprints, lines, mixing, neardup, ppm, quality, queries, toxicity
+from verdigris.llm.ragged import BYTE_KEYS, U64, hashes_of_spans, mix
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -231,13 +233,55 @@ def test_empty_tables(spark, none):
 
 
 def test_clashing_columns(spark, odd):
+    """Columns with the names of results and of what operators work with change nothing else."""
     more = odd.withColumns({c: F.lit(7) for c in ("ids", "place", "gone", "size", "k1", "comp", "uid", "n_words")})
-    assert lines.without_spread_lines(more).count() == 8
-    assert mixing.mixed_documents(more).count() >= 0
-    assert neardup.near_duplicates(more).count() == 8
-    assert ppm.scores(more, F.lit(True)).count() == 8
-    assert quality.ledger(more).count() == 8
-    assert fingerprints.compared_with_next(more).count() == 8
+    rows = lambda df, *columns: sorted(map(str, df.select(*columns).collect()))
+    jobs = {
+        "lines": (lines.without_spread_lines, ("doc_id", "source", "text", "n_lines", "n_removed")),
+        "mix": (mixing.mixed_documents, ("doc_id", "source", "text")),
+        "near": (neardup.near_duplicates, ("doc_id", "n_shingles", "component_id", "kept")),
+        "ppm": (lambda d: ppm.scores(d, F.lit(True)), ("doc_id", "score")),
+        "quality": (quality.ledger, ("doc_id", *quality.MEASURES, "failed_bits")),
+        "fingerprints": (fingerprints.compared_with_next, ("doc_id", "n_chars", "fingerprint", "edited_fingerprint", "near_next")),
+    }
+    for name, (job, columns) in jobs.items():
+        assert rows(job(more), *columns) == rows(job(odd), *columns), name
+    assert mixing.mixed_documents(more).select("ids", "size").distinct().collect() == [(7, 7)]
+
+
+def plain_phrases(symbols):
+    """One level of the parse of one text, symbol by symbol, from the definition."""
+    runs, k = [], 0
+    while k < len(symbols):
+        n = 1
+        while k + n < len(symbols) and symbols[k + n] == symbols[k]:
+            n += 1
+        runs.append(symbols[k] if n == 1 else int(mix(np.array([symbols[k] + n & (1 << 64) - 1], U64), 61)[0]))
+        k += n
+    labels = runs
+    for _ in range(4):
+        out = []
+        for i, x in enumerate(labels):
+            differ = x ^ (labels[i - 1] if i else labels[0] ^ 1)
+            lowest = (differ & -differ).bit_length() - 1 if differ else 0
+            out.append(2 * lowest + (x >> lowest & 1))
+        labels = out
+    starts = [i for i in range(len(runs)) if i == 0 or (i < len(runs) - 1 and labels[i - 1] > labels[i] < labels[i + 1])]
+    spans = list(zip(starts, [*starts[1:], len(runs)], strict=True))
+    return [int(hashes_of_spans(np.array(runs[a:b], U64), np.array([0]), np.array([b - a]), 62)[0]) for a, b in spans]
+
+
+def test_parsing_equals_a_plain_parser():
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abcde ") for _ in range(rng.randrange(300))) for _ in range(12)]
+    texts += [b"", b"a", b"aaaaaaa", b"ab" * 40, "é中".encode() * 30, b"aab" * 9 + b"a" * 50]
+    for text, got in zip(texts, fingerprints.sketches(texts), strict=True):
+        symbols, names = [int(BYTE_KEYS[b]) for b in text], set()
+        for level in range(1, max(fingerprints.LEVELS) + 1):
+            symbols = plain_phrases(symbols) if symbols else []
+            if level in fingerprints.LEVELS and symbols:
+                names |= {int(x) >> 32 for x in mix(np.array(symbols, U64), 70 + level)}
+        assert sorted(names)[: fingerprints.SKETCH] == got.tolist(), text
 
 
 def test_conversations(spark):

@@ -606,7 +606,9 @@ def links(docs: DataFrame, classes: DataFrame, possible: float | None = None) ->
         parted = alike.where(F.col("alike") < ALIKE)
         if parted.isEmpty():
             break
-        level = kept(children(_on_node(large, parted).join(own, "rep")), "children")
+        rest = kept(_on_node(large, parted).select("rep", "node", "n_shingles", "comp"), "rest")
+        few = rest.count() <= BROADCAST_NODES
+        level = kept(children(own.join(F.broadcast(rest) if few else rest, "rep")), "children")
     if ended is not None:
         leaves = leaves.unionByName(_mixed(families(ended)).select(leaves.columns))
     asks = kept(asked(leaves.join(own, "rep"), possible), "asks")

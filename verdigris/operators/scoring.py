@@ -138,14 +138,15 @@ def transformed(rows: DataFrame, apply: Callable[[np.ndarray, str, float, int],
     return rows.select("row_id", "pixels", "height", "width", "op", "value", "seed").mapInArrow(run, schema)
 
 
-def measured(rows: DataFrame, decode: Callable[[bytes], np.ndarray], path: str = "path") -> DataFrame:
-    """path, width, height, phash and the low-level measures and slices of image files (path, content binary); a file that is no image is an error."""
+def measured(rows: DataFrame, decode: Callable[[bytes], np.ndarray], path: str = "path", keep: Sequence[str] = ()) -> DataFrame:
+    """path, width, height, phash and the low-level measures and slices of image files (path, content binary), and columns to keep; a file that is no image is an error."""
     from ..functions import pixels
 
     probe = pixels.features(np.zeros((2, 2, 3), np.uint8))
     kinds = {int: (pa.int32(), "int"), float: (pa.float64(), "double"), str: (pa.string(), "string")}
     names = [path, "phash", *probe]
-    schema = ", ".join([f"`{path}` string", "phash string", *(f"{n} {kinds[type(v)][1]}" for n, v in probe.items())])
+    held = dict(rows.dtypes)
+    schema = ", ".join([f"`{path}` string", "phash string", *(f"{n} {kinds[type(v)][1]}" for n, v in probe.items()), *(f"`{c}` {held[c]}" for c in keep)])
 
     def run(batches):
         for batch in batches:
@@ -154,9 +155,10 @@ def measured(rows: DataFrame, decode: Callable[[bytes], np.ndarray], path: str =
                 img = decode(content)
                 found.append({path: name, "phash": pixels.perceptual_hash(img)} | pixels.features(img, name.rpartition(".")[2]))
             types = [pa.string(), pa.string(), *(kinds[type(v)][0] for v in probe.values())]
-            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t in zip(names, types, strict=True)], names)
+            made = [pa.array([f[n] for f in found], t) for n, t in zip(names, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[2:]], [*names, *keep])
 
-    return rows.select(path, "content").mapInArrow(run, schema)
+    return rows.select(path, "content", *keep).mapInArrow(run, schema)
 
 
 def thumbnails(rows: DataFrame, decode: Callable[[bytes], np.ndarray], side: int = 160, path: str = "path") -> DataFrame:

@@ -41,12 +41,12 @@ def labelled_tree(spark: SparkSession, root: str, positives: Sequence[str] = (),
 
 
 def source_index(
-    spark: SparkSession, root: str, dataset: str, split: str, real: Sequence[str], fake: Sequence[str], label: int | None = None
+    spark: SparkSession, root: str, dataset: str, split: str, real: Sequence[str], fake: Sequence[str], label: int | None = None, content: bool = False
 ) -> DataFrame:
-    """Rows for a source manifest: label from the parent folder's name, or the one given; sizes are added by the pixel layer."""
+    """Rows for a source manifest (and the files' content): label from the parent folder's name, or the one given."""
     if both := set(map(str.lower, real)) & set(map(str.lower, fake)):
         raise ValueError(f"real and fake at once: {', '.join(sorted(both))}")
-    rows = images(spark, root)
+    rows = images(spark, root, content)
     parent = F.lower(F.element_at(F.split("path", "/"), -2))
     own = F.lit(label) if label is not None else (
         F.when(parent.isin(*[x.lower() for x in fake]), 1).when(parent.isin(*[x.lower() for x in real]), 0)
@@ -55,16 +55,17 @@ def source_index(
     return rows.select(
         item_id(F.col("path"), F.col("length")).alias("image_id"), "path", own.cast("int").alias("label"),
         F.lit(dataset).alias("source_dataset"), F.lit(split).alias("split"), ending.alias("original_format"), "length",
+        *(["content"] if content else []),
     ).where("label IS NOT NULL")
 
 
 def source_index_with_sizes(spark: SparkSession, root: str, decode, **options) -> DataFrame:
-    """source_index with width, height and perceptual hash of each image; `decode`: bytes -> array."""
+    """source_index with width, height and perceptual hash of each image, in one scan; `decode`: bytes -> array."""
     from ..operators.scoring import measured
 
-    rows = source_index(spark, root, **options)
-    seen = measured(images(spark, root, content=True), decode).select("path", "width", "height", "phash")
-    return rows.join(seen, "path")
+    rows = source_index(spark, root, content=True, **options)
+    keep = [c for c in rows.columns if c not in ("path", "content")]
+    return measured(rows, decode, keep=keep).select("path", *keep, "width", "height", "phash")
 
 
 def split_root(roots: Mapping[str, str], name_: str) -> str:

@@ -24,3 +24,8 @@ def written(df: DataFrame, label: str, *parts: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, per_task: int) -> DataFrame:
+    """rows dealt evenly to tasks of about `per_task` rows: for work that is heavy by the row, where a file of few bytes would be one task.  The rows are counted first."""
+    return rows.repartition(max(1, -(-rows.count() // per_task)))

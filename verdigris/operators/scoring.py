@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -138,8 +138,31 @@ def transformed(rows: DataFrame, apply: Callable[[np.ndarray, str, float, int],
     return rows.select("row_id", "pixels", "height", "width", "op", "value", "seed").mapInArrow(run, schema)
 
 
+#: Bytes of a stack (its floats stay in the processor's cache), and of all that wait for their stacks to fill: whatever the images' sizes, a task holds no more beside the images of one row.
+STACK, WAITING = 1 << 16, 1 << 23
+
+
+def _stacks(images: Iterable[tuple[np.ndarray, tuple]]) -> Iterator[tuple[list[int], np.ndarray, tuple]]:
+    """(places, stack, key) of (image, key): images of one shape and one key are stacked, each under its place in `images`."""
+    waiting: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+    held = 0
+    for place, (img, key) in enumerate(images):
+        waiting.setdefault((img.shape, key), []).append((place, img))
+        held += img.nbytes
+        full = [(img.shape, key)] if len(waiting[img.shape, key]) * img.nbytes >= STACK else list(waiting) if held >= WAITING else []
+        for at in full:
+            rows = waiting.pop(at)
+            held -= sum(x.nbytes for _, x in rows)
+            yield [k for k, _ in rows], np.stack([x for _, x in rows]), at[1]
+    for (_, key), rows in waiting.items():
+        yield [k for k, _ in rows], np.stack([x for _, x in rows]), key
+
+
 def measured(rows: DataFrame, decode: Callable[[bytes], np.ndarray], path: str = "path", keep: Sequence[str] = ()) -> DataFrame:
-    """path, width, height, phash and the low-level measures and slices of image files (path, content binary), and columns to keep; a file that is no image is an error."""
+    """path, width, height, phash and the low-level measures and slices of image files (path, content binary), and columns to keep; a file that is no image is an error.
+
+    Images of one size are measured in stacks.
+    """
     from ..functions import pixels
 
     probe = pixels.features(np.zeros((2, 2, 3), np.uint8))
@@ -150,10 +173,13 @@ def measured(rows: DataFrame, decode: Callable[[bytes], np.ndarray], path: str =
 
     def run(batches):
         for batch in batches:
-            found = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                img = decode(content)
-                found.append({path: name, "phash": pixels.perceptual_hash(img)} | pixels.features(img, name.rpartition(".")[2]))
+            paths = batch.column(0).to_pylist()
+            found: list = [None] * len(paths)
+            for places, stack, _ in _stacks((decode(c.as_py()), ()) for c in batch.column(1)):
+                files = [paths[k] for k in places]
+                measures = pixels.features_of_stack(stack, [f.rpartition(".")[2] for f in files])
+                for k, name, phash, values in zip(places, files, pixels.perceptual_hashes(stack), measures, strict=True):
+                    found[k] = {path: name, "phash": phash} | values
             types = [pa.string(), pa.string(), *(kinds[type(v)][0] for v in probe.values())]
             made = [pa.array([f[n] for f in found], t) for n, t in zip(names, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*made, *batch.columns[2:]], [*names, *keep])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import spread
 from ..functions.values import entropy, fused, sigmoid
 from ..operators import scoring
 from ..streaming.windows import windowed_confusion, windowed_histogram
@@ -120,6 +121,12 @@ def windowed_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "slot", "pos", "neg")
 
 
+def _pixels(n: int) -> Column:
+    """n bytes that count up by 7 + p_size; they come back after 256, so that no more are made."""
+    period = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lpad(F.hex((i * 7 + F.col("p_size") * i) % 256), 2, "0"))
+    return F.unhex(F.left(F.repeat(F.array_join(period, ""), -(-n // 256)), F.lit(2 * n)))
+
+
 def pixel_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small synthetic images under the settings that need no codec."""
     from ..functions import pixels
@@ -148,9 +155,9 @@ def pixel_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, perceptual hash, low-level measures and slices of small synthetic images, read from PPM bytes."""
     from ..functions import pixels
 
-    pixel = F.transform(F.sequence(F.lit(0), F.lit(24 * 18 * 3 - 1)), lambda i: F.lpad(F.hex((i * 7 + F.col("p_size") * i) % 256), 2, "0"))
-    content = F.concat(F.lit("P6\n24 18\n255\n").cast("binary"), F.unhex(F.array_join(pixel, "")))
-    rows = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".ppm")).alias("path"), content.alias("content"))
+    content = F.concat(F.lit("P6\n24 18\n255\n").cast("binary"), _pixels(24 * 18 * 3))
+    items = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), 5_000)
+    rows = items.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".ppm")).alias("path"), content.alias("content"))
     return scoring.measured(rows, pixels.ppm_image)
 
 

@@ -1,6 +1,7 @@
 """Images measured and transformed in stacks, by tasks that are dealt by rows and not by the bytes of a file."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from verdigris import plans
@@ -68,3 +69,46 @@ def test_pixel_measures_is_dealt_by_rows(spark, parts):
         img = (i * (7 + key % 300) % 256).astype(np.uint8).reshape(18, 24, 3)
         wanted = pixels.features(img, "ppm") | {"phash": pixels.perceptual_hash(img)}
         assert {k: got[key][k] for k in wanted} == wanted
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_a_transformed_stack_is_each_image_transformed(shape):
+    stack = pictures(*shape)
+    seeds = [17 * k for k in range(len(stack))]
+    for _, op, _, value in pixels.SETTINGS:
+        if op == "jpeg":
+            with pytest.raises(ValueError, match="codec"):
+                pixels.apply_to_stack(stack, op, value, seeds)
+            continue
+        out, params = pixels.apply_to_stack(stack, op, value, seeds)
+        for k, img in enumerate(stack):
+            wanted, used = pixels.apply(img, op, value, seeds[k])
+            assert out[k].shape == wanted.shape and (out[k] == wanted).all() and params[k] == used
+    with pytest.raises(ValueError, match="unknown operation"):
+        pixels.apply_to_stack(stack, "nope", 1.0, seeds)
+
+
+def test_transforms_of_mixed_sizes(spark):
+    settings = [s for s in pixels.SETTINGS if s[1] != "jpeg"]
+    images = [(pictures(*SHAPES[k % 6], 1)[k % 3], *settings[k % 10][1::2], 31 * k) for k in range(120)]
+    rows = [(str(k), bytearray(img.tobytes()), *img.shape[:2], op, float(value), seed) for k, (img, op, value, seed) in enumerate(images)]
+    rows = spark.createDataFrame(rows, "row_id string, pixels binary, height int, width int, op string, value double, seed long").coalesce(1)
+    total = ("long", pa.int64(), lambda stack: stack.reshape(len(stack), -1).sum(1))
+    whole = scoring.transformed_stacks(rows, pixels.apply_to_stack).collect()
+    sums = scoring.transformed_stacks(rows, pixels.apply_to_stack, {"total": total}).collect()
+    assert whole == scoring.transformed(rows, pixels.apply).collect() and [r["row_id"] for r in whole] == [str(k) for k in range(120)]
+    for r, t, (img, op, value, seed) in zip(whole, sums, images, strict=True):
+        wanted, used = pixels.apply(img, op, value, seed)
+        assert bytes(r["pixels"]) == wanted.tobytes() and (r["height"], r["width"]) == wanted.shape[:2] and r["params"] == used
+        assert t["total"] == int(wanted.sum()) and (t["height"], t["width"], t["params"]) == (r["height"], r["width"], r["params"])
+
+
+def test_pixel_transforms_is_dealt_by_rows(spark, parts):
+    rows = plans.QUERIES["pixel_transforms"](spark, parts)
+    assert rows.rdd.getNumPartitions() == 6
+    blurred = rows.where("row_id like '%|blur_s10'").collect()
+    assert sorted(int(r["row_id"].split("|")[0]) for r in blurred) == list(range(12_000))
+    i = np.arange(16 * 12 * 3)
+    for r in blurred[::397]:
+        img = (i * (7 + int(r["row_id"].split("|")[0]) % 300) % 256).astype(np.uint8).reshape(16, 12, 3)
+        assert r["total"] == int(pixels.blur(img, 1.0).sum()) and (r["height"], r["width"], r["params"]) == (16, 12, {"sigma": 1.0})

@@ -119,25 +119,6 @@ def fit_head_by_eval(
     return best[1], best[0]
 
 
-def transformed(rows: DataFrame, apply: Callable[[np.ndarray, str, float, int], tuple[np.ndarray, Mapping[str, float]]]) -> DataFrame:
-    """Images (row_id, pixels binary: height x width x 3 bytes, height, width, op, value, seed) after their operation, in Arrow batches."""
-    schema = "row_id string, height int, width int, pixels binary, params map<string,double>"
-    names = ["row_id", "height", "width", "pixels", "params"]
-
-    def run(batches):
-        for batch in batches:
-            made = {n: [] for n in names}
-            columns = [batch.column(k).to_pylist() for k in range(7)]
-            for ident, pixels, height, width, op, value, seed in zip(*columns, strict=True):
-                out, params = apply(np.frombuffer(pixels, np.uint8).reshape(height, width, 3), op, value, seed)
-                for n, x in zip(names, (ident, out.shape[0], out.shape[1], out.tobytes(), {k: float(v) for k, v in params.items()}), strict=True):
-                    made[n].append(x)
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.map_(pa.string(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(made[n], k) for n, k in zip(names, kinds, strict=True)], names)
-
-    return rows.select("row_id", "pixels", "height", "width", "op", "value", "seed").mapInArrow(run, schema)
-
-
 #: Bytes of a stack (its floats stay in the processor's cache), and of all that wait for their stacks to fill: whatever the images' sizes, a task holds no more beside the images of one row.
 STACK, WAITING = 1 << 16, 1 << 23
 
@@ -158,6 +139,45 @@ def _stacks(images: Iterable[tuple[np.ndarray, tuple]]) -> Iterator[tuple[list[i
         yield [k for k, _ in rows], np.stack([x for _, x in rows]), key
 
 
+def transformed(rows: DataFrame, apply: Callable[[np.ndarray, str, float, int], tuple[np.ndarray, Mapping[str, float]]]) -> DataFrame:
+    """Images (row_id, pixels binary: height x width x 3 bytes, height, width, op, value, seed) after their operation, in Arrow batches."""
+
+    def each(stack, op, value, seeds):
+        return tuple(zip(*[apply(img, op, value, seed) for img, seed in zip(stack, seeds, strict=True)], strict=True))
+
+    return transformed_stacks(rows, each)
+
+
+def transformed_stacks(
+    rows: DataFrame, apply: Callable[[np.ndarray, str, float, Sequence[int]], tuple[Sequence[np.ndarray], Sequence[Mapping[str, float]]]],
+    measures: Mapping[str, tuple[str, pa.DataType, Callable[[np.ndarray], np.ndarray]]] | None = None,
+) -> DataFrame:
+    """As transformed, where `apply` takes images of one size under one operation as a stack, with one seed an image.
+
+    measures: column -> (its type, in Arrow, function of the stack of results, one value an image).
+    Where given, they come in place of the pixels, which then do not leave the task.
+    """
+    kinds = {n: (kind, arrow) for n, (kind, arrow, _) in measures.items()} if measures else {"pixels": ("binary", pa.binary())}
+    schema = ", ".join(["row_id string, height int, width int", *(f"`{n}` {kind}" for n, (kind, _) in kinds.items()), "params map<string,double>"])
+    names = ["row_id", "height", "width", *kinds, "params"]
+    types = [pa.string(), pa.int32(), pa.int32(), *(arrow for _, arrow in kinds.values()), pa.map_(pa.string(), pa.float64())]
+
+    def run(batches):
+        for batch in batches:
+            idents, contents, heights, widths, ops, values, seeds = (batch.column(k).to_pylist() for k in range(7))
+            shaped = (np.frombuffer(c, np.uint8).reshape(h, w, 3) for c, h, w in zip(contents, heights, widths, strict=True))
+            made: list = [None] * len(idents)
+            for places, stack, (op, value) in _stacks(zip(shaped, zip(ops, values, strict=True), strict=True)):
+                out, params = apply(stack, op, value, [seeds[k] for k in places])
+                found = [f(out).tolist() for _, _, f in measures.values()] if measures else [[x.tobytes() for x in out]]
+                for k, x, used, *own in zip(places, out, params, *found, strict=True):
+                    made[k] = (idents[k], *x.shape[:2], *own, {n: float(v) for n, v in used.items()})
+            columns = zip(*made, strict=True) if made else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return rows.select("row_id", "pixels", "height", "width", "op", "value", "seed").mapInArrow(run, schema)
+
+
 def measured(rows: DataFrame, decode: Callable[[bytes], np.ndarray], path: str = "path", keep: Sequence[str] = ()) -> DataFrame:
     """path, width, height, phash and the low-level measures and slices of image files (path, content binary), and columns to keep; a file that is no image is an error.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,19 +134,15 @@ def pixel_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.values import seed56
 
     settings = [s for s in pixels.SETTINGS if s[1] != "jpeg"]
-    items = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("item"), "p_size")
+    items = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("item"), "p_size"), 2_000)
     dims = spark.createDataFrame([(k, op, float(v)) for k, op, _, v in settings], "transform_key string, op string, value double")
-    pixel = F.transform(F.sequence(F.lit(0), F.lit(16 * 12 * 3 - 1)), lambda i: F.lpad(F.hex((i * 7 + F.col("p_size") * i) % 256), 2, "0"))
-    pixel = F.unhex(F.array_join(pixel, ""))
-    rows = items.withColumn("pixels", pixel).crossJoin(F.broadcast(dims))
+    rows = items.withColumn("pixels", _pixels(16 * 12 * 3)).crossJoin(F.broadcast(dims))
     rows = rows.select(
         F.concat_ws("|", "item", "transform_key").alias("row_id"), F.lit(16).alias("height"), F.lit(12).alias("width"), "pixels", "op", "value",
         seed56(F.col("item"), F.col("transform_key")).alias("seed"),
     )
-    made = scoring.transformed(rows, pixels.apply)
-    digits = F.split(F.regexp_replace(F.hex("pixels"), "(..)", "$1 "), " ")
-    total = F.aggregate(digits, F.lit(0), lambda a, x: a + F.coalesce(F.conv(x, 16, 10).cast("int"), F.lit(0)))
-    return made.select("row_id", "height", "width", total.alias("total"), "params")
+    total = ("int", pa.int32(), lambda stack: stack.reshape(len(stack), -1).sum(1))
+    return scoring.transformed_stacks(rows, pixels.apply_to_stack, {"total": total})
 
 
 query()(pixel_transforms)

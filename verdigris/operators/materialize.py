@@ -71,34 +71,50 @@ def made(items: DataFrame, settings: Sequence[Setting], codec: pixels.Codec, res
     return rows.mapInArrow(run, "path string, content binary")
 
 
-def _params(rows: DataFrame, settings: Sequence[Setting]) -> DataFrame:
-    """rows (op, value, seed) with `params`, what each operation in fact uses; only jitter draws them from the seed."""
-    names = F.create_map(*[F.lit(x) for x in dict([(op, name) for _, op, name, _ in settings]).items() for x in x])
-    plain = rows.where("op <> 'jitter'").withColumn("params", F.create_map(names[F.col("op")], F.col("value")))
+def _under(items: DataFrame, settings: Sequence[Setting], nths: Sequence[int]) -> DataFrame:
+    """items under each of the settings of these numbers (`nth`), with `drawn`: the parameters that come from a seed, which are those of jitter, else null."""
+    rows = items.withColumn("nth", F.explode(F.array(*[F.lit(k) for k in nths])))
+    if all(settings[k][1] != "jitter" for k in nths):
+        return rows.withColumn("drawn", F.lit(None).cast("map<string,double>"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    key = F.element_at(F.create_map(*[x for k in nths for x in (F.lit(k), F.lit(settings[k][0]))]), F.col("nth"))
+    spreads = {k: settings[k][3] for k in nths}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drawn = [list(pixels.jitter_factors(s, v).items()) for s, v in zip(batch.column("seed").to_pylist(), batch.column("value").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.map_(pa.string(), pa.float64()))], [*batch.schema.names, "params"])
+            *columns, seeds = batch.columns
+            drawn = [list(pixels.jitter_factors(s, spreads[k]).items()) for s, k in zip(seeds.to_pylist(), batch.column("nth").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(drawn, pa.map_(pa.string(), pa.float64()))], [*batch.schema.names[:-1], "drawn"])
 
-    return plain.unionByName(rows.where("op = 'jitter'").mapInArrow(run, f"{kinds}, params map<string,double>"))
+    return rows.withColumn("_seed", seed56(F.col("image_id"), key)).mapInArrow(run, f"{kinds}, drawn map<string,double>")
 
 
 def manifest_rows(items: DataFrame, settings: Sequence[Setting], root: str, order: str, resize_back: bool = False) -> DataFrame:
-    """TRANSFORM rows of all items under all settings, by setting, then in the items' order."""
-    dims = [F.struct(F.lit(k).alias("nth"), F.lit(key).alias("transform_key"), F.lit(op).alias("op"), F.lit(float(v)).alias("value")) for k, (key, op, _, v) in enumerate(settings)]
-    rows = items.select(*[F.col(c) for c in SOURCE.fieldNames()], F.col(order).alias("_order"), F.explode(F.array(*dims)).alias("s")).select("*", "s.*").drop("s")
-    rows = _params(rows.withColumn("seed", seed56(F.col("image_id"), F.col("transform_key"))), settings)
+    """TRANSFORM rows of all items under all settings, by setting, then in the items' order.
+
+    What is ordered are the items' own columns and the numbers of settings; ids, seeds, paths and
+    parameters are made in the ordered rows.
+    """
+    held = SOURCE.fieldNames()
+    by = order if order in held else "_order"
+    items = items.select(*held, *([F.col(order).alias(by)] if by not in held else []))
+    jittered = [k for k, s in enumerate(settings) if s[1] == "jitter"]
+    plain = [k for k in range(len(settings)) if k not in jittered]
+    rows = reduce(DataFrame.unionByName, [_under(items, settings, nths) for nths in (plain, jittered) if nths]).orderBy("nth", by, "image_id")
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("nth"))
+    keys, ops, names, values = zip(*settings, strict=True)
+    rows = rows.withColumns({"transform_key": of(keys), "transform": of(ops)})
     cropped = lambda side: F.coalesce(*[F.when(F.col("transform_key") == key, scaled_side(F.col(side), v)) for key, op, _, v in settings if op == "crop" and not resize_back], F.col(side))
+    ending = of(["jpg" if op == "jpeg" else "png" for op in ops])
     rows = rows.withColumns(
         {
-            "row_id": F.concat_ws("_", "image_id", "transform_key"), "source_image_id": F.col("image_id"), "source_path": F.col("path"), "transform": F.col("op"),
-            "path": F.concat(F.lit(root.rstrip("/") + "/"), place(F.col("image_id"), F.col("transform_key"), _endings(settings)[F.col("transform_key")])),
+            "row_id": F.concat_ws("_", "image_id", "transform_key"), "source_image_id": F.col("image_id"), "source_path": F.col("path"),
+            "seed": seed56(F.col("image_id"), F.col("transform_key")), "params": F.coalesce("drawn", F.create_map(of(names), of([float(v) for v in values]))),
+            "path": F.concat(F.lit(root.rstrip("/") + "/"), place(F.col("image_id"), F.col("transform_key"), ending)),
             "width": cropped("width"), "height": cropped("height"),
         }
     )
-    return rows.orderBy("nth", "_order", "image_id").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TRANSFORM.fields])
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TRANSFORM.fields])
 
 
 def placed(items: DataFrame, settings: Sequence[Setting]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pixels
-from ..functions.tables import shared_folder, written
+from ..functions.tables import shared_folder, spread, written
 from ..functions.values import SEED_SALT
 from ..operators import materialize, training
 from ..schema import SOURCE, SOURCE_REQUIRED
@@ -33,11 +33,11 @@ _SOURCES = """sources AS (
   FROM part)"""
 
 
-def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sources(parts: DataFrame) -> DataFrame:
     """Records of a source manifest, one a part."""
     key, fake = F.col("p_partkey").cast("string"), F.col("p_size") % 2 == 1
     splits = F.array(*[F.lit(x) for x in ("train", "val", "test", "unseen")])
-    rows = table(spark, sf_dir, "part").withColumns(
+    rows = parts.withColumns(
         {
             "image_id": F.sha1(F.concat(F.lit("part/"), key)), "path": F.concat(F.lit("parts/"), "p_brand", F.lit("/"), key, F.lit(".jpg")),
             "label": F.col("p_size") % 2, "source_dataset": F.col("p_type"), "generator": F.when(fake, F.lower("p_brand")),
@@ -51,7 +51,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strict_manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source manifest as JSON lines, read back strictly."""
     path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}.jsonl"
-    sinks.json_lines(_sources(spark, sf_dir), path)
+    sinks.json_lines(_sources(table(spark, sf_dir, "part")), path)
     return readers.strict_manifest(spark, path, SOURCE, SOURCE_REQUIRED).select("image_id", "path", "label", "source_dataset", "generator", "split", "width", "height")
 
 
@@ -71,7 +71,8 @@ FROM sources, s"""
 )
 def transform_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all parts under all settings whose parameters are fixed."""
-    rows = materialize.manifest_rows(_sources(spark, sf_dir), _PLAIN, "/out", "path")
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"), 5_000)
+    rows = materialize.manifest_rows(_sources(parts), _PLAIN, "/out", "path")
     param = F.explode("params").alias("param", "value")
     return rows.select("row_id", "source_path", "transform", param, "seed", "path", "label", "generator", "split", "width", "height")
 
